@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(rows, texts)``: every row as ``(doc_id, k, text)``, and one row ``(k, text)`` per distinct key.
+    """``(rows, texts)``: every row as ``(doc_id, k, text)``, and of these one for each distinct key.
 
     ``k`` orders documents. Where ids are unique and not null, ``k`` is the id. Otherwise ``k`` ranks the distinct
     ``(id, text)`` pairs by id (nulls last), ties by a hash of the text: rows that repeat both are the same
@@ -45,13 +45,13 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     n, known, distinct = base.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n == known == distinct:
         rows = base.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), "text")
-        return rows, rows.select("k", "text")
+        return rows, rows
     hashed = base.withColumn("h", F.xxhash64("text"))
     ids = hashed.select("doc_id", "h").distinct()
     ranked = ids.orderBy(F.col("doc_id").asc_nulls_last(), "h").rdd.zipWithIndex().map(lambda p: (p[0][0], p[0][1], p[1]))
     ranked = materialise(ranked.toDF("id_ long, h_ long, k long"), "keys")
     rows = hashed.join(ranked, hashed.doc_id.eqNullSafe(ranked.id_) & (hashed.h == ranked.h_)).select("doc_id", "k", "text")
-    return rows, rows.select("k", "text").dropDuplicates(["k"])
+    return rows, rows.dropDuplicates(["k"])
 
 
 # ---------------------------------------------------------------- Arrow

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import bpe, mixing, sharding
+from quaero.llm import bpe, mixing, sharding, substring_dedup, suffix_dedup
 
 SHARD_BYTES = 1 << 20
 MIX_POWER = 0.5
@@ -19,6 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, b, unnest(generate_series(1, n - 99)) AS s FROM d WHERE n >= 100),
+v AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_slice(b, s, s + 99) ORDER BY doc_id, s) AS nth FROM w),
+h AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM v WHERE nth > 1),
+g AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM h),
+r AS (SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM g GROUP BY doc_id, run),
+edge AS (SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM r
+         UNION ALL SELECT d.doc_id, 1, min(r.lo) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT doc_id, string_agg(hex(array_slice(b, lo, coalesce(hi, n + 1) - 1)), '' ORDER BY lo) AS x FROM edge JOIN d USING (doc_id) WHERE lo < coalesce(hi, n + 1) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = {r["source"]: r["n_docs"] for r in mixing.source_sizes(docs).collect()}
@@ -44,17 +65,38 @@ SELECT doc_id, n_bytes, shard, depth, shard_docs, shard_bytes, oversized FROM le
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS s FROM d WHERE len(w) >= 50),
+v AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY array_to_string(w[s:s + 49], ' ')) AS first FROM s),
+gone AS (SELECT DISTINCT doc_id, s + o AS p FROM v, (SELECT unnest(generate_series(0, 49)) AS o) WHERE doc_id > first),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+k AS (SELECT p.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY p.p) FILTER (WHERE gone.p IS NULL) AS kept FROM p LEFT JOIN gone USING (doc_id, p) GROUP BY p.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op7_extendible_sharding": op7_extendible_sharding,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": OP1_SQL,
     "op7_extendible_sharding": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }
