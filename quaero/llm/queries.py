@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import bpe, mixing, sharding, substring_dedup, suffix_dedup
+from quaero.llm import bpe, language_id, mixing, sharding, substring_dedup, suffix_dedup, toxicity
 
 SHARD_BYTES = 1 << 20
 MIX_POWER = 0.5
@@ -46,6 +46,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.tempered(sizes, MIX_POWER), MIX_BLOCK_DOCS)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = language_id.predict(docs, language_id.learn(docs))
+    return labelled.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -90,6 +102,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_bpe_codec": op10_bpe_codec,
