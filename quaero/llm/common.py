@@ -42,16 +42,21 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     document listed twice, rows that repeat only the id are two documents.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n, known, distinct = base.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    rows, repeats = with_key(base, "doc_id", ["text"])
+    rows = rows.select("doc_id", "k", "text")
+    return rows, rows.dropDuplicates(["k"]) if repeats else rows
+
+
+def with_key(base: DataFrame, id_col: str, others: list[str]) -> tuple[DataFrame, bool]:
+    """``base`` with the key ``k`` of ``keyed``, and whether keys may repeat: they do only where ids repeat."""
+    n, known, distinct = base.agg(F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)).first()
     if n == known == distinct:
-        rows = base.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), "text")
-        return rows, rows
-    hashed = base.withColumn("h", F.xxhash64("text"))
-    ids = hashed.select("doc_id", "h").distinct()
-    ranked = ids.orderBy(F.col("doc_id").asc_nulls_last(), "h").rdd.zipWithIndex().map(lambda p: (p[0][0], p[0][1], p[1]))
-    ranked = materialise(ranked.toDF("id_ long, h_ long, k long"), "keys")
-    rows = hashed.join(ranked, hashed.doc_id.eqNullSafe(ranked.id_) & (hashed.h == ranked.h_)).select("doc_id", "k", "text")
-    return rows, rows.dropDuplicates(["k"])
+        return base.withColumn("k", F.coalesce(id_col, F.lit(LAST_ID))), False
+    hashed = base.withColumn("h", F.xxhash64(*others))
+    ids = hashed.select(id_col, "h").distinct()
+    ranked = ids.orderBy(F.col(id_col).asc_nulls_last(), "h").rdd.zipWithIndex().map(lambda p: (p[0][0], p[0][1], p[1]))
+    ranked = materialise(base.sparkSession.createDataFrame(ranked, "id_ long, h_ long, k long"), "keys")
+    return hashed.join(ranked, hashed[id_col].eqNullSafe(ranked.id_) & (hashed.h == ranked.h_)).drop("h", "id_", "h_"), True
 
 
 # ---------------------------------------------------------------- Arrow

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quaero.llm.common import LOWER, batch_of, blocks, ints, keyed, materialise, mix, prefix_sums, span_hash, text_bytes, word_hashes, word_spans
 from quaero.llm.components import components
+from quaero.llm.vectors import runs, whole_keys
 
 SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 12
@@ -262,12 +263,11 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = dealt.select(key.alias("key"), "k", "block").join(sets, "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_keys(batches):
+        for rows in whole_keys(batches):
             key, k, block, n = (rows.column(c).to_numpy() for c in ("key", "k", "block", "n"))
             data, offs = text_bytes(rows.column("tokens"))
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             a, b = [], []
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for i, j in runs(key):
                 if j - i > 1:
                     root = join_bucket(n[i:j], data[offs[i] : offs[j]].view(np.uint64), block[i:j], percent)
                     moved = np.flatnonzero(root != np.arange(j - i))
@@ -279,24 +279,6 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "k").mapInArrow(run, "a long, b long")
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.Table]:
-    """Tables of whole keys, from rows sorted by key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            held.append(batch.slice(i, 2048))
-            if sum(b.nbytes for b in held) < most:
-                continue
-            rows = pa.Table.from_batches(held)
-            key = rows.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield rows.slice(0, cut).combine_chunks()
-            held = rows.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def similar_components(docs: DataFrame, n_gram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, k, n_shingles, class_id, component_id`` for every row of ``docs``.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import bpe, language_id, mixing, ngram_join, sharding, substring_dedup, suffix_dedup, toxicity
+from quaero.llm import bpe, language_id, mixing, ngram_join, pivot_index, rp_forest, sharding, substring_dedup, suffix_dedup, toxicity
 
 SHARD_BYTES = 1 << 20
 MIX_POWER = 0.5
@@ -68,6 +68,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = language_id.predict(docs, language_id.learn(docs))
@@ -120,15 +142,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
+    "op5_pivot_near_dedup": op5_pivot_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_extendible_sharding": op7_extendible_sharding,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_rp_forest": op9_rp_forest,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": OP1_SQL,
     "op3_ngram_join": OP3_SQL,
+    "op5_pivot_near_dedup": OP5_SQL,
     "op7_extendible_sharding": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
