@@ -59,6 +59,14 @@ def with_key(base: DataFrame, id_col: str, others: list[str]) -> tuple[DataFrame
     return hashed.join(ranked, hashed[id_col].eqNullSafe(ranked.id_) & (hashed.h == ranked.h_)).drop("h", "id_", "h_"), True
 
 
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """``(row, k)``: every row whole as a struct, so that no column can clash, with the key that ``keyed`` gives it,
+    and whether keys may repeat."""
+    base = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, repeats = with_key(base, "doc_id", ["text"])
+    return rows.select("row", "k"), repeats
+
+
 # ---------------------------------------------------------------- Arrow
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

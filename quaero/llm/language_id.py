@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaero.llm.common import batch_of, blocks, text_bytes
 from quaero.llm.toxicity import held_out
@@ -175,12 +176,12 @@ def learn(docs: DataFrame, per_language: int = 400, stretches: int = 4, **settin
     return fit(langs, data, got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), **settings)
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
+def predict(docs: DataFrame, net: Network | None, whole_rows: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row, from the text alone: the language with the highest mean probability
     over the positions of the whole text, and that probability.
 
     A text that is null or has no letter is ``und`` with score 0, and so is everything if nothing was learned. Ties go
-    to the first language in order. Rows are labelled one by one, so repeated rows and null ids need no rule; an
+    to the first language in order. With ``whole_rows`` each row also comes whole, as the struct ``row``. Rows are labelled one by one, so repeated rows and null ids need no rule; an
     empty table gives no rows. Other columns play no part.
     """
 
@@ -213,6 +214,17 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                     best, top = mean.argmax(axis=1), mean.max(axis=1)
                 known = lettered & (net is not None)
                 names = [net.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
-                yield batch_of(doc_id=batch.column("doc_id").slice(i, j - i), lang_pred=pa.array(names, pa.string()), score=pa.array(np.clip(np.where(known, top, 0.0), 0, 1)))
+                more = {"row": batch.column("row").slice(i, j - i)} if whole_rows else {}
+                yield batch_of(doc_id=batch.column("doc_id").slice(i, j - i), lang_pred=pa.array(names, pa.string()), score=pa.array(np.clip(np.where(known, top, 0.0), 0, 1)), **more)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = T.StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if whole_rows:
+        schema = schema.add("row", docs.schema)
+        columns.append(F.struct("*").alias("row"))
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """``docs`` with its columns, without the rows that are ``und`` or whose language is less probable than ``least``."""
+    return predict(docs, net, whole_rows=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import materialise
+from quaero.llm.common import keyed_rows, materialise
 
 
 def rounded(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
@@ -112,3 +112,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float], block_docs
         ((F.col("t") + offset) * block_docs + F.col("source_rank") % block_docs).alias("position"),
         ((F.col("t") + offset) < horizon).alias("in_mixture"),
     )
+
+
+def mixture(docs: DataFrame, power: float, block_docs: int) -> DataFrame:
+    """``docs`` with its columns, in the mixture of its sources with weights n ** power: the rows whose slot lies
+    before the first source runs out, so that what is left has the target weights up to one block of each source."""
+    sizes = {r["source"]: r["n_docs"] for r in source_sizes(docs).collect()}
+    if not sizes:
+        return docs
+    rows, _ = keyed_rows(docs)
+    rows = rows.select("row", F.col("k").alias("doc_id"), F.col("row.source").cast("string").alias("source"))
+    dealt = mix_sources(rows, tempered(sizes, power), block_docs)
+    return rows.join(dealt.filter("in_mixture").select("doc_id"), "doc_id", "left_semi").select("row.*")

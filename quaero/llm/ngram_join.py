@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import LOWER, batch_of, blocks, ints, keyed, materialise, mix, prefix_sums, span_hash, text_bytes, word_hashes, word_spans
+from quaero.llm.common import LOWER, batch_of, blocks, ints, keyed, keyed_rows, materialise, mix, prefix_sums, span_hash, text_bytes, word_hashes, word_spans
 from quaero.llm.components import components
 from quaero.llm.vectors import runs, whole_keys
 
@@ -280,7 +280,7 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, n_gram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, k, n_shingles, class_id, component_id`` for every row of ``docs``.
+    """``doc_id, k, n_shingles, class_id, component_id, component_k`` for every row of ``docs`` (``k`` orders documents).
 
     A document's set holds its distinct ``n_gram``-word shingles, A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``; with
     fewer words, the whole sequence as one; null, empty and blank texts have the empty set and no links. Two documents
@@ -302,6 +302,14 @@ def similar_components(docs: DataFrame, n_gram: int = 5, percent: int = 80, id_c
     of = classes.join(found, "rep", "left").select("k", "rep", F.coalesce("component", "rep").alias("component"))
     names = rows.select("k", "doc_id").distinct()
     of = of.join(names.select(F.col("k").alias("component"), F.col("doc_id").alias("component_id")), "component").join(names.select(F.col("k").alias("rep"), F.col("doc_id").alias("class_id")), "rep")
-    out = rows.select("doc_id", "k").join(info.select("k", "n"), "k", "left").join(of.select("k", "class_id", "component_id", F.lit(True).alias("linked")), "k", "left")
+    out = rows.select("doc_id", "k").join(info.select("k", "n"), "k", "left").join(of.select("k", "class_id", "component_id", "component", F.lit(True).alias("linked")), "k", "left")
     own = lambda c: F.when(F.col("linked"), F.col(c)).otherwise(F.col("doc_id")).alias(c)
-    return out.select("doc_id", "k", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
+    return out.select("doc_id", "k", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), F.coalesce("component", "k").alias("component_k"))
+
+
+def keep_one(docs: DataFrame, n_gram: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with its columns, one row of each component: the one with the smallest id."""
+    rows, repeats = keyed_rows(docs)
+    kept = similar_components(docs, n_gram, percent).filter("k = component_k").select("k")
+    out = rows.join(kept, "k", "left_semi")
+    return (out.dropDuplicates(["k"]) if repeats else out).select("row.*")

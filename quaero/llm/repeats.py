@@ -253,8 +253,8 @@ def removed_mask(n: int, offs: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi:
     return np.cumsum(edge[:-1]) > 0
 
 
-def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame) -> DataFrame:
-    """``doc_id, k, n_symbols, n_removed, n_spans, kept`` (bytes) for every row."""
+def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, k, n_symbols, n_removed, n_spans, kept`` (bytes) for every row; ``whole``: no part of a character stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +278,11 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame) -> DataFrame:
                     part[joined] = 32
                 else:
                     at, gone = here, removed_mask(len(part), here, doc[own] - i, lo[own], hi[own])
-                    keep = np.append(~gone, False)
+                    kept_ = ~gone
+                    if whole and gone.any():
+                        char = np.cumsum((part & 0xC0) != 0x80)
+                        kept_ = np.bincount(char[gone], minlength=int(char[-1]) + 1)[char] == 0
+                    keep = np.append(kept_, False)
                     part = np.append(part, np.uint8(0))
                 first = gone.copy()
                 first[1:] &= ~gone[:-1]
@@ -294,6 +298,6 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame) -> DataFrame:
     return rows.join(cuts, "k", "left").select("doc_id", "k", "text", "cut").mapInArrow(run, "doc_id long, k long, n_symbols long, n_removed long, n_spans long, kept binary")
 
 
-def remove(unit: Unit, docs: DataFrame, cut: Callable, schema: str, resolve: Callable, id_col: str, text_col: str) -> DataFrame:
+def remove(unit: Unit, docs: DataFrame, cut: Callable, schema: str, resolve: Callable, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
     rows, texts = keyed(docs, id_col, text_col)
-    return cut_out(unit, rows, repeated(unit, texts, cut, schema, resolve))
+    return cut_out(unit, rows, repeated(unit, texts, cut, schema, resolve), whole)
