@@ -131,7 +131,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), pa.py_buffer(token.tobytes())])
                 yield batch_of(k=batch.column("k").slice(i, j - i), n=np.diff(at).astype(np.int64), tokens=packed)
 
-    return texts.join(wanted, "k", "left_semi").select("k", "text").mapInArrow(run, "k long, n long, tokens binary")
+    # a sort-merge join at every size: a broadcast would hold as many ids as there are near copies
+    return texts.join(wanted.hint("merge"), "k", "left_semi").select("k", "text").mapInArrow(run, "k long, n long, tokens binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -260,7 +261,7 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.expr("sequence(0, parts - 1)"))
     dealt = dealt.select("bucket", "k", "block", other.alias("other"))
     key = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    rows = dealt.select(key.alias("key"), "k", "block").join(sets, "k")
+    rows = dealt.select(key.alias("key"), "k", "block").join(sets.hint("merge"), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_keys(batches):
