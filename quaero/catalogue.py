@@ -1,4 +1,429 @@
-"""Every query of the engine's own operators, with its SQL twin."""
+"""Every query of the engine's own operators, with its SQL twin.
+
+The corpus is ``documents`` (kind ``tekst``), ``pages`` (``browser``) and ``conversations`` (``mail``). Where a
+document needs a date, it is 2024-01-01 plus its id modulo 365 days.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaero import sqltwin as sql
+from quaero.functions import dates, language, text
+from quaero.functions.language import stem_word
+from quaero.operators import index, search
+from quaero.plans.question import understand
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+NOW = dt.datetime(2024, 9, 28, 12)
+SUBJECT = ["thtion", "thble", "attion"]
+QUESTION = " ".join(SUBJECT)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str, dated: bool = True) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("doc/"), F.col("doc_id"))
+    when = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(doc_id % 365 as int))") if dated else None
+    return docs.select(*index.corpus_row(F.col("doc_id"), F.col("source"), path, text.title_of(F.col("text"), path), "tekst", F.col("text"), when))
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    path = F.concat(F.lit("mail/"), F.col("conv_id"), F.lit("/"), F.col("turn"))
+    return turns.select(*index.corpus_row(F.col("conv_id") * 1000 + F.col("turn") + 1_000_000_000, F.lit("mail"), path, text.title_of(F.col("text"), F.lit("mail")), "mail", F.col("text")))
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    body = text.strip_html(F.col("html"))
+    return pages.select(*index.corpus_row(F.col("page_id") + 2_000_000_000, F.lit("browser"), F.col("url"), text.html_title(F.col("html")), "browser", body, url=F.col("url")))
+
+
+# ---------------------------------------------------------------- words
+
+@query(f"SELECT doc_id, len({sql.tokens('text')})::INTEGER AS n_tokens, len(list_distinct({sql.tokens('text')}))::INTEGER AS n_distinct FROM documents")
+def tokenise_counts(spark, sf_dir):
+    found = language.tokenise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_tokens"), F.size(F.array_distinct(found)).alias("n_distinct"))
+
+
+@query(f"WITH {sql.stems_table('s', 'documents', 'text')} SELECT doc_id, string_agg(word, ' ' ORDER BY word) AS words FROM s GROUP BY doc_id")
+def document_words(spark, sf_dir):
+    words = F.array_sort(language.document_words(F.col("text")))
+    return table(spark, sf_dir, "documents").filter(F.size(words) > 0).select("doc_id", F.array_join(words, " ").alias("words"))
+
+
+@query(f"WITH t AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS word FROM documents) SELECT word, {sql.stem('word')} AS stem FROM t")
+def stem_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(language.tokenise(F.col("text"))).alias("word")).distinct()
+    return words.select("word", language.stem(F.col("word")).alias("stem"))
+
+
+_KEPT = f"list_filter({sql.tokens('text')}, lambda w: length(w) > 1 AND w NOT IN ({sql.STOP}))"
+_LONG = f"list_filter({sql.tokens('text')}, lambda w: length(w) > 1)"
+
+
+@query(f"SELECT doc_id, array_to_string(CASE WHEN len({_KEPT}) > 0 THEN {_KEPT} WHEN len({_LONG}) > 0 THEN {_LONG} ELSE {sql.tokens('text')}[1:1] END, ' ') AS kept FROM documents")
+def stopword_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(language.remove_stopwords(language.tokenise(F.col("text"))), " ").alias("kept"))
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT doc_id, unnest({sql.tokens('text')}) AS w FROM documents),
+s AS (SELECT doc_id, w, {sql.stem('w')} AS s FROM t), f(key, place, form) AS (VALUES {sql.family_rows()}), k AS (SELECT DISTINCT key FROM f),
+u AS (SELECT doc_id, s AS word FROM s WHERE s <> '' AND s NOT IN ({sql.STOP})
+      UNION SELECT doc_id, form FROM s JOIN f ON f.key = w WHERE form <> w
+      UNION SELECT doc_id, form FROM s JOIN f ON f.key = s WHERE form <> w AND w NOT IN (SELECT key FROM k))
+SELECT doc_id, count(*)::INTEGER AS n, md5(string_agg(word, ' ' ORDER BY word)) AS words FROM u GROUP BY doc_id""")
+def keyword_expand(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = F.array_sort(language.keywords(F.array_distinct(language.tokenise(F.col("text")))))
+    return docs.select("doc_id", words.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
+
+
+@query(f"WITH c AS ({sql.corpus()}), {sql.stems_table('s', '(SELECT doc_id, title || chr(32) || text AS f FROM c)', 'f')} SELECT word, count(*) AS df FROM s GROUP BY word")
+def vocabulary_df(spark, sf_dir):
+    return search.vocabulary(documents(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- match and rank
+
+def _matched(spark, sf_dir, words):
+    return search.match(index.Index.of(documents(spark, sf_dir)), words).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _matched_sql(words):
+    return f"WITH c AS ({sql.corpus()}), {sql.match(words)} SELECT doc_id, round(score, 6) AS score FROM m"
+
+
+@query(_matched_sql(SUBJECT[:1]))
+def bm25_single_term(spark, sf_dir):
+    return _matched(spark, sf_dir, SUBJECT[:1])
+
+
+@query(_matched_sql(SUBJECT))
+def bm25_or_query(spark, sf_dir):
+    return _matched(spark, sf_dir, SUBJECT)
+
+
+@query(f"WITH c AS ({sql.corpus()}), {sql.match(SUBJECT)} SELECT doc_id, term, tf FROM tf")
+def bm25_weighted_columns(spark, sf_dir):
+    return index.postings(documents(spark, sf_dir)).filter(F.col("term").isin(*SUBJECT)).select("doc_id", "term", "tf")
+
+
+PHRASE = ["of", "the"]
+
+
+@query(f"""
+WITH c AS ({sql.corpus()}), {sql.stems_table('ws', "(SELECT doc_id, left(title, 16000) || '  ' || left(text, 16000) AS whole FROM c)", 'whole')},
+t AS (SELECT doc_id, 1.0::DOUBLE AS w, {sql.index_tokens('text')} AS k FROM c UNION ALL SELECT doc_id, 3.0, {sql.index_tokens('title')} FROM c),
+n AS (SELECT doc_id, sum(w * len(list_filter(range(1, len(k)), lambda i: k[i] = 'of' AND k[i + 1] = 'the'))) AS tf FROM t GROUP BY doc_id),
+o AS (SELECT doc_id, min(p) FILTER (WHERE word = 'of') AS a, min(p) FILTER (WHERE word = 'the') AS b FROM (
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS p FROM (
+    SELECT doc_id, {sql.stem('w')} AS word, min(p) AS p FROM (SELECT doc_id, unnest(k) AS w, unnest(range(1, len(k) + 1)) AS p FROM (SELECT doc_id, {sql.tokens("left(title, 16000) || '  ' || left(text, 16000)")} AS k FROM c)) WHERE length(w) >= 2 GROUP BY doc_id, word)) GROUP BY doc_id)
+SELECT doc_id, 'of the' AS term, tf + CASE WHEN b = a + 1 THEN 1 ELSE 0 END AS tf FROM n LEFT JOIN o USING (doc_id) WHERE tf + CASE WHEN b = a + 1 THEN 1 ELSE 0 END > 0""")
+def phrase_match(spark, sf_dir):
+    return search.phrase_frequency(documents(spark, sf_dir), PHRASE)
+
+
+def _ranked(corpus, question, now=NOW):
+    found = search.rank(index.Index.of(corpus), understand(question, now), now)
+    return found.select("doc_id", "kind", "title", F.round("score", 6).alias("score"))
+
+
+@query(sql.search(sql.corpus(), SUBJECT, SUBJECT, NOW))
+def search_ranked(spark, sf_dir):
+    return _ranked(documents(spark, sf_dir), QUESTION)
+
+
+@query(sql.search(f"{sql.corpus()} UNION ALL {sql.MAILS}", SUBJECT, SUBJECT, NOW, "kind = 'mail'"))
+def search_kind_filter(spark, sf_dir):
+    return _ranked(documents(spark, sf_dir).unionByName(mails(spark, sf_dir)), f"dat mailtje over {QUESTION}")
+
+
+@query(sql.search(f"{sql.corpus()} UNION ALL {sql.MAILS}", SUBJECT, SUBJECT, NOW, "(mtime IS NULL OR mtime BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-03-31 23:59:59')", True))
+def search_period_filter(spark, sf_dir):
+    return _ranked(documents(spark, sf_dir).unionByName(mails(spark, sf_dir)), f"{QUESTION} in maart")
+
+
+@query()
+def search_presented(spark, sf_dir):
+    question = understand(QUESTION, NOW)
+    corpus = documents(spark, sf_dir).unionByName(mails(spark, sf_dir)).unionByName(visits(spark, sf_dir))
+    return search.present(search.rank(index.Index.of(corpus), question, NOW), question)
+
+
+@query()
+def fuzzy_suggest(spark, sf_dir):
+    return search.suggestions(search.vocabulary(documents(spark, sf_dir)), [stem_word(w) for w in ("thtionn", "atttion", "thbble")])
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b]+', ' ', 'g')) AS flat FROM documents),
+p AS (SELECT doc_id, flat, least(nullif(instr(lower(flat), 'thtion'), 0), nullif(instr(lower(flat), 'thble'), 0), nullif(instr(lower(flat), 'attion'), 0)) AS first FROM c),
+b AS (SELECT doc_id, flat, coalesce(greatest(0, first - 1 - 80), 0) AS b FROM p)
+SELECT doc_id, CASE WHEN b > 0 THEN '…' ELSE '' END || substr(flat, b + 1, 240) || CASE WHEN b + 240 < length(flat) THEN '…' ELSE '' END AS snippet FROM b""")
+def snippet(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), SUBJECT).alias("snippet"))
+
+
+# ---------------------------------------------------------------- text
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return index.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    return index.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("text")).alias("longest"))
+
+
+@query()
+def best_fragment(spark, sf_dir):
+    return search.best_chunk(table(spark, sf_dir, "documents")).select("doc_id", "fragment")
+
+
+@query(f"SELECT doc_id, {sql.title('text', chr(39) + 'doc/' + chr(39) + ' || doc_id')} AS title FROM documents")
+def title_from_content(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "title")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')) AS title FROM pages WHERE NOT contains(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&')")
+def html_title(spark, sf_dir):
+    raw = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").filter(~F.contains(raw, F.lit("&"))).select("page_id", text.html_title(F.col("html")).alias("title"))
+
+
+_BODY = "regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g')"
+_BODY = f"regexp_replace(regexp_replace({_BODY}, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|tr|h[1-6]|section|article|header|footer)>', chr(10), 'g')"
+_BODY = f"regexp_replace(regexp_replace({_BODY}, '<[^>]+>', ' ', 'g'), '[ \\t\\x0c\\x0b]+', ' ', 'g')"
+
+
+@query(f"""
+WITH b AS (SELECT page_id, {_BODY} AS b, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')) AS t FROM pages),
+l AS (SELECT page_id, t, array_to_string(list_filter(list_transform(string_split_regex(b, '\\r\\n|[\\n\\r]'), lambda x: trim(x)), lambda x: x NOT IN ('', 'window.', 'document.')), chr(10)) AS body FROM b)
+SELECT page_id, md5(CASE WHEN t <> '' AND NOT contains(lower(body), lower(t)) THEN trim(t || chr(10) || body, chr(10) || ' ') WHEN body <> '' THEN body ELSE t END) AS text_md5 FROM l""")
+def strip_html_text(spark, sf_dir):
+    """Entities stay as they are here, so that SQL can say the same; ``pages_text`` decodes them."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_html(F.col("html"), decode=lambda c: c).cast("binary")).alias("text_md5"))
+
+
+@query()
+def pages_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, regexp_extract(url, '(?s)^.*?://([^/]*)', 1) AS host FROM pages")
+def host_of_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.host_of(F.col("url")).alias("host"))
+
+
+@query("SELECT regexp_extract(url, '(?s)^.*?://([^/]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def hosts_count(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(text.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_PARTS = "list_filter(string_split_regex(lower(url), '[^a-z0-9]+'), lambda p: length(p) > 2)"
+
+
+def _near(w):
+    return f"CASE WHEN len(list_filter({_PARTS}, lambda p: contains(p, '{w[:5]}') OR contains('{w}', left(p, 5)))) > 0 THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT page_id, least(1.0::DOUBLE, ({_near('example')} + {_near('article')}) / 2.0::DOUBLE) AS similarity FROM pages")
+def url_similarity(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.url_similarity(F.col("url"), ["example", "article"]).alias("similarity"))
+
+
+@query("""SELECT doc_id, length(text) < 8 OR (length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / greatest(length(text), 1) < 0.25 AND length(replace(text, ' ', '')) >= 40)
+ OR length(regexp_replace(text, '[^\\x00-\\x08\\x0b-\\x1f]', '', 'g')) / greatest(length(text), 1) > 0.1 AS unreadable FROM documents""")
+def unreadable_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.unreadable(F.col("text")).alias("unreadable"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_partkey % 90 || '. ' || replace(p_name, ' ', ' - ') || ' (Official Video).mp3' AS f, p_name FROM part)
+SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN string_split(p_name, ' ')[1] ELSE '' END AS artist, CASE WHEN contains(p_name, ' ') THEN replace(substr(p_name, instr(p_name, ' ') + 1), ' ', ' - ') ELSE p_name END AS title FROM n""")
+def filename_artist_title(spark, sf_dir):
+    name = F.concat(F.col("p_partkey") % 90, F.lit(". "), F.replace("p_name", F.lit(" "), F.lit(" - ")), F.lit(" (Official Video).mp3"))
+    artist, title = text.artist_and_title(name)
+    return table(spark, sf_dir, "part").select("p_partkey", artist.alias("artist"), title.alias("title"))
+
+
+# ---------------------------------------------------------------- time
+
+@query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31 23:59:59'")
+def period_month(spark, sf_dir):
+    period = dates.parse_time("vergaderingen van januari 2024", NOW).period
+    return table(spark, sf_dir, "events").filter(period.holds(F.col("ts"))).select("event_id", "ts")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-11' AND TIMESTAMP '2024-01-11 23:59:59'")
+def period_day(spark, sf_dir):
+    period = dates.parse_time("mail van 11-01-2024", NOW).period
+    return table(spark, sf_dir, "events").filter(period.holds(F.col("ts"))).select("event_id", "ts")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-19 23:59:59'")
+def period_last_days(spark, sf_dir):
+    period = dates.parse_time("wat ik 2 weken geleden zag", dt.datetime(2024, 1, 19, 9)).period
+    return table(spark, sf_dir, "events").filter(period.holds(F.col("ts"))).select("event_id", "ts")
+
+
+@query("SELECT event_id, round(1 / (1 + abs(floor((epoch(TIMESTAMP '2024-01-19 09:00:00') - epoch(date_trunc('second', ts))) / 86400)) / 365.0), 9) AS recency FROM events")
+def recency_score(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(dates.recency(dt.datetime(2024, 1, 19, 9), F.col("ts")), 9).alias("recency"))
+
+
+@query("SELECT event_id, ts AS moment FROM events")
+def chrome_time(spark, sf_dir):
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) + 11_644_473_600_000_000
+    return table(spark, sf_dir, "events").select("event_id", dates.chrome_time(micros).cast("timestamp_ntz").alias("moment"))
+
+
+@query("SELECT event_id, ts AS moment FROM events")
+def firefox_time(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", dates.firefox_time(F.unix_micros(F.col("ts").cast("timestamp"))).cast("timestamp_ntz").alias("moment"))
+
+
+@query("SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id LIMIT 4000")
+def newest_n(spark, sf_dir):
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(4000).select("event_id", "ts", "user_id")
+
+
+# ---------------------------------------------------------------- rounds: labels stand for what the index knows
+
+def _files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    when = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(doc_id % 365 as int))")
+    return docs.select(F.col("source"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), when.alias("mtime"), F.lit(2).alias("round"))
+
+
+def _stored(spark, sf_dir):
+    """The state before: labelled documents; every seventh had another size, every eleventh no time; some files are gone."""
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct().join(table(spark, sf_dir, "documents"), "doc_id")
+    when = F.expr("CASE WHEN doc_id % 11 <> 0 THEN timestamp_ntz '2024-01-01' + make_dt_interval(cast(doc_id % 365 as int)) END")
+    size = F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+    path = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("old/"), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string"))
+    return known.select("source", path.alias("path"), size.alias("size"), when.alias("mtime"), F.lit(1).alias("round"))
+
+
+_ROUND = """
+WITH f AS (SELECT source, doc_id::VARCHAR AS path, n_chars AS size, TIMESTAMP '2024-01-01' + to_days((doc_id % 365)::INTEGER) AS mtime, 2 AS round FROM documents),
+s AS (SELECT source, CASE WHEN doc_id % 13 = 0 THEN 'old/' || doc_id ELSE doc_id::VARCHAR END AS path, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size,
+      CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((doc_id % 365)::INTEGER) END AS mtime, 1 AS round FROM (SELECT DISTINCT doc_id FROM labels) JOIN documents USING (doc_id)),
+u AS (SELECT f.source, f.path FROM f JOIN s USING (source, path) WHERE f.size = s.size AND abs(epoch(f.mtime) - epoch(s.mtime)) < 1)
+"""
+
+
+@query(_ROUND + "SELECT * FROM u")
+def round_unchanged(spark, sf_dir):
+    return index.unchanged(_files(spark, sf_dir), _stored(spark, sf_dir)).select("source", "path")
+
+
+@query(_ROUND + "SELECT source, path FROM f ANTI JOIN u USING (source, path)")
+def round_to_read(spark, sf_dir):
+    return index.to_read(_files(spark, sf_dir), _stored(spark, sf_dir)).select("source", "path")
+
+
+@query(_ROUND + "SELECT source, path FROM s ANTI JOIN f USING (source, path) WHERE source <> 'src3'")
+def round_removed(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    completed = files.select("source").distinct().filter("source <> 'src3'")
+    return index.gone(_stored(spark, sf_dir), files, completed).select("source", "path")
+
+
+@query(_ROUND + "SELECT source, path, size, mtime, round FROM (SELECT *, row_number() OVER (PARTITION BY source, path ORDER BY round DESC) AS n FROM (SELECT * FROM s UNION ALL SELECT * FROM f)) WHERE n = 1")
+def round_upsert(spark, sf_dir):
+    return index.upsert(_stored(spark, sf_dir), _files(spark, sf_dir)).select("source", "path", "size", "mtime", "round")
+
+
+@query(_ROUND + "SELECT CASE WHEN k.path IS NULL THEN 'added' WHEN u.path IS NULL THEN 'updated' ELSE 'skipped' END AS outcome, count(*) AS n FROM f LEFT JOIN s k USING (source, path) LEFT JOIN u USING (source, path) GROUP BY 1")
+def round_progress(spark, sf_dir):
+    files, stored = _files(spark, sf_dir), _stored(spark, sf_dir)
+    known = stored.select("source", "path", F.lit(True).alias("known"))
+    same = index.unchanged(files, stored).select("source", "path", F.lit(True).alias("same"))
+    outcome = F.when(F.col("known").isNull(), "added").when(F.col("same").isNull(), "updated").otherwise("skipped")
+    return files.join(known, index.KEY, "left").join(same, index.KEY, "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n_documents, count(DISTINCT source) AS n_sources, count(*) FILTER (WHERE length(text) < 8) AS n_short FROM documents")
+def state_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_documents"), F.countDistinct("source").alias("n_sources"), F.count_if(F.length("text") < 8).alias("n_short"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def sources_count(spark, sf_dir):
+    return index.per_source(table(spark, sf_dir, "documents"))
+
+
+@query()
+def index_state(spark, sf_dir):
+    return index.state(documents(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- joins and small shapes
+
+@query("""
+WITH m AS (SELECT url AS page_url, page_id % 50 AS icon_id FROM pages), b AS (SELECT event_id AS id, user_id % 50 AS icon_id, event_type AS image FROM events WHERE event_id % 3 <> 0),
+i AS (SELECT page_url, arg_min(image, id) AS image FROM m JOIN b USING (icon_id) WHERE image IS NOT NULL GROUP BY page_url)
+SELECT page_id, coalesce(image, '') AS image FROM pages LEFT JOIN i ON url = page_url""")
+def favicon_join(spark, sf_dir):
+    """First image of each page's icon, left-joined to the visits: pages stand for visits, events for images."""
+    pages = table(spark, sf_dir, "pages")
+    mapping = pages.select(F.col("url").alias("page_url"), (F.col("page_id") % 50).alias("icon_id"))
+    images = table(spark, sf_dir, "events").filter("event_id % 3 <> 0").select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("icon_id"), F.col("event_type").alias("image"))
+    first = images.filter("image IS NOT NULL").groupBy("icon_id").agg(F.min_by("image", "id").alias("image"), F.min("id").alias("id"))
+    per_url = mapping.join(first, "icon_id").groupBy("page_url").agg(F.min_by("image", "id").alias("image"))
+    return pages.join(per_url, pages.url == per_url.page_url, "left").select("page_id", F.coalesce("image", F.lit("")).alias("image"))
+
+
+@query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id")
+def mailbox_summary(spark, sf_dir):
+    """Messages of a mailbox put together in order, with their number and the latest."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"])
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("turn").alias("last_turn"), F.sha2(F.array_join(parts, "\n\n").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.page'), json_extract_string(props, '$.ref'), '') AS value, json_valid(props) AS valid FROM events")
+def json_extra_lookup(spark, sf_dir):
+    extra = F.try_parse_json("props")
+    value = F.coalesce(F.try_variant_get(extra, "$.page", "string"), F.try_variant_get(extra, "$.ref", "string"), F.lit(""))
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value"), extra.isNotNull().alias("valid"))
+
+
+@query("""
+WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS cosine FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 10""")
+def embedding_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    near = vectors.crossJoin(F.broadcast(asked)).select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("q")), 9).alias("cosine"))
+    return near.orderBy(F.desc("cosine"), "vec_id").limit(10)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate BETWEEN (SELECT date_trunc('year', max(o_orderdate)) FROM orders) AND (SELECT max(o_orderdate) FROM orders)")
+def period_year(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderdate")).first()[0]
+    period = dates.parse_time(f"bestellingen van {last.year}", NOW).period
+    return orders.filter(period.holds(F.col("o_orderdate")) & (F.col("o_orderdate") <= F.lit(last))).select("o_orderkey", "o_orderdate")
