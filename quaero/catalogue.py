@@ -108,7 +108,7 @@ def vocabulary_df(spark, sf_dir):
 # ---------------------------------------------------------------- match and rank
 
 def _matched(spark, sf_dir, words):
-    return search.match(index.Index.of(documents(spark, sf_dir)), words).select("doc_id", F.round("score", 6).alias("score"))
+    return search.match(index.Index(documents(spark, sf_dir)), words).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _matched_sql(words):
@@ -135,8 +135,8 @@ PHRASE = ["of", "the"]
 
 @query(f"""
 WITH c AS ({sql.corpus()}), {sql.stems_table('ws', "(SELECT doc_id, left(title, 16000) || '  ' || left(text, 16000) AS whole FROM c)", 'whole')},
-t AS (SELECT doc_id, 1.0::DOUBLE AS w, {sql.index_tokens('text')} AS k FROM c UNION ALL SELECT doc_id, 3.0, {sql.index_tokens('title')} FROM c),
-n AS (SELECT doc_id, sum(w * len(list_filter(range(1, len(k)), lambda i: k[i] = 'of' AND k[i + 1] = 'the'))) AS tf FROM t GROUP BY doc_id),
+t AS (SELECT doc_id, 1.0::DOUBLE AS w, ' ' || array_to_string({sql.index_tokens('text')}, '  ') || ' ' AS k FROM c UNION ALL SELECT doc_id, 3.0, ' ' || array_to_string({sql.index_tokens('title')}, '  ') || ' ' FROM c),
+n AS (SELECT doc_id, sum(w * (length(k) - length(replace(k, ' of  the ', ''))) / 9) AS tf FROM t GROUP BY doc_id),
 o AS (SELECT doc_id, min(p) FILTER (WHERE word = 'of') AS a, min(p) FILTER (WHERE word = 'the') AS b FROM (
   SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS p FROM (
     SELECT doc_id, {sql.stem('w')} AS word, min(p) AS p FROM (SELECT doc_id, unnest(k) AS w, unnest(range(1, len(k) + 1)) AS p FROM (SELECT doc_id, {sql.tokens("left(title, 16000) || '  ' || left(text, 16000)")} AS k FROM c)) WHERE length(w) >= 2 GROUP BY doc_id, word)) GROUP BY doc_id)
@@ -146,7 +146,7 @@ def phrase_match(spark, sf_dir):
 
 
 def _ranked(corpus, question, now=NOW):
-    found = search.rank(index.Index.of(corpus), understand(question, now), now)
+    found = search.rank(index.Index(corpus), understand(question, now), now)
     return found.select("doc_id", "kind", "title", F.round("score", 6).alias("score"))
 
 
@@ -169,7 +169,7 @@ def search_period_filter(spark, sf_dir):
 def search_presented(spark, sf_dir):
     question = understand(QUESTION, NOW)
     corpus = documents(spark, sf_dir).unionByName(mails(spark, sf_dir)).unionByName(visits(spark, sf_dir))
-    return search.present(search.rank(index.Index.of(corpus), question, NOW), question)
+    return search.present(search.rank(index.Index(corpus), question, NOW), question)
 
 
 @query()

@@ -73,7 +73,11 @@ def url_similarity(url: Column, words: list[str]) -> Column:
     if not words:
         return F.lit(0.0)
     parts = F.filter(F.split(F.lower(F.coalesce(url, F.lit(""))), "[^a-z0-9]+"), lambda p: F.length(p) > 2)
-    hits = sum(F.exists(parts, lambda p, w=w: F.contains(p, F.lit(w[:5])) | F.contains(F.lit(w), F.left(p, F.lit(5)))).cast("int") for w in words)
+
+    def near(word: str) -> Column:
+        return F.exists(parts, lambda p: F.contains(p, F.lit(word[:5])) | F.contains(F.lit(word), F.left(p, F.lit(5))))
+
+    hits = sum(near(w).cast("int") for w in words)
     return F.least(F.lit(1.0), hits / F.lit(float(len(words))))
 
 

@@ -21,25 +21,26 @@ def corpus_row(doc_id: Column, source: Column, path: Column, title: Column, kind
     return [v.alias(n) for n, v in zip(CORPUS, values, strict=True)]
 
 
-def columns_of(corpus: DataFrame) -> DataFrame:
-    """The four full-text columns of each document."""
+def tokens_of(corpus: DataFrame) -> DataFrame:
+    """The tokens of the four full-text columns of each document, as arrays named like the columns."""
     full = F.concat_ws(" ", field("title"), field("extra_text"), field("text"))
-    return corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), field("title").alias("title"), field("extra_text").alias("extra"), F.array_join(document_words(full), " ").alias("words"))
+    columns = corpus.select("doc_id", F.col("text").alias("text"), field("title").alias("title"), field("extra_text").alias("extra"), F.array_join(document_words(full), " ").alias("words"))
+    return columns.select("doc_id", *(index_tokens(F.col(c)).alias(c) for c in WEIGHTS))
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """``doc_id, term, tf`` (weighted occurrences) and the places of the term in the text column.
+    """``doc_id, term, tf`` (weighted occurrences): one row for each term of each document."""
+    def weigh(column: str, weight: float) -> Column:
+        return F.transform(column, lambda t: F.struct(F.lit(weight).alias("w"), t.alias("term")))
 
-    A filter on the term reaches the generator, so one question reads the corpus once and keeps only its own terms.
-    """
-    tokens = F.array(*(F.transform(index_tokens(F.col(c)), lambda t, c=c: F.struct(F.lit(w).alias("w"), t.alias("term"))) for c, w in WEIGHTS.items()))
-    rows = columns_of(corpus).select("doc_id", F.explode(F.flatten(tokens)).alias("t"))
-    return rows.select("doc_id", "t.term", "t.w").groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
+    weighted = F.flatten(F.array(*(weigh(c, w) for c, w in WEIGHTS.items())))
+    rows = tokens_of(corpus).select("doc_id", F.explode_outer(weighted).alias("t")).select("doc_id", "t.term", "t.w")
+    return rows.filter("term IS NOT NULL").groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
     """``doc_id, length``: tokens over all full-text columns."""
-    return columns_of(corpus).select("doc_id", sum(F.size(index_tokens(F.col(c))) for c in WEIGHTS).cast("long").alias("length"))
+    return tokens_of(corpus).select("doc_id", sum(F.size(c) for c in WEIGHTS).cast("long").alias("length"))
 
 
 def chunk_table(corpus: DataFrame) -> DataFrame:
@@ -48,21 +49,17 @@ def chunk_table(corpus: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index; from a corpus they are derived when asked for, from a folder they are read."""
+    """The tables of an index. One that is not stored has the corpus only: a question then scans it."""
 
     corpus: DataFrame
-    postings: DataFrame
-    lengths: DataFrame
-
-    @staticmethod
-    def of(corpus: DataFrame) -> Index:
-        return Index(corpus, postings(corpus), lengths(corpus))
+    postings: DataFrame | None = None
+    lengths: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Postings sorted by term: a question's terms touch few row groups."""
         self.corpus.write.parquet(f"{path}/corpus")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-        self.lengths.write.parquet(f"{path}/lengths")
+        postings(self.corpus).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        lengths(self.corpus).write.parquet(f"{path}/lengths")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.functions import dates
-from quaero.functions.language import document_words, fold, index_tokens, stem_word, variants_of
+from quaero.functions.language import document_words, fold, stem_word, variants_of
 from quaero.functions.text import snippet, url_similarity
 from quaero.functions.vocabulary import BM25_B, BM25_K1, CANDIDATES, ERROR_FACTOR, FUZZY_CUTOFF, FUZZY_LENGTH, FUZZY_MATCHES, RECENT_BOOST, RESULTS, TITLE_BOOST, UNDATED_FACTOR, URL_BOOST, WEIGHTS
-from quaero.operators.index import Index, columns_of
+from quaero.operators.index import Index, tokens_of
 from quaero.plans.question import Question, understand
 
 
@@ -30,17 +30,17 @@ def inverse_frequency(n: Column, holding: Column) -> Column:
 
 
 def match(index: Index, words: Sequence[str]) -> DataFrame:
-    """``doc_id, score`` of documents that hold any of the words; a word of several tokens must occur as a phrase.
-
-    Corpus totals are one row each; document frequencies are one row per word. Both are broadcast, as their size is
-    that of the question. Postings of the question's terms meet the lengths on the document.
-    """
-    single = sorted({t for w in words for t in [_tokens(w)] if len(t) == 1 for t in t})
-    phrases = sorted({tuple(t) for w in words if len(t := _tokens(w)) > 1})
-    tf = index.postings.filter(F.col("term").isin(*single)) if single else index.postings.filter(F.lit(False))
-    tf = tf.select("doc_id", "term", "tf")
-    for p in phrases:
-        tf = tf.unionByName(phrase_frequency(index.corpus, list(p)))
+    """``doc_id, score`` of documents that hold any of the words; a word of several tokens must occur as a phrase."""
+    terms = sorted({" ".join(t) for w in words if (t := _tokens(w))})
+    if index.postings is None or any(" " in t for t in terms):
+        return _scan(index.corpus, terms)
+    return _look_up(index, terms)
+
+
+def _look_up(index: Index, terms: list[str]) -> DataFrame:
+    """From the stored postings: only the terms' rows are read. Totals are one row, document frequencies one row per
+    term of the question; both are broadcast."""
+    tf = index.postings.filter(F.col("term").isin(*terms))
     total = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     holding = tf.groupBy("term").agg(F.count(F.lit(1)).alias("holding"))
     rows = tf.join(F.broadcast(holding), "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(total))
@@ -48,6 +48,33 @@ def match(index: Index, words: Sequence[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(score).alias("score"))
 
 
+def occurrences(tokens: Column, term: str) -> Column:
+    """How often a term, or a phrase of terms parted by blanks, occurs among the tokens (a phrase without overlaps)."""
+    parts = term.split(" ")
+    if len(parts) == 1:
+        return F.size(F.filter(tokens, lambda t: t == term))
+    padded = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))  # every token between blanks of its own
+    phrase = " " + "  ".join(parts) + " "
+    return ((F.length(padded) - F.length(F.replace(padded, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+
+
+def term_frequencies(corpus: DataFrame, terms: list[str]) -> DataFrame:
+    """``doc_id, length, tf`` (weighted occurrences of each term, in order) in one pass over the texts."""
+    tf = F.array(*(sum(F.lit(w) * occurrences(F.col(c), t) for c, w in WEIGHTS.items()) for t in terms))
+    return tokens_of(corpus).select("doc_id", sum(F.size(c) for c in WEIGHTS).alias("length"), tf.alias("tf"))
+
+
+def _scan(corpus: DataFrame, terms: list[str]) -> DataFrame:
+    """Without an index: totals and frequencies of all terms in one aggregate, then the scores."""
+    if not terms:
+        return corpus.select("doc_id", F.lit(0.0).alias("score")).filter(F.lit(False))
+    rows = term_frequencies(corpus, terms)
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(terms)))).alias("holding"))
+    found = rows.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(total))
+    score = sum(F.when(F.col("tf")[i] > 0, bm25(F.col("tf")[i], inverse_frequency(F.col("n"), F.col("holding")[i]), F.col("length"), F.col("mean"))).otherwise(0.0) for i in range(len(terms)))
+    return found.select("doc_id", score.alias("score"))
+
+
 def _tokens(word: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in fold(word)).split()
 
@@ -55,15 +82,7 @@ def _tokens(word: str) -> list[str]:
 def phrase_frequency(corpus: DataFrame, words: list[str]) -> DataFrame:
     """``doc_id, term, tf`` for a phrase: weighted places where the words follow each other in a full-text column."""
     term = " ".join(words)
-
-    def places(column: str) -> Column:
-        tokens = index_tokens(F.col(column))
-        at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - len(words) + 1, F.lit(1)))
-        return F.size(F.filter(at, lambda i: F.array_join(F.slice(tokens, i, len(words)), " ") == term))
-
-    likely = F.greatest(*(F.contains(F.array_join(index_tokens(F.col(c)), " "), F.lit(term)) for c in WEIGHTS))
-    rows = columns_of(corpus).filter(likely)
-    return rows.select("doc_id", F.lit(term).alias("term"), sum(F.lit(w) * places(c) for c, w in WEIGHTS.items()).alias("tf")).filter("tf > 0")
+    return term_frequencies(corpus, [term]).select("doc_id", F.lit(term).alias("term"), F.col("tf")[0].alias("tf")).filter("tf > 0")
 
 
 def kind_filter(kind: str) -> Column:
