@@ -161,6 +161,14 @@ class Explanation:
     synonyms: list[str]
     fuzzy: list[str] = field(default_factory=list)
 
+    def lines(self) -> list[str]:
+        said = [self.question.explain(), f"words: {', '.join(self.used)}"]
+        if self.synonyms:
+            said.append(f"synonyms: {', '.join(self.synonyms)}")
+        if self.fuzzy:
+            said.append(f"nothing matched, so similar words were used: {', '.join(self.fuzzy[:5])}")
+        return said
+
 
 class Searcher:
     def __init__(self, index: Index):

@@ -115,3 +115,23 @@ def test_history(spark, tmp_path):
     r = rows.collect()
     assert [(x.url, x.host, x.visits, bytes(x.image)) for x in r] == [("http://a.nl:8/x", "a.nl:8", 2, b"png")]
     assert browser.visit_documents(rows).first().text == "http://a.nl:8/x\nA\n17-01-2024 21:20\nchrome"
+
+
+def test_plan_stops_resumes_and_forgets_folders(spark, tmp_path):
+    from quaero.streaming.plan import Settings, plan, run_plan
+
+    for n in "abc":
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "x.txt").write_text(f"tekst van {n}")
+    settings, snapshots = Settings(spark, f"file://{tmp_path}/index"), Snapshots(spark, f"file://{tmp_path}/index")
+    for n in "abc":
+        settings.add_folder(str(tmp_path / n))
+    assert settings.folders() == [str(tmp_path / n) for n in "abc"]
+    chosen = plan(settings.folders())
+    got = run_plan(settings, snapshots, chosen, stop_after=1)
+    assert (got["added"], got["pending"], got["status"]) == (1, 2, "onderbroken")
+    got = run_plan(settings, snapshots, [])
+    assert (got["added"], got["resumed"], got["pending"], got["status"]) == (2, 1, 0, "klaar")
+    assert run_plan(settings, snapshots, chosen)["skipped"] >= 3
+    settings.remove_folder(str(tmp_path / "a"), snapshots)
+    assert len(settings.folders()) == 2 and snapshots.documents().count() == 2
