@@ -70,9 +70,10 @@ def _scan(corpus: DataFrame, terms: list[str]) -> DataFrame:
         return corpus.select("doc_id", F.lit(0.0).alias("score")).filter(F.lit(False))
     rows = term_frequencies(corpus, terms)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(terms)))).alias("holding"))
-    found = rows.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(total))
+    found = rows.crossJoin(F.broadcast(total))
     score = sum(F.when(F.col("tf")[i] > 0, bm25(F.col("tf")[i], inverse_frequency(F.col("n"), F.col("holding")[i]), F.col("length"), F.col("mean"))).otherwise(0.0) for i in range(len(terms)))
-    return found.select("doc_id", score.alias("score"))
+    # filtered by the score, which needs the totals: a filter on tf would move to the scan and count everything twice
+    return found.select("doc_id", score.alias("score")).filter("score > 0")
 
 
 def _tokens(word: str) -> list[str]:
