@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST_ID = 2**63 - 1
@@ -34,16 +34,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(rows, texts)``: every row as ``(doc_id, k, text)``, and of these one for each distinct key.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(rows, texts)``: every row as ``(doc_id, k, text)`` (and ``rest`` if given), and of these one for each key.
 
     ``k`` orders documents. Where ids are unique and not null, ``k`` is the id. Otherwise ``k`` ranks the distinct
     ``(id, text)`` pairs by id (nulls last), ties by a hash of the text: rows that repeat both are the same
     document listed twice, rows that repeat only the id are two documents.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if rest is None else [rest.alias("rest")]))
     rows, repeats = with_key(base, "doc_id", ["text"])
-    rows = rows.select("doc_id", "k", "text")
+    rows = rows.select("doc_id", "k", "text", *([] if rest is None else ["rest"]))
     return rows, rows.dropDuplicates(["k"]) if repeats else rows
 
 

@@ -152,12 +152,12 @@ def _cut(raw: np.ndarray) -> np.ndarray:
     return out.reshape(n, STEPS)
 
 
-def learn(docs: DataFrame, per_language: int = 400, stretches: int = 4, **settings) -> Network | None:
-    """Fit on about ``per_language`` labelled texts of each language, ``stretches`` stretches from each, spread evenly
+def learn(docs: DataFrame, per_language: int = 400, stretches: int = 4, most_languages: int = 1000, **settings) -> Network | None:
+    """Fit on about ``per_language`` labelled texts of each of the ``most_languages`` commonest languages, ``stretches`` stretches from each, spread evenly
     over the whole text. Held-out rows and rows with a null text, language or id are not used. None: nothing to learn."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count()
+    counts = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages))
     share = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) * F.col("count") < per_language * 1_000_000
     picked = rows.join(counts, "lang").filter(share).select("doc_id", "lang", "text")
 

@@ -22,8 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaero.llm.common import BYTE, batch_of, blocks, gram_hash, ints, keyed, materialise, merged_by, mix, prefix_sums, span_hash, text_bytes, winnow, word_hashes, word_spans
 
@@ -171,7 +172,8 @@ def around(unit: Unit, cut: Callable, schema: str, rows: DataFrame, requests: Da
                     yield batch_of(key=key[own], k=k[doc[own]], lo=lo[own].astype(np.int32), **extra)
 
     asked = requests.groupBy("k").agg(F.collect_list(F.struct("key", "lo")).alias("asked"))
-    return rows.join(asked, "k").select("doc_id", "k", "text", "asked").mapInArrow(run, f"key long, k long, lo int, {schema}")
+    # all columns go in, so that this join and the last one can share one exchange of the texts
+    return rows.join(asked, "k").select(*rows.columns, "asked").mapInArrow(run, f"key long, k long, lo int, {schema}")
 
 
 def _windows(unit: Unit, data, offs, doc, place) -> dict:
@@ -254,7 +256,9 @@ def removed_mask(n: int, offs: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi:
 
 
 def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = False) -> DataFrame:
-    """``doc_id, k, n_symbols, n_removed, n_spans, kept`` (bytes) for every row; ``whole``: no part of a character stays."""
+    """``doc_id, k, n_symbols, n_removed, n_spans, kept`` (bytes) for every row, and its ``rest`` if it has one;
+    ``whole``: no part of a character stays."""
+    carried = "rest" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,12 +296,19 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = Fal
                 total = [s[at[1:]] - s[at[:-1]] for s in sums[:2]]
                 ends_ = sums[2][here]
                 kept = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends_.astype(np.int32).tobytes()), pa.py_buffer(part[keep].tobytes())])
-                yield batch_of(doc_id=batch.column("doc_id").slice(i, j - i), k=batch.column("k").slice(i, j - i), n_symbols=np.diff(at).astype(np.int64), n_removed=total[0].astype(np.int64), n_spans=total[1].astype(np.int64), kept=kept)
-
+                more = {"rest": batch.column("rest").slice(i, j - i)} if carried else {}
+                yield batch_of(doc_id=batch.column("doc_id").slice(i, j - i), k=batch.column("k").slice(i, j - i), n_symbols=np.diff(at).astype(np.int64), n_removed=total[0].astype(np.int64), n_spans=total[1].astype(np.int64), kept=kept, **more)
+
+    schema = T.StructType()
+    for name, kind in (("doc_id", "long"), ("k", "long"), ("n_symbols", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+        schema = schema.add(name, kind)
+    if carried:
+        schema = schema.add("rest", rows.schema["rest"].dataType)
     cuts = stretches.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
-    return rows.join(cuts, "k", "left").select("doc_id", "k", "text", "cut").mapInArrow(run, "doc_id long, k long, n_symbols long, n_removed long, n_spans long, kept binary")
+    return rows.join(cuts, "k", "left").select(*rows.columns, "cut").mapInArrow(run, schema)
 
 
-def remove(unit: Unit, docs: DataFrame, cut: Callable, schema: str, resolve: Callable, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
-    rows, texts = keyed(docs, id_col, text_col)
+def remove(unit: Unit, docs: DataFrame, cut: Callable, schema: str, resolve: Callable, id_col: str, text_col: str, whole: bool = False, rest: Column | None = None) -> DataFrame:
+    """``cut_out`` for ``docs``; with ``rest``, that struct of other columns comes along."""
+    rows, texts = keyed(docs, id_col, text_col, rest)
     return cut_out(unit, rows, repeated(unit, texts, cut, schema, resolve), whole)

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaero.llm import repeats
-from quaero.llm.common import keyed_rows
 from quaero.llm.repeats import Unit
 
 PAD = 0xFF  # in no UTF-8 text
 SHARD = 8_192
+SEED = 32
+STRINGS = "s binary, from_ int, to_ int"
 
 
 def _strings(unit: Unit, data: np.ndarray, offs: np.ndarray, doc: np.ndarray, place: np.ndarray) -> dict:
@@ -113,7 +114,7 @@ def _repeated_intervals(unit: Unit, rows: pa.Table) -> tuple[np.ndarray, np.ndar
     return order[i], lo, lo + unit.window
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts earlier: in a document with a smaller id,
     or further left in the same one. Overlaps count; strings are judged on the input and never cross documents.
 
@@ -123,15 +124,14 @@ def remove_repeats(docs: DataFrame, window: int = 100, seed: int = 32, id_col: s
     from the other), rows that repeat the id alone are two documents, ordered by a hash of the text. Texts shorter
     than a window lose nothing; an empty table gives no rows. Other columns play no part.
     """
-    return repeats.remove(Unit(False, window, seed, True), docs, _strings, "s binary, from_ int, to_ int", _repeated_intervals, id_col, text_col, whole_characters)
+    return repeats.remove(Unit(False, window, seed, True), docs, _strings, STRINGS, _repeated_intervals, id_col, text_col, whole_characters)
 
 
 def rewrite(docs: DataFrame, window: int = 100) -> DataFrame:
     """``docs`` with its columns, ``text`` without its repeats and ``n_chars`` counted anew; every row stays."""
-    rows, repeats_ = keyed_rows(docs)
-    new = remove_repeats(docs, window, whole_characters=True).select("k", F.col("kept").cast("string").alias("new"))
-    if repeats_:
-        new = new.dropDuplicates(["k"])
-    both = rows.join(new, "k")
-    made = {"text": F.when(F.col("row.text").isNotNull(), F.col("new")), "n_chars": F.length("new").cast("long")}
-    return both.select(*(made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    rest = F.struct(F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row"), F.col("text").isNull().alias("null"))
+    unit = Unit(False, window, SEED, True)
+    new = repeats.remove(unit, docs, _strings, STRINGS, _repeated_intervals, "doc_id", "text", True, rest)
+    text = F.when(~F.col("rest.null"), F.col("kept").cast("string"))
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return new.select(*(made.get(c, F.col(f"rest.row.`{c}`")).alias(c) for c in docs.columns))
