@@ -188,47 +188,125 @@ def mailbox(raw: bytes) -> list[bytes]:
     return [p for p in re.split(rb"(?m)^From .*\r?\n", raw) if p.strip()]
 
 
-def pdf(raw: bytes) -> str:
-    """Text shown by the content streams of a PDF whose fonts need no table of their own; positions become lines."""
-    out = []
-    for head, body in re.findall(rb"(?s)<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", raw):
-        try:
-            data = zlib.decompressobj().decompress(body) if b"FlateDecode" in head else body
-        except zlib.error:
+def _hex(digits: bytes) -> bytes:
+    """Bytes of hex digits between angle brackets; an odd number of digits ends in a 0."""
+    clean = re.sub(rb"[^0-9A-Fa-f]", b"", digits)
+    return bytes.fromhex((clean + b"0" * (len(clean) % 2)).decode())
+
+
+def _letters(target: bytes) -> str:
+    return target.decode("latin-1" if len(target) % 2 else "utf-16-be", "replace")
+
+
+def glyphs(table: bytes) -> dict[int, str]:
+    """Letters by glyph code from a font's ToUnicode table: single codes, and ranges that count up or list their targets."""
+    found: dict[int, str] = {}
+    number = lambda digits: int.from_bytes(_hex(digits))
+    for kind, block in re.findall(rb"(?s)beginbf(char|range)(.*?)endbf", table):
+        if kind == b"char":
+            found |= {number(code): _letters(_hex(to)) for code, to in re.findall(rb"<([^<>]*)>\s*<([^<>]*)>", block)}
             continue
+        for low, high, to, listed in re.findall(rb"<([^<>]*)>\s*<([^<>]*)>\s*(?:<([^<>]*)>|\[([^\]]*)\])", block):
+            codes = range(number(low), min(number(high), 0xFFFF) + 1)
+            if to:
+                size = len(_hex(to))
+                targets = [((number(to) + i) % 256**size).to_bytes(size) for i in range(len(codes))]
+            else:
+                targets = [_hex(t) for t in re.findall(rb"<([^<>]*)>", listed)]
+            found |= {c: _letters(t) for c, t in zip(codes, targets, strict=False)}
+    return found
+
+
+def _inflated(head: bytes, body: bytes) -> bytes:
+    try:
+        return zlib.decompressobj().decompress(body) if b"FlateDecode" in head else body
+    except zlib.error:
+        return b""
+
+
+STREAM = rb"(?s)<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream"
+
+
+def _fonts(raw: bytes) -> dict[bytes, tuple[dict[int, str], int]]:
+    """By resource name: the glyph table of each font that has one, and how many bytes a code takes."""
+    objects = {number: body for number, body in re.findall(rb"(?s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", raw)}
+    tables = {}
+    for number, body in objects.items():
+        if b"/Font" in body and (to := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", body)) and (stream := re.search(STREAM, objects.get(to[1], b""))):
+            tables[number] = (glyphs(_inflated(*stream.groups())), 2 if re.search(rb"/Subtype\s*/Type0", body) else 1)
+    return {name: tables[to] for body in objects.values() for name, to in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", body) if to in tables}
+
+
+def pdf(raw: bytes) -> str:
+    """Text shown by the content streams of a PDF, through its fonts' own glyph tables where they have one; positions
+    become lines."""
+    out, fonts = [], _fonts(raw)
+    for head, body in re.findall(STREAM, raw):
+        data = _inflated(head, body)
         if b"BT" not in data or not re.search(rb"T[jJ]|['\"]", data):
             continue
-        for op in re.finditer(rb"\((?P<s>(?:\\.|[^\\()])*)\)|(?P<h><[0-9A-Fa-f\s]+>)|(?P<n>\bT[dDm*]|\bET\b|['\"])", data):
-            if op["n"]:
+        table, width = {}, 1
+        for op in re.finditer(rb"\((?P<s>(?:\\.|[^\\()])*)\)|(?P<h><[0-9A-Fa-f\s]+>)|/(?P<f>[^\s/<>\[\]()]+)\s+[\d.]+\s+Tf|(?P<n>\bT[dDm*]|\bET\b|['\"])", data):
+            if op["f"]:
+                table, width = fonts.get(op["f"], ({}, 1))
+            elif op["n"]:
                 out.append("\n")
-            elif op["h"]:
-                out.append(bytes.fromhex((re.sub(rb"[<>\s]", b"", op["h"]) + b"0")[: len(re.sub(rb"[<>\s]", b"", op["h"])) // 2 * 2].decode()).decode("latin-1"))
             else:
-                out.append(re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1]), op["s"]).decode("latin-1"))
+                codes = _hex(op["h"]) if op["h"] else re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1]), op["s"])
+                out.append("".join(table.get(c, chr(c)) for c in (int.from_bytes(codes[i : i + width]) for i in range(0, len(codes), width))))
     return "\n".join(line.strip() for line in "".join(out).splitlines() if line.strip())
 
 
-#: ID3v2 frames and what they hold.
-FRAMES = {"TIT2": "muziektitel", "TPE1": "artiest", "TPE2": "muziekartiest", "TALB": "album", "TCON": "genre", "TRCK": "track", "TDRC": "jaar", "TYER": "jaar"}
+#: ID3v2 frames (of version 2.2 with three letters) and FLAC comments, and what they hold.
+FRAMES = {
+    "TIT2": "muziektitel", "TPE1": "artiest", "TPE2": "muziekartiest", "TALB": "album", "TCON": "genre", "TRCK": "track", "TDRC": "jaar", "TYER": "jaar",
+    "TT2": "muziektitel", "TP1": "artiest", "TP2": "muziekartiest", "TAL": "album", "TCO": "genre", "TRK": "track", "TYE": "jaar",
+}
+COMMENTS = {"TITLE": "muziektitel", "ARTIST": "artiest", "ALBUMARTIST": "muziekartiest", "ALBUM": "album", "GENRE": "genre", "TRACKNUMBER": "track", "DATE": "jaar", "YEAR": "jaar"}
+
+
+def _tag(value: str) -> str:
+    return re.sub(r"[\x00-\x1f]+", " ", value).strip()[:400]
+
+
+def _flac(raw: bytes) -> dict[str, str]:
+    """Comments of a FLAC file; values of a name that repeats are joined by ``&``."""
+    values: dict[str, list[str]] = {}
+    little = lambda at: int.from_bytes(raw[at : at + 4], "little")
+    at, last = 4, False
+    while not last and at + 4 <= len(raw):
+        last, kind, end = bool(raw[at] & 128), raw[at] & 127, at + 4 + int.from_bytes(raw[at + 1 : at + 4])
+        if kind == 4:
+            place = at + 8 + little(at + 4)  # past the writer's name
+            left, place = little(place), place + 4
+            while left and place + 4 <= min(end, len(raw)):
+                name, _, value = raw[place + 4 : place + 4 + little(place)].decode("utf-8", "replace").partition("=")
+                if (key := COMMENTS.get(name.upper())) and (value := _tag(value)):
+                    values.setdefault(key, []).append(value)
+                left, place = left - 1, place + 4 + little(place)
+        at = end
+    return {k: " & ".join(dict.fromkeys(v)) for k, v in values.items()}
 
 
 def music(raw: bytes) -> dict[str, str]:
-    """Tags of ID3v2.3/2.4, else ID3v1."""
+    """Tags of ID3v2, else a FLAC file's comments, else ID3v1."""
     found: dict[str, str] = {}
-    if raw[:3] == b"ID3" and raw[3] in (3, 4):
+    if raw[:3] == b"ID3" and raw[3] in (2, 3, 4):
         safe = lambda b: (b[0] << 21) | (b[1] << 14) | (b[2] << 7) | b[3]
+        n, head = (3, 6) if raw[3] == 2 else (4, 10)
         at, end = 10, 10 + safe(raw[6:10])
-        while at + 10 <= min(end, len(raw)):
-            name, size = raw[at : at + 4].decode("latin-1"), safe(raw[at + 4 : at + 8]) if raw[3] == 4 else int.from_bytes(raw[at + 4 : at + 8])
-            body = raw[at + 10 : at + 10 + size]
+        while at + head <= min(end, len(raw)):
+            name, size = raw[at : at + n].decode("latin-1"), safe(raw[at + 4 : at + 8]) if raw[3] == 4 else int.from_bytes(raw[at + n : at + 2 * n])
+            body = raw[at + head : at + head + size]
             if name in FRAMES and body:
                 coding = ("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] if body[0] < 4 else 0]
-                value = re.sub(r"[\x00-\x1f]+", " ", body[1:].decode(coding, "replace")).strip()[:400]
-                if value:
+                if value := _tag(body[1:].decode(coding, "replace")):
                     found.setdefault(FRAMES[name], value)
             if not name.strip("\0"):
                 break
-            at += 10 + size
+            at += head + size
+    if not found and raw[:4] == b"fLaC":
+        found = _flac(raw)
     if not found and raw[-128:-125] == b"TAG":
         tag = raw[-125:]
         for key, a, b in (("muziektitel", 0, 30), ("artiest", 30, 60), ("album", 60, 90), ("jaar", 90, 94)):
@@ -302,5 +380,7 @@ def documents(found: DataFrame) -> DataFrame:
     artist, title = tx.artist_and_title(F.col("path"))
     named = F.when(kind == "tekst", tx.title_of(F.col("text"), stem)).when(kind == "muziek", title).otherwise(tx.file_name(F.col("path")))
     text = F.when(kind == "muziek", F.concat_ws("\n", tx.file_name(F.col("path")), stem, F.nullif("text", F.lit("")), artist)).otherwise(F.col("text"))
+    garbled = (kind == "pdf") & (F.col("error") == "") & tx.unreadable(F.col("text"))
+    text, error = F.when(garbled, F.lit("")).otherwise(text), F.when(garbled, F.lit("no text layer that can be read")).otherwise(F.col("error"))
     date = best_date(F.col("mtime"), F.try_element_at("extra", F.lit("moment")))
-    return rows.select("source", "path", F.coalesce(F.nullif("title_", F.lit("")), named).alias("title"), kind.alias("kind"), F.when(kind == "mail", date).otherwise(F.col("mtime")).alias("mtime"), "size", text.alias("text"), "extra", "error", F.col("mtime").alias("file_mtime"))
+    return rows.select("source", "path", F.coalesce(F.nullif("title_", F.lit("")), named).alias("title"), kind.alias("kind"), F.when(kind == "mail", date).otherwise(F.col("mtime")).alias("mtime"), "size", text.alias("text"), "extra", error.alias("error"), F.col("mtime").alias("file_mtime"))

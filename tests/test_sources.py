@@ -50,6 +50,32 @@ def test_extractors():
     assert files.decode("café".encode("cp1252")) == "café" and files.decode("﻿x".encode("utf-16")) .endswith("x")
 
 
+def test_pdf_fonts_with_a_table():
+    table = zlib.compress(b"2 beginbfchar <01> <0054> <02> <006F> endbfchar 2 beginbfrange <10> <12> [<0036> <0039> <0032>] <20> <22> <00FF> endbfrange")
+    wide = b"1 beginbfrange <0003> <0005> <0061> endbfrange"
+    shown = zlib.compress(b"BT /F1 12 Tf 72 720 Td <01> Tj <0210> Tj <1112> Tj <202> Tj T* /F2 9.5 Tf [<00030004> -20 <0005>] TJ /F3 9 Tf (x) Tj ET")
+    obj = lambda n, x: b"%d 0 obj\n" % n + x + b"\nendobj\n"
+    packed = lambda x: b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(x) + x + b"\nendstream"
+    raw = b"%PDF-1.4\n" + obj(1, b"<< /Type /Page /Resources << /Font << /F1 2 0 R /F2 3 0 R >> >> /Contents 6 0 R >>")
+    raw += obj(2, b"<< /Type /Font /Subtype /TrueType /ToUnicode 4 0 R >>") + obj(3, b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>")
+    raw += obj(4, packed(table)) + obj(5, b"<< /Length 1 >>\nstream\n" + wide + b"\nendstream") + obj(6, packed(shown))
+    assert files.extract_one("a.pdf", raw)[1] == "To692\xff\xff\nabcx"  # an odd digit count ends in a 0
+    assert files.glyphs(b"beginbfrange <00> <01> <FFFF> endbfrange")[1] == "\0" and files.glyphs(b"") == {}
+    assert files.extract_one("a.pdf", b"%PDF")[3] != ""
+
+
+def test_music_of_flac_and_old_tags():
+    size = lambda x: len(x).to_bytes(4, "little") + x
+    comments = [b"title=Gold Days", b"ARTIST=Een", b"ARTIST=Twee", b"x=y", b"ALBUM=", "DATE=2014é".encode()]
+    block = size(b"writer") + len(comments).to_bytes(4, "little") + b"".join(map(size, comments))
+    raw = b"fLaC" + b"\0" + (2).to_bytes(3) + b"ab" + b"\x84" + len(block).to_bytes(3) + block
+    assert files.music(raw) == {"muziektitel": "Gold Days", "artiest": "Een & Twee", "jaar": "2014é"}
+    for cut in range(len(raw)):
+        files.music(raw[:cut])
+    frame = b"TT2" + (6).to_bytes(3) + b"\0Titel" + b"TP1" + (4).to_bytes(3) + b"\0Wie"
+    assert files.music(b"ID3\x02\0\0" + bytes([0, 0, 0, len(frame)]) + frame) == {"muziektitel": "Titel", "artiest": "Wie"}
+
+
 def tree(root):
     for name, raw in {
         "notulen.md": b"# Notulen overleg\ntekst", "node_modules/pakket.js": b"x", "Windows/systeem.txt": b"x", ".git/config": b"x", "post.eml": mail("Hallo", "dag"), "foto.jpg": b"\xff",
