@@ -5,7 +5,7 @@ least within it; equal windows have equal anchors at equal places. So only stret
 more than once can hold a repeated window, and equal windows meet where rows are dealt by their anchor's hash.
 
 1. ``seeds`` finds the anchors of each document and hashes each one's *reach*: all symbols of the windows that hold
-   it. Within an Arrow batch, anchors with equal reach are combined: all but the first are repeats.
+   it. Within a slice of a task's texts, anchors with equal reach are combined: all but the first are repeats.
 2. ``collapse`` does the same for what the batches send on, sorted by anchor, in one streaming pass. What is left are
    anchors that occur with different reaches (the ends of repeats): the *requests*.
 3. The operator settles the requests from the text around them, which is fetched by a join on the document.
@@ -31,6 +31,10 @@ from quaero.llm.common import BYTE, batch_of, blocks, gram_hash, ints, keyed, ma
 CROWD = 200_000
 #: Rows that a settling task handles at a time; a chunk ends at the end of an anchor's rows.
 CHUNK = 32_768
+#: Bytes of text that are hashed at a time, and whose anchors are combined before they leave the task. A task's memory
+#: follows these, not the size of the Arrow batches it gets.
+BLOCK = 1 << 19
+SLICE = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -82,23 +86,23 @@ def _seed_rows(unit: Unit):
         for batch in batches:
             k = ints(batch, "k")
             data, offs = text_bytes(batch.column("text"))
-            found = []
-            for i, j in blocks(offs):
-                p, at = unit.symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                doc, place, key, ctx = seeds(unit, p, at)
-                found.append((k[i + doc], place.astype(np.int32), key, ctx, np.diff(at)[doc].astype(np.int32)))
-            if not found:
-                continue
-            k_, place, key, ctx, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((place, k_, ctx, key))
-            k_, place, key, ctx, size = (x[order] for x in (k_, place, key, ctx, size))
-            _, again = _grouped(unit, key, ctx, k_)
-            g, lo, hi = merged_by(k_[again], np.maximum(0, place[again] - unit.reach), np.minimum(size[again], place[again] + unit.window))
-            rest = ~again
-            yield batch_of(
-                key=np.concatenate([key[rest], mix(g.view(np.uint64) + lo.astype(np.uint64)).view(np.int64)]), ctx=np.concatenate([ctx[rest], np.zeros(len(g), np.int64)]),
-                k=np.concatenate([k_[rest], g]), lo=np.concatenate([place[rest], lo.astype(np.int32)]), hi=np.concatenate([np.zeros(rest.sum(), np.int32), hi.astype(np.int32)]),
-            )
+            for a, b in blocks(offs, SLICE):
+                found = []
+                for i, j in blocks(offs[a : b + 1], BLOCK):
+                    i, j = a + i, a + j
+                    p, at = unit.symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    doc, place, key, ctx = seeds(unit, p, at)
+                    found.append((k[i + doc], place.astype(np.int32), key, ctx, np.diff(at)[doc].astype(np.int32)))
+                k_, place, key, ctx, size = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((place, k_, ctx, key))
+                k_, place, key, ctx, size = (x[order] for x in (k_, place, key, ctx, size))
+                _, again = _grouped(unit, key, ctx, k_)
+                g, lo, hi = merged_by(k_[again], np.maximum(0, place[again] - unit.reach), np.minimum(size[again], place[again] + unit.window))
+                rest = ~again
+                yield batch_of(
+                    key=np.concatenate([key[rest], mix(g.view(np.uint64) + lo.astype(np.uint64)).view(np.int64)]), ctx=np.concatenate([ctx[rest], np.zeros(len(g), np.int64)]),
+                    k=np.concatenate([k_[rest], g]), lo=np.concatenate([place[rest], lo.astype(np.int32)]), hi=np.concatenate([np.zeros(rest.sum(), np.int32), hi.astype(np.int32)]),
+                )
 
     return run
 
@@ -165,7 +169,7 @@ def around(unit: Unit, cut: Callable, schema: str, rows: DataFrame, requests: Da
             doc, asked = _lists(batch.column("asked"))
             k = ints(batch, "k")
             key, lo = (asked.field(x).to_numpy(zero_copy_only=False) for x in ("key", "lo"))
-            for i, j in blocks(offs):
+            for i, j in blocks(offs, BLOCK):
                 own = slice(*np.searchsorted(doc, [i, j]))
                 if own.start < own.stop:
                     extra = cut(unit, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], doc[own] - i, lo[own].astype(np.int64))
@@ -265,7 +269,7 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = Fal
             data, offs = text_bytes(batch.column("text"))
             doc, list_ = _lists(batch.column("cut"))
             lo, hi = (list_.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("lo", "hi"))
-            for i, j in blocks(offs, 4 << 20):
+            for i, j in blocks(offs, BLOCK):
                 own = slice(*np.searchsorted(doc, [i, j]))
                 part, here = data[offs[i] : offs[j]].copy(), offs[i : j + 1] - offs[i]
                 if unit.words:
