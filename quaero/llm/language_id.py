@@ -21,6 +21,8 @@ from quaero.llm.common import batch_of, blocks, text_bytes
 from quaero.llm.toxicity import held_out
 
 STEPS = 64
+#: Stretches that run through the network side by side.
+ASIDE = 4096
 UNKNOWN = "und"
 
 
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, net: Network | None, whole_rows: bool = False) -> D
         letter = np.zeros(256, bool)
         letter[[*range(65, 91), *range(97, 123)]] = True
         for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
+            data, offs = text_bytes(batch.column("row").field("text") if whole_rows else batch.column("text"))
             for i, j in blocks(offs, 1 << 19):
                 here = offs[i : j + 1] - offs[i]
                 raw = data[offs[i] : offs[j]]
@@ -205,10 +207,10 @@ def predict(docs: DataFrame, net: Network | None, whole_rows: bool = False) -> D
                     cells[np.arange(len(raw)) + np.repeat(first[:-1] * STEPS - here[:-1], size)] = raw
                     cells = cells.reshape(-1, STEPS)
                     sums = np.zeros((len(cells), len(net.langs)))
-                    for a in range(0, len(cells), 8192):
-                        part = np.ascontiguousarray(cells[a : a + 8192].T)
+                    for a in range(0, len(cells), ASIDE):
+                        part = np.ascontiguousarray(cells[a : a + ASIDE].T)
                         p = net.probabilities(part)
-                        sums[a : a + 8192] = np.einsum("tbl,tb->bl", p, (part < 256).astype(np.float32))
+                        sums[a : a + ASIDE] = np.einsum("tbl,tb->bl", p, (part < 256).astype(np.float32))
                     total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0)])
                     mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1)[:, None]
                     best, top = mean.argmax(axis=1), mean.max(axis=1)
@@ -218,11 +220,10 @@ def predict(docs: DataFrame, net: Network | None, whole_rows: bool = False) -> D
                 yield batch_of(doc_id=batch.column("doc_id").slice(i, j - i), lang_pred=pa.array(names, pa.string()), score=pa.array(np.clip(np.where(known, top, 0.0), 0, 1)), **more)
 
     schema = T.StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if whole_rows:
         schema = schema.add("row", docs.schema)
-        columns.append(F.struct("*").alias("row"))
-    return docs.select(*columns).mapInArrow(run, schema)
+    text = F.struct("*").alias("row") if whole_rows else F.col("text").cast("string").alias("text")  # a text travels once
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, schema)
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
