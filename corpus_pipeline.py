@@ -4,8 +4,8 @@
    most probable language has less than ``LEAST_PROBABLE`` go.
 2. near_duplicates: of the documents linked by 5-word shingles at a similarity of 0.8 the one with the smallest id stays.
 3. repeats: bytes covered by a 100-byte string that occurs earlier are cut out of the texts (whole characters).
-4. mixture: documents up to the point where the first source runs out of its share, with weights size ** ``POWER``.
-5. tokens: byte-level BPE ids and their decoding's digest.
+4. mixture: every document gets its ``mixture_position`` in an order that mixes the sources with weights size ** ``POWER``.
+5. tokens: byte-level BPE ids and their decoding's digest, with the position.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixture(docs, POWER, BLOCK_DOCS)
+    return mixing.whole_mixture(docs, POWER, BLOCK_DOCS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), carry="mixture_position")
+    return coded.select("doc_id", "mixture_position", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mixture", mixture), ("tokens", tokens)]

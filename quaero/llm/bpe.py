@@ -180,7 +180,7 @@ def load(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _run(path: str, encode: bool, decode: bool):
+def _run(path: str, encode: bool, decode: bool, carry: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for batch in batches:
@@ -194,7 +194,8 @@ def _run(path: str, encode: bool, decode: bool):
                     if decode:
                         texts.append(coder.decode(np.frombuffer(coded, np.uint32).astype(np.int64)).decode("utf-8", "replace"))
                 out = {"doc_id": batch.column("doc_id").slice(i, j - i), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
-                yield batch_of(**out | ({"decoded": pa.array(texts, pa.string())} if decode else {}))
+                out |= {"decoded": pa.array(texts, pa.string())} if decode else {}
+                yield batch_of(**out | ({carry: batch.column(carry).slice(i, j - i)} if carry else {}))
 
     return run
 
@@ -215,6 +216,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_run(path, False, True), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass over the rows."""
-    return _texts(docs, id_col, text_col).mapInArrow(_run(path, True, True), "doc_id long, n_tokens long, ids binary, decoded string")
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows; ``carry`` names a whole-number column that goes along."""
+    rows, schema = _texts(docs, id_col, text_col), "doc_id long, n_tokens long, ids binary, decoded string"
+    if carry:
+        rows, schema = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(carry).cast("long").alias(carry)), f"{schema}, {carry} long"
+    return rows.mapInArrow(_run(path, True, True, carry), schema)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from quaero.llm.common import keyed_rows, materialise
 
+GOLDEN = (5**0.5 - 1) / 2
+
 
 def rounded(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
     """Weights as whole ``period``-ths that sum to it: largest remainders, each positive weight at least one."""
@@ -66,6 +68,22 @@ def tempered(sizes: Mapping[str | None, int], power: float) -> dict[str | None,
     return {s: float(n) ** power for s, n in sizes.items() if n > 0}
 
 
+def _bucketed(docs: DataFrame, buckets: int, id_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, source, bucket``, and the number of rows of each source and bucket."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
+    rows = rows.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
+    return rows, materialise(rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
+
+
+def _ranked(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``doc_id, source, source_rank``: ranks from 0 within each source, by bucket and id."""
+    by = "PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    before = counts.select("source", "bucket", F.expr(f"coalesce(sum(n) OVER ({by}), 0)").alias("before"))
+    ranked = rows.withColumn("within", F.expr("row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id ASC NULLS LAST) - 1"))
+    same = ranked.source.eqNullSafe(before.source) & (ranked.bucket == before.bucket)
+    return ranked.join(before, same).select("doc_id", ranked.source, (F.col("within") + F.col("before")).alias("source_rank"))
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float], block_docs: int = 64, period: int = 1000, buckets: int = 256, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Deal every row of ``docs`` to a slot of the mixture.
 
@@ -80,18 +98,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float], block_docs
     """
     parts = rounded(weights, period)
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-    rows = rows.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
-    counts = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts, "bucket-sizes")
+    rows, counts = _bucketed(docs, buckets, id_col, source_col)
     missing = [r[0] for r in counts.select("source").distinct().collect() if r[0] not in parts]
     if missing:
         raise ValueError(f"no target weight for {missing[:5]}")
-    by = "PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    before = counts.select("source", "bucket", F.expr(f"coalesce(sum(n) OVER ({by}), 0)").alias("before"))
-    ranked = rows.withColumn("within", F.expr("row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id ASC NULLS LAST) - 1"))
-    same = ranked.source.eqNullSafe(before.source) & (ranked.bucket == before.bucket)
-    ranked = ranked.join(before, same).select("doc_id", ranked.source, (F.col("within") + F.col("before")).alias("source_rank"))
+    ranked = _ranked(rows, counts)
     plan = spark.createDataFrame([(s, parts[s], j, r, d, t) for s, j, r, d, t in schedule(parts)], "source string, share int, j int, r long, dl long, t long")
     blocks = F.expr(f"source_rank div {block_docs}")
     ranked = ranked.withColumn("block0", blocks)
@@ -124,3 +135,44 @@ def mixture(docs: DataFrame, power: float, block_docs: int) -> DataFrame:
     rows = rows.select("row", F.col("k").alias("doc_id"), F.col("row.source").cast("string").alias("source"))
     dealt = mix_sources(rows, tempered(sizes, power), block_docs)
     return rows.join(dealt.filter("in_mixture").select("doc_id"), "doc_id", "left_semi").select("row.*")
+
+
+def order_sources(docs: DataFrame, weights: Mapping[str | None, float], block_docs: int = 64, buckets: int = 256, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``doc_id, source, source_rank, position``: every row of ``docs`` in one order that mixes the sources by ``weights``.
+
+    Block j (from 1) of a source with weight w stands at time (j - phase) / w, unrounded, and ``position`` (from 0, without
+    gaps) is the rank by that time. A source that has run out has no further times, so the others share what is left by
+    their weights and no row goes. At time v a source has given floor(w v + phase) blocks: while all sources last, each
+    is less than 1 + (its share) * (number of sources) blocks from its share, however long the order. Phases are dealt
+    by the golden ratio, so that sources of equal weight take turns. Ranks within a source as in ``mix_sources``; a
+    source without a positive weight raises ValueError.
+    """
+    spark = docs.sparkSession
+    rows, counts = _bucketed(docs, buckets, id_col, source_col)
+    known = sorted((s for s, w in weights.items() if w > 0), key=lambda s: (weights[s], s is None, s or ""))
+    missing = [r[0] for r in counts.select("source").distinct().collect() if r[0] not in set(known)]
+    if missing:
+        raise ValueError(f"no target weight for {missing[:5]}")
+    times = spark.createDataFrame([(s, float(weights[s]), (i + 0.5) * GOLDEN % 1) for i, s in enumerate(known)], "source_ string, weight double, phase double")
+    ranked = _ranked(rows, counts)
+    timed = ranked.join(F.broadcast(times), ranked.source.eqNullSafe(times.source_))
+    timed = timed.withColumn("at", F.expr(f"(source_rank div {block_docs} + 1 - phase) / weight")).select("doc_id", "source", "source_rank", "at")
+    # monotonically_increasing_id holds the partition in its upper bits and the rank there in its lower 33
+    placed = timed.orderBy("at", F.col("source").asc_nulls_last(), "source_rank").withColumn("nth", F.monotonically_increasing_id()).drop("at")
+    placed = materialise(placed.withColumn("part", F.shiftright("nth", 33)).withColumn("nth", F.col("nth").bitwiseAND((1 << 33) - 1)), "order")
+    sizes = sorted(placed.groupBy("part").count().collect())
+    starts = [(p, sum(n for _, n in sizes[:i])) for i, (p, n) in enumerate(sizes)]
+    starts = spark.createDataFrame(starts, "part long, start long")
+    return placed.join(F.broadcast(starts), "part").select("doc_id", "source", "source_rank", (F.col("start") + F.col("nth")).alias("position"))
+
+
+def whole_mixture(docs: DataFrame, power: float, block_docs: int) -> DataFrame:
+    """Every row of ``docs`` with its columns and ``mixture_position``, its place in the order that mixes the sources
+    by n ** power. Rows that repeat id and text share one place."""
+    rows, repeats = keyed_rows(docs)
+    rows = rows.select("row", F.col("k").alias("doc_id"), F.col("row.source").cast("string").alias("source"))
+    once = rows.select("doc_id", "source")
+    once = once.groupBy("doc_id").agg(F.min("source").alias("source")) if repeats else once
+    sizes = {r["source"]: r["n_docs"] for r in source_sizes(once).collect()}
+    placed = order_sources(once, tempered(sizes, power), block_docs).select("doc_id", "position")
+    return rows.join(placed, "doc_id").select("row.*", F.col("position").alias("mixture_position"))

@@ -102,6 +102,38 @@ def test_mixing_edges(spark):
     assert sum(mixing.rounded({"a": 0.999, "b": 0.0005, "c": 0.0005}, 100).values()) == 100
 
 
+def test_mixture_stage_keeps_every_document_beside_a_small_source(spark):
+    sources = {i: f"s{i % 4}" for i in range(4000)} | {4000 + i: "tiny" for i in range(3)} | {4003: None}
+    docs = frame(spark, {i: str(i) for i in sources}, sources=sources)
+    mixed = corpus_pipeline.mixture(spark, docs, "")
+    assert mixed.columns == [*docs.columns, "mixture_position"]
+    got = mixed.collect()
+    assert {r.doc_id: r.text for r in got} == {i: str(i) for i in sources}
+    assert sorted(r.mixture_position for r in got) == list(range(len(sources)))
+    out = {r.doc_id: r.mixture_position for r in corpus_pipeline.tokens(spark, mixed, "").collect()}
+    assert out == {r.doc_id: r.mixture_position for r in got}
+    twice = docs.filter("doc_id < 50").unionByName(docs.filter("doc_id < 5"))
+    assert corpus_pipeline.mixture(spark, twice, "").count() == 55
+    assert corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
+
+
+def test_order_keeps_unrounded_weights(spark):
+    sizes = {"big": 6000} | {f"s{i:02}": 20 + 30 * i for i in range(19)}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    weights = mixing.tempered(sizes, 0.5)
+    total = sum(weights.values())
+    given, left = collections.Counter(), dict(sizes)
+    worst = 0
+    for nth, r in enumerate(mixing.order_sources(df, weights, block_docs=2, buckets=8).orderBy("position").collect()):
+        assert r.position == nth and r.source_rank == given[r.source]
+        given[r.source] += 1
+        left[r.source] -= 1
+        if not left[r.source]:
+            break
+        worst = max(worst, *(abs(given[s] - weights[s] / total * (nth + 1)) / 2 for s in weights))
+    assert nth > 1000 and worst < 3
+
+
 # ---------------------------------------------------------------- toxicity and language
 
 def words(r, alphabet, n):
