@@ -24,20 +24,35 @@ from quaero.llm.vectors import matrix, runs, unit, usable, whole_keys
 
 BLOCK = 2_048
 ROWS = 512
+SAMPLE = 2_048
+CROWDED = 0.7
 
 
 def reference_points(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """Unit reference points by vector length: ``pivots`` vectors picked by a hash of their components; a length with
-    fewer vectors is filled up with fixed random directions."""
+    """Unit reference points by vector length, spread over ``SAMPLE`` vectors picked by a hash of their components."""
     lengths = [r[0] for r in vectors.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(16).collect()]
     found = {}
     for d in lengths:
-        rows = vectors.filter(F.size("v") == d).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
-        x = np.array([r[0] for r in rows], np.float64).reshape(-1, d)
-        found[d] = np.vstack([unit(x), _directions(d, pivots - len(x))])
+        rows = vectors.filter(F.size("v") == d).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(max(SAMPLE, pivots)).collect()
+        found[d] = spread(unit(np.array([r[0] for r in rows], np.float64).reshape(-1, d)), pivots)
     return found
 
 
+def spread(x: np.ndarray, pivots: int) -> np.ndarray:
+    """``pivots`` of the unit vectors ``x``, each the farthest from those before it, so that a group of near copies gets
+    one and not a share by its size. Once all others have a cosine over ``CROWDED`` to one of them, fixed random
+    directions fill up the rest: the order of near-equal points by distance is noise."""
+    own: list[int] = []
+    nearest = np.full(len(x), -np.inf)
+    while len(own) < min(pivots, len(x)):
+        i = int(np.argmin(nearest))
+        if nearest[i] > CROWDED:
+            break
+        own.append(i)
+        nearest = np.maximum(nearest, x @ x[i])
+    return np.vstack([x[own], _directions(x.shape[1], pivots - len(own))])
+
+
 def _directions(d: int, n: int) -> np.ndarray:
     return unit(np.random.default_rng(d).standard_normal((n, d))) if n else np.zeros((0, d))
 

@@ -69,6 +69,22 @@ def test_near_duplicates_with_all_pivots_shared_is_exact(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], root[i]) for i in links}
 
 
+@pytest.mark.parametrize("share", [1 / 3, 1 / 2, 1.0])
+def test_links_within_one_large_group_are_found(spark, share):
+    n, d = 900, 64
+    r = np.random.default_rng(4)
+    x = r.standard_normal((n, d))
+    hot = int(n * share)
+    x[:hot] = r.standard_normal(d) + r.standard_normal((hot, d)) * r.uniform(0.24, 0.28, (hot, 1))
+    rows = [(i, [float(c) for c in v.astype(np.float32)], 0, "a", "b") for i, v in enumerate(x)]
+    got = pivot_index.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = (v @ v.T >= 0.93).sum(axis=1) - 1
+    assert all(g.n_links <= want[g.vec_id] for g in got)
+    assert sum(g.n_links for g in got) >= 0.995 * want.sum() > 0
+
+
 def test_repeated_rows_and_empty_tables(spark):
     v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     df = spark.createDataFrame([(1, v, 1), (1, v, 1), (2, v, 1), (2, w, 1), (None, v, 1), (3, v, None)], "vec_id long, embedding array<float>, label int")
