@@ -26,7 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Links may repeat and point either way; a link from a node to itself or with a null end counts for nothing. Each
     step halves distances to the component's least node at least, so the rounds grow with the logarithm of the
-    longest chain; rounds are cut off from their lineage as tables in the shared folder.
+    longest chain. If ``most_rounds`` rounds do not settle them, RuntimeError is raised. Rounds are cut off from their lineage as tables in the shared folder.
     """
     now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "links")
     mark = None
@@ -36,5 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         mark = tuple(new)
         now = materialise(_small_star(_large_star(now)), "links")
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -106,3 +106,10 @@ def test_components_of_a_long_chain(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1001), (1002, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
+
+
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i * 7 % 40, (i + 1) * 7 % 40) for i in range(39)], "a long, b long")
+    assert {r.component for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=1)
