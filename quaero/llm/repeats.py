@@ -2,54 +2,57 @@
 
 A window is ``window`` consecutive symbols of one document. Its *anchor* is the seed of ``seed`` symbols whose hash is
 least within it; equal windows have equal anchors at equal places. So only stretches around an anchor that occurs
-more than once can hold a repeated window, and equal windows meet where rows are dealt by their anchor's hash.
-
-1. ``seeds`` finds the anchors of each document and hashes each one's *reach*: all symbols of the windows that hold
-   it. Within a slice of a task's texts, anchors with equal reach are combined: all but the first are repeats.
-2. ``collapse`` does the same for what the batches send on, sorted by anchor, in one streaming pass. What is left are
-   anchors that occur with different reaches (the ends of repeats): the *requests*.
-3. The operator settles the requests from the text around them, which is fetched by a join on the document.
-4. ``apply`` unites all repeated stretches of a document and cuts them out.
-
-An anchor with more than ``CROWD`` requests is settled window by window instead, by a grouped minimum with map-side
-partial aggregation, so that no group has to fit one task.
+more than once can hold a repeated window. Hashes only choose the stretches to look at; each operator settles what
+repeats from the symbols themselves.
+
+1. ``aligned``: the anchors of every document; those that occur more than once get the place of their first occurrence,
+   the *reference*, from a window over the anchor's hash.
+2. ``align``: anchors of a document that stand at one distance from their references form one *row*, laid out in the
+   columns of a segment of the reference document. Equal windows stand in the same columns of the same segment, so
+   a document's text is sent about once and not once for each anchor.
+3. The operator settles each segment's rows.
+4. ``cut_out`` unites all repeated stretches of a document and cuts them out.
+
+A segment with more different rows than a task should hold is split (``halves``): by the columns where windows start,
+and by the symbols that all windows of such a range share. In the end a range is one window and its rows are equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaero.llm.common import BYTE, batch_of, blocks, gram_hash, ints, keyed, materialise, merged_by, mix, prefix_sums, span_hash, text_bytes, winnow, word_hashes, word_spans
+from quaero.llm.common import BYTE, batch_of, blocks, gram_hash, ints, keyed, prefix_sums, text_bytes, winnow, word_hashes, word_spans
 
-CROWD = 200_000
-#: Rows that a settling task handles at a time; a chunk ends at the end of an anchor's rows.
-CHUNK = 32_768
-#: Bytes of text that are hashed at a time, and whose anchors are combined before they leave the task. A task's memory
-#: follows these, not the size of the Arrow batches it gets.
+#: Bytes of text that are handled at a time. A task's memory follows this, not the size of the Arrow batches it gets.
 BLOCK = 1 << 19
-SLICE = 8 << 20
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What counts as a symbol, how long windows and seeds are, and whether a document may repeat itself."""
+    """What counts as a symbol, how long windows, seeds and segments are, and whether a document may repeat itself."""
 
     words: bool
     window: int
     seed: int
+    segment: int
     within: bool
 
     @property
     def reach(self) -> int:
         return self.window - self.seed
 
+    @property
+    def width(self) -> int:
+        """Columns of a segment's rows: the reach of its first anchor, its own columns, the window of its last."""
+        return self.reach + self.segment + self.window
+
     def symbols(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Prefix sums over the symbols of a block, and the documents' offsets in symbols."""
         if not self.words:
@@ -58,197 +61,85 @@ class Unit:
         return prefix_sums(word_hashes(data, starts, ends)), at
 
 
-def seeds(unit: Unit, p: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of a block's documents: document number, place in it, hash of the seed, hash of the reach."""
-    n = len(p) - 1
-    edge = np.zeros(n + 1, np.int32)
+def anchors(unit: Unit, p: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a block's documents: document number, place in it, hash of the seed."""
+    edge = np.zeros(len(p), np.int32)
     long_enough = np.flatnonzero(np.diff(offs) >= unit.window)
     np.add.at(edge, offs[long_enough], 1)
     np.add.at(edge, offs[long_enough + 1] - unit.window + 1, -1)
     h = gram_hash(p, unit.seed)
     at = winnow(h, unit.reach + 1, np.cumsum(edge) > 0)
     doc = np.searchsorted(offs, at, side="right") - 1
-    lo, hi = np.maximum(offs[doc], at - unit.reach), np.minimum(offs[doc + 1], at + unit.window)
-    reach = span_hash(p, lo, hi) ^ mix((at - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - at).astype(np.uint64))
-    return doc, at - offs[doc], h[at].view(np.int64), reach.view(np.int64)
-
+    return doc, at - offs[doc], h[at].view(np.int64)
 
-def _grouped(unit: Unit, key, ctx, k) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by (key, ctx, k, place): which start a (key, ctx) group, and which repeat an earlier row of it."""
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]) if len(key) else np.zeros(0, bool)
-    if unit.within:
-        return new, ~new
-    return new, k > k[new][np.cumsum(new) - 1]
 
+def aligned(unit: Unit, texts: DataFrame) -> DataFrame:
+    """``k, asked``: for each document with repeated anchors a list of ``lo`` (their place) and ``ref, at`` (the document
+    and place of the first occurrence)."""
 
-def _seed_rows(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = ints(batch, "k")
             data, offs = text_bytes(batch.column("text"))
-            for a, b in blocks(offs, SLICE):
-                found = []
-                for i, j in blocks(offs[a : b + 1], BLOCK):
-                    i, j = a + i, a + j
-                    p, at = unit.symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                    doc, place, key, ctx = seeds(unit, p, at)
-                    found.append((k[i + doc], place.astype(np.int32), key, ctx, np.diff(at)[doc].astype(np.int32)))
-                k_, place, key, ctx, size = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((place, k_, ctx, key))
-                k_, place, key, ctx, size = (x[order] for x in (k_, place, key, ctx, size))
-                _, again = _grouped(unit, key, ctx, k_)
-                g, lo, hi = merged_by(k_[again], np.maximum(0, place[again] - unit.reach), np.minimum(size[again], place[again] + unit.window))
-                rest = ~again
-                yield batch_of(
-                    key=np.concatenate([key[rest], mix(g.view(np.uint64) + lo.astype(np.uint64)).view(np.int64)]), ctx=np.concatenate([ctx[rest], np.zeros(len(g), np.int64)]),
-                    k=np.concatenate([k_[rest], g]), lo=np.concatenate([place[rest], lo.astype(np.int32)]), hi=np.concatenate([np.zeros(rest.sum(), np.int32), hi.astype(np.int32)]),
-                )
-
-    return run
-
-
-def _collapse(unit: Unit):
-    """Rows sorted by (key, ctx, k, lo): repeats as ``lo, hi``, requests with hi = 0. Of a key that runs on into the
-    next batch only its undecided rows (or one settled row) are carried over."""
-    names = ("key", "ctx", "k", "lo", "hi")
+            for i, j in blocks(offs, BLOCK):
+                doc, place, key = anchors(unit, *unit.symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                yield batch_of(key=key, k=k[i + doc], lo=place.astype(np.int32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple[np.ndarray, ...] | None = None
-        settled = False  # the tail's rows are out already; they stand for a key with several reaches
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = tuple(ints(batch, c) for c in names)
-            stretch = rows[4] > 0
-            out = [(rows[0][stretch], rows[2][stretch], rows[3][stretch], rows[4][stretch])]
-            rows = tuple(x[~stretch] for x in rows)
-            done = np.zeros(len(rows[0]), bool)
-            if tail is not None:
-                done = np.concatenate([np.full(len(tail[0]), settled), done])
-                rows = tuple(np.concatenate(x) for x in zip(tail, rows, strict=True))
-            if len(rows[0]):
-                key, ctx, k, lo, _ = rows
-                new, again = _grouped(unit, key, ctx, k)
-                new_key = np.concatenate([[True], key[1:] != key[:-1]])
-                group = np.cumsum(new_key) - 1
-                several = (np.bincount(group, new) + np.bincount(group, done)) >= 2
-                first = ~again & ~done
-                ask = first & several[group]
-                dup = again & ~done
-                out.append((key[dup], k[dup], lo[dup] - unit.reach, lo[dup] + unit.window))
-                out.append((key[ask], k[ask], lo[ask], np.zeros(ask.sum(), np.int32)))
-                last = group == group[-1]
-                settled = bool(several[-1])
-                keep = np.flatnonzero(new)[-1:] if settled else np.flatnonzero(last & ~again)
-                tail = tuple(x[keep] for x in rows)
-            key, k, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield batch_of(key=key, k=k, lo=lo.astype(np.int32), hi=hi.astype(np.int32))
-
-    return run
-
-
-def find(unit: Unit, texts: DataFrame) -> DataFrame:
-    """Table ``key, k, lo, hi``: repeated stretches, and with hi = 0 the requests."""
-    rows = texts.mapInArrow(_seed_rows(unit), "key long, ctx long, k long, lo int, hi int")
-    rows = rows.repartition("key").sortWithinPartitions("key", "ctx", "k", "lo")
-    return materialise(rows.mapInArrow(_collapse(unit), "key long, k long, lo int, hi int"), "repeats")
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    found = texts.select("k", "text").mapInArrow(run, "key long, k long, lo int")
+    all_ = Window.partitionBy("key").orderBy("k", "lo").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.select("k", "lo", F.first("k").over(all_).alias("ref"), F.first("lo").over(all_).alias("at"), F.last("k").over(all_).alias("end"), F.count(F.lit(1)).over(all_).alias("c"))
+    repeated = found.filter("c > 1" if unit.within else "ref < end")
+    return repeated.groupBy("k").agg(F.collect_list(F.struct("lo", "ref", "at")).alias("asked"))
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     """Row number of each element of a list column, and the elements."""
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
 
-def around(unit: Unit, cut: Callable, schema: str, rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """``cut(unit, data, offs, doc, place) -> columns`` for the requests' documents, beside ``key, k, lo``."""
+@dataclass
+class Rows:
+    """Rows of segments: reference document and segment, own document (number), the place of column 0 in it, and the columns
+    that hold symbols. ``anchor``: number of the row and column of every anchor."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            doc, asked = _lists(batch.column("asked"))
-            k = ints(batch, "k")
-            key, lo = (asked.field(x).to_numpy(zero_copy_only=False) for x in ("key", "lo"))
-            for i, j in blocks(offs, BLOCK):
-                own = slice(*np.searchsorted(doc, [i, j]))
-                if own.start < own.stop:
-                    extra = cut(unit, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], doc[own] - i, lo[own].astype(np.int64))
-                    yield batch_of(key=key[own], k=k[doc[own]], lo=lo[own].astype(np.int32), **extra)
-
-    asked = requests.groupBy("k").agg(F.collect_list(F.struct("key", "lo")).alias("asked"))
-    # all columns go in, so that this join and the last one can share one exchange of the texts
-    return rows.join(asked, "k").select(*rows.columns, "asked").mapInArrow(run, f"key long, k long, lo int, {schema}")
-
-
-def _windows(unit: Unit, data, offs, doc, place) -> dict:
-    """Hash of each window that holds the request's anchor: ``reach + 1`` of them, 0 where the document ends first."""
-    p, at = unit.symbols(data, offs)
-    start = at[doc] + place
-    s = start[:, None] - unit.reach + np.arange(unit.reach + 1)
-    good = (s >= at[doc][:, None]) & (s + unit.window <= at[doc + 1][:, None])
-    safe = np.where(good, s, 0)
-    h = np.where(good, span_hash(p, safe, np.minimum(safe + unit.window, len(p) - 1)), np.uint64(0))
-    return {"ext": pa.array([x.tobytes() for x in np.ascontiguousarray(h)], pa.binary())}
-
-
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by key, in tables of whole keys of about ``CHUNK`` rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < CHUNK:
-            continue
-        rows = pa.Table.from_batches(held)
-        key = rows.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may run on
-        if cut:
-            yield rows.slice(0, cut)
-        held = rows.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def settle(resolve: Callable, unit: Unit, contexts: DataFrame) -> DataFrame:
-    """``resolve(unit, table) -> (row numbers, lo, hi)`` over whole keys; repeated stretches ``k, lo, hi``."""
+    ref: np.ndarray
+    segment: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    from_: np.ndarray
+    to: np.ndarray
+    anchor: tuple[np.ndarray, np.ndarray]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in chunks(batches):
-            at, lo, hi = resolve(unit, rows)
-            g, lo, hi = merged_by(rows.column("k").to_numpy()[at], lo, hi)
-            yield batch_of(k=g, lo=lo.astype(np.int32), hi=hi.astype(np.int32))
+    def key(self) -> np.ndarray:
+        return self.ref.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.segment.astype(np.uint64)
 
-    return contexts.repartition("key").sortWithinPartitions("key", "k", "lo").mapInArrow(run, "k long, lo int, hi int")
 
+def align(unit: Unit, doc: np.ndarray, lo: np.ndarray, ref: np.ndarray, at: np.ndarray, size: np.ndarray) -> Rows:
+    """The rows of anchors; ``size``: symbols of each document. Rows come by document."""
+    lo, at = lo.astype(np.int64), at.astype(np.int64)
+    segment = at // unit.segment
+    col = at - segment * unit.segment + unit.reach
+    start = lo - col
+    order = np.lexsort((col, start, segment, ref, doc))
+    doc, ref, segment, start, col = (x[order] for x in (doc, ref, segment, start, col))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1]) | (segment[1:] != segment[:-1]) | (start[1:] != start[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    doc_, start_ = doc[first], start[first]
+    from_ = np.maximum(col[first] - unit.reach, -start_)
+    to = np.minimum(col[last] + unit.window, size[doc_] - start_)
+    return Rows(ref[first], segment[first], doc_, start_, from_, to, (np.cumsum(new) - 1, col))
 
-def _crowded(unit: Unit, rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Repeated stretches around anchors with too many requests for one task: one row per window, and a minimum."""
-    ext = around(unit, _windows, "ext binary", rows, requests)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.frombuffer(b"".join(batch.column("ext").to_pylist()), np.int64).reshape(-1, unit.reach + 1)
-            i, j = np.nonzero(h)
-            yield batch_of(h=h[i, j], k=ints(batch, "k")[i], lo=(ints(batch, "lo")[i] - unit.reach + j).astype(np.int32))
-
-    every = materialise(ext.mapInArrow(run, "h long, k long, lo int").distinct(), "crowded")
-    least = every.groupBy("h").agg(F.min(F.struct("k", "lo")).alias("first"))
-    both = every.join(least, "h")
-    later = F.struct("k", "lo") > F.col("first") if unit.within else F.col("k") > F.col("first.k")
-    return both.filter(later).select("k", "lo", (F.col("lo") + unit.window).alias("hi"))
-
-
-def repeated(unit: Unit, rows: DataFrame, cut: Callable, schema: str, resolve: Callable) -> DataFrame:
-    """All repeated stretches ``k, lo, hi`` (in symbols, not clipped to the document, not united)."""
-    found = find(unit, rows.select("k", "text"))
-    requests = found.filter("hi = 0").select("key", "k", "lo")
-    crowds = materialise(requests.groupBy("key").count().filter(F.col("count") > CROWD).select("key"), "crowds")
-    stretches = found.filter("hi > 0").select("k", "lo", "hi")
-    if not crowds.isEmpty():
-        crowd = requests.join(crowds, "key", "left_semi")
-        requests = requests.join(crowds, "key", "left_anti")
-        stretches = stretches.unionByName(_crowded(unit, rows, crowd))
-    return stretches.unionByName(settle(resolve, unit, around(unit, cut, schema, rows, requests)))
+def halves(c0: int, c1: int, window: int) -> list[tuple[int, int, tuple[int, int] | None]]:
+    """A range of window starts in two, each with the columns that all its windows share, if any."""
+    m = (c0 + c1) // 2
+    return [(a, b, (b, a + window) if b - a < window else None) for a, b in ((c0, m), (m + 1, c1))]
+
 
+# ---------------------------------------------------------------- cutting out
 
 def removed_mask(n: int, offs: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Which of n symbols the stretches cover, clipped to their documents."""
@@ -267,7 +158,7 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
-            doc, list_ = _lists(batch.column("cut"))
+            doc, list_ = lists(batch.column("cut"))
             lo, hi = (list_.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("lo", "hi"))
             for i, j in blocks(offs, BLOCK):
                 own = slice(*np.searchsorted(doc, [i, j]))
@@ -312,7 +203,7 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = Fal
     return rows.join(cuts, "k", "left").select(*rows.columns, "cut").mapInArrow(run, schema)
 
 
-def remove(unit: Unit, docs: DataFrame, cut: Callable, schema: str, resolve: Callable, id_col: str, text_col: str, whole: bool = False, rest: Column | None = None) -> DataFrame:
-    """``cut_out`` for ``docs``; with ``rest``, that struct of other columns comes along."""
+def remove(unit: Unit, docs: DataFrame, repeated, id_col: str, text_col: str, whole: bool = False, rest: Column | None = None) -> DataFrame:
+    """``cut_out`` of the stretches ``repeated(rows, asked)`` for ``docs``; with ``rest``, that struct of other columns comes along."""
     rows, texts = keyed(docs, id_col, text_col, rest)
-    return cut_out(unit, rows, repeated(unit, texts, cut, schema, resolve), whole)
+    return cut_out(unit, rows, repeated(texts, aligned(unit, texts)), whole)

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from quaero.llm import repeats, substring_dedup, suffix_dedup
+from quaero.llm import substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, key string, k string, lo string"
 
@@ -74,11 +74,14 @@ def test_against_brute_force(spark, kind, seed):
     assert got == want
 
 
-def test_crowded_anchors_are_settled_exactly(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWD", 3)
-    docs = corpus(3)
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+@pytest.mark.parametrize("seed", [3, 4])
+def test_overfull_segments_are_split_and_stay_exact(spark, monkeypatch, seed):
     for op, brute, window in ((suffix_dedup, brute_bytes, 100), (substring_dedup, brute_words, 50)):
+        for name, value in (("LIMIT", 3), ("SHARD", 4), ("PER_BUCKET", 30), ("CHUNK", 2)):
+            if hasattr(op, name):
+                monkeypatch.setattr(op, name, value)
+        docs = corpus(seed)
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
         got = {r.doc_id: (r.n_symbols, r.n_removed, r.n_spans, bytes(r.kept)) for r in op.remove_repeats(df).collect()}
         assert got == brute(docs, window)
 
@@ -99,16 +102,36 @@ def test_repeated_and_null_ids(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_merged_transform_orders_all_suffixes():
+def test_merged_transform_equals_that_of_all_suffixes():
     rng = np.random.default_rng(0)
-    strings = rng.integers(97, 99, (60, 30)).astype(np.uint8)
-    strings[20:40] = strings[:20]
-    for c, rows, lcp in suffix_dedup.merge([strings[:7], strings[7:33], strings[33:]], 30, 12):
-        suffixes = [strings[i, c:].tobytes() for i in rows]
+    rows, width, window = 60, 30, 12
+    strings = rng.integers(97, 99, (width, rows)).astype(np.uint8)
+    strings[:, 20:40] = strings[:, :20]
+    k, zero = np.arange(rows), np.zeros(rows, np.int32)
+    made = [suffix_dedup.shard(strings[:, i], k[i], zero[i], zero[i], zero[i] + width, window) for i in (slice(0, 7), slice(7, 33), slice(33, 60))]
+    cells = [next(m.cells(np.ones(len(m.k), bool), np.zeros(len(m.k), np.int64)))[1] for m in made]
+    merged = suffix_dedup.Merge(cells, width, window)
+    assert (merged.strings() == strings).all()
+    for c in range(width):
+        suffixes = [strings[c + 1 :, i].tobytes() for i in merged.orders[c]]
         assert suffixes == sorted(suffixes)
-        for i in range(1, 60):
-            a, b = suffixes[i - 1], suffixes[i]
-            assert lcp[i] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        assert [strings[c, i] for i in merged.orders[c]] == merged.bwt[c].tolist()
+    for c in range(width - window + 1):
+        windows = [strings[c : c + window, i].tobytes() for i in range(rows)]
+        assert [w in windows[:i] for i, w in enumerate(windows)] == merged.hit[:, c].tolist()
+    assert merged.copies.tolist() == [strings[:, i].tobytes() in [strings[:, j].tobytes() for j in range(i)] for i in range(rows)]
+
+
+def test_common_prefixes_of_refined_neighbours():
+    rng = np.random.default_rng(1)
+    strings = rng.integers(97, 100, (40, 9)).astype(np.uint8)
+    row, lcp = np.arange(40), np.zeros(40, np.int16)
+    for c in range(8, -1, -1):
+        order, lcp = suffix_dedup.refine(strings[row, c], lcp)
+        row = row[order]
+        found = [strings[i, c:].tobytes() for i in row]
+        for i in range(1, 40):
+            assert lcp[i] == next((j for j, (x, y) in enumerate(zip(found[i - 1], found[i])) if x != y), 9 - c)
 
 
 def test_digest_of_kept_bytes(spark):
