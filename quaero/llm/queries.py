@@ -42,29 +42,27 @@ FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sizes = {r["source"]: r["n_docs"] for r in mixing.source_sizes(docs).collect()}
-    return mixing.mix_sources(docs, mixing.tempered(sizes, MIX_POWER), MIX_BLOCK_DOCS)
+    return mixing.mix_sources(docs, mixing.tempered(mixing.source_sizes(docs), MIX_POWER), MIX_BLOCK_DOCS)
 
 
+#: sqrt(n) * 2^52 is a whole number, and so the weights and all windows are exact.
 OP2_SQL = f"""
 WITH RECURSIVE sz AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-e AS (SELECT source, n, pow(n, {MIX_POWER}) / sum(pow(n, {MIX_POWER})) OVER () * 1000 AS exact FROM sz),
-b AS (SELECT source, n, greatest(1, floor(exact))::BIGINT AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, source NULLS LAST) AS nth FROM e),
-p AS (SELECT source, n, base + CASE WHEN nth <= 1000 - sum(base) OVER () THEN 1 ELSE 0 END AS share, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM b),
-l AS (SELECT list(share ORDER BY i) AS s, list(1::BIGINT ORDER BY i) AS j FROM p),
+p AS (SELECT source, n, (n + {MIX_BLOCK_DOCS - 1}) // {MIX_BLOCK_DOCS} AS blocks, (sqrt(n) * 4503599627370496)::HUGEINT AS w, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM sz),
+l AS (SELECT list(w ORDER BY i) AS w, list(blocks ORDER BY i) AS b, list(1::BIGINT ORDER BY i) AS j, sum(w)::HUGEINT AS q,
+             max((blocks * (SELECT sum(w)::HUGEINT FROM p) + w - 1) // w)::BIGINT AS slots FROM p),
 r AS (
-  SELECT -1 AS slot, s, j, 0::BIGINT AS pick, 0::BIGINT AS turn FROM l
+  SELECT -1::BIGINT AS slot, w, b, j, q, slots, NULL::BIGINT AS pick, NULL::BIGINT AS turn FROM l
   UNION ALL
-  SELECT slot + 1, s, list_transform(j, lambda x, i: CASE WHEN i = m THEN x + 1 ELSE x END), m, j[m] FROM (
-    SELECT slot, s, j, list_min(list_transform(list_filter(range(1, len(s) + 1), lambda i: j[i] <= s[i] AND (j[i] - 1) * 1000 // s[i] <= slot + 1),
-                                               lambda i: (j[i] * 1000 + s[i] - 1) // s[i] * 100000 + i)) % 100000 AS m FROM r WHERE slot < 999)),
-t AS (SELECT p.source, r.turn AS j, (r.turn - 1) * 1000 // p.share AS release, (r.turn * 1000 + p.share - 1) // p.share AS deadline, r.slot FROM r JOIN p ON p.i = r.pick WHERE r.slot >= 0),
-d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(doc_id % 256, 0), doc_id NULLS LAST) - 1 AS k FROM documents),
-h AS (SELECT min(p.n // {MIX_BLOCK_DOCS} // p.share * 1000 + t.slot) AS horizon FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND t.j = p.n // {MIX_BLOCK_DOCS} % p.share + 1),
-q AS (SELECT d.doc_id, d.source, d.k, d.k // {MIX_BLOCK_DOCS} AS block, p.share FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source)
-SELECT q.doc_id, q.source, q.k AS source_rank, q.block + 1 AS block, t.release + q.block // q.share * 1000 AS release, t.deadline + q.block // q.share * 1000 AS deadline,
-       t.slot + q.block // q.share * 1000 AS slot, (t.slot + q.block // q.share * 1000) * {MIX_BLOCK_DOCS} + q.k % {MIX_BLOCK_DOCS} AS position, t.slot + q.block // q.share * 1000 < horizon AS in_mixture
-FROM q JOIN t ON t.source IS NOT DISTINCT FROM q.source AND t.j = q.block % q.share + 1, h
+  SELECT slot + 1, w, b, list_transform(j, lambda x, i: CASE WHEN i = m THEN x + 1 ELSE x END), q, slots, m, j[m] FROM (
+    SELECT slot, w, b, j, q, slots, list_min(list_transform(list_filter(range(1, len(w) + 1), lambda i: j[i] <= b[i] AND (j[i] - 1) * q // w[i] <= slot + 1),
+                                               lambda i: (j[i] * q + w[i] - 1) // w[i] * 100000 + i))::BIGINT % 100000 AS m FROM r WHERE slot + 1 < slots)),
+t AS (SELECT p.source, p.n, r.turn AS block, ((r.turn - 1) * r.q // p.w)::BIGINT AS release, ((r.turn * r.q + p.w - 1) // p.w)::BIGINT AS deadline, r.slot FROM r JOIN p ON p.i = r.pick),
+u AS (SELECT *, coalesce(sum(least({MIX_BLOCK_DOCS}, n - (block - 1) * {MIX_BLOCK_DOCS})) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t),
+h AS (SELECT min(slot) AS horizon FROM (SELECT source, max(slot) AS slot FROM t GROUP BY source)),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST) - 1 AS k FROM documents)
+SELECT d.doc_id, d.source, d.k AS source_rank, u.block, u.release, u.deadline, u.slot, (u.start + d.k % {MIX_BLOCK_DOCS})::BIGINT AS position, u.slot <= horizon AS in_mixture
+FROM d JOIN u ON u.source IS NOT DISTINCT FROM d.source AND u.block = d.k // {MIX_BLOCK_DOCS} + 1, h
 """
 
 

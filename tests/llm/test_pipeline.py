@@ -73,25 +73,56 @@ def test_sharding_splits_only_what_is_too_large(spark):
 def test_mixing_stays_within_a_block(spark, weights):
     r = random.Random(3)
     names = list(weights)
-    rows = [(i, r.choice(names)) for i in range(2500)] + [(None, names[0]), (7, names[0]), (7, names[0])]
-    df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.mix_sources(df, weights, block_docs=4, period=100, buckets=8).collect()
+    rows = [(i, r.choice(names), 0, "x", 1) for i in range(2500)] + [(None, names[0], 0, "x", 1), (7, names[0], 0, "x", 1), (7, names[0], 0, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot long, block string, part int")
+    got = mixing.mix_sources(df, weights, block_docs=4, frame_blocks=50).collect()
     assert len(got) == len(rows)
     slots = {}
     for g in got:
         slots.setdefault(g.slot, set()).add((g.source, g.block, g.release, g.deadline))
         assert g.release <= g.slot < g.deadline
     assert all(len(s) == 1 for s in slots.values())
-    assert len({g.position for g in got}) == len(got)
-    parts = mixing.rounded(weights, 100)
+    assert [g.slot for g in sorted(got, key=lambda g: g.position)] == sorted(g.slot for g in got)
+    assert sorted(g.position for g in got) == list(range(len(rows)))
+    total = sum(weights.values())
     given = collections.Counter()
     end = max((g.slot for g in got if g.in_mixture), default=-1)
     for slot in range(end + 1):
         given[next(iter(slots[slot]))[0]] += 1
         for s in weights:
-            assert abs(given[s] - parts[s] * (slot + 1) / 100) < 1
-    for s in weights:  # ranks of a source have no gap
-        assert sorted(g.source_rank for g in got if g.source == s) == list(range(sum(x[1] == s for x in rows)))
+            assert abs(given[s] - weights[s] * (slot + 1) / total) < 1
+    assert any(-(-sum(x[1] == s for x in rows) // 4) == given[s] for s in weights)
+    for s in weights:  # ranks of a source have no gap and go by id
+        own = sorted((g for g in got if g.source == s), key=lambda g: g.source_rank)
+        assert [g.source_rank for g in own] == list(range(sum(x[1] == s for x in rows)))
+        ids = [10**9 if g.doc_id is None else g.doc_id for g in own]
+        assert ids == sorted(ids)
+
+
+def test_deviation_from_unrounded_weights_over_a_million_slots():
+    weights = {"a": 0.62346, "b": 0.30012, "c": 0.0764, "d": 0.00002}
+    share = mixing.shares(weights)
+    exact, total = list(share.values()), sum(share.values())
+    assert [n / total for n in exact] == pytest.approx([w / sum(weights.values()) for w in weights.values()], rel=1e-15)
+    given, done = [0] * 4, [0] * 4
+    for i, j, release, deadline, slot in mixing.run_frame(0, 10**6, exact, [10**9] * 4, done):
+        given[i] += 1
+        assert release <= slot < deadline and j == given[i]
+        assert abs(given[i] * total - exact[i] * (slot + 1)) < total
+    assert slot == 10**6 - 1 and all(abs(g * total - w * 10**6) < total for g, w in zip(given, exact))
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_frames_side_by_side_give_the_schedule_of_one_run(spark, seed):
+    r = random.Random(seed)
+    n = r.choice([2, 5, 40])
+    share, sizes = [r.randint(1, 1000) ** 2 for _ in range(n)], [r.randint(0, 300) for _ in range(n)]
+    plan, docs = mixing.schedule(spark, share, sizes, 3, 17)
+    blocks = [-(-s // 3) for s in sizes]
+    want = list(mixing.run_frame(0, 10**9, share, blocks, [0] * n))
+    got = sorted((p.slot, p.source, p.j, p.release, p.deadline) for p in plan.collect())
+    assert got == [(t, i, j, a, b) for i, j, a, b, t in want]
+    assert sum(docs) == sum(sizes)
 
 
 def test_mixing_edges(spark):
@@ -99,7 +130,11 @@ def test_mixing_edges(spark):
     with pytest.raises(ValueError):
         mixing.mix_sources(df, {"b": 1.0})
     assert mixing.mix_sources(df.limit(0), {"a": 1.0}).count() == 0
-    assert sum(mixing.rounded({"a": 0.999, "b": 0.0005, "c": 0.0005}, 100).values()) == 100
+    assert [g.position for g in mixing.mix_sources(df, {"a": 1.0, "b": 2.0}).collect()] == [0]
+    many = spark.createDataFrame([(i, f"host{i % 3000}") for i in range(4000)], "doc_id long, source string")
+    got = mixing.mix_sources(many, mixing.tempered(mixing.source_sizes(many), 0.5), block_docs=1).collect()
+    assert sorted(g.position for g in got) == list(range(4000))
+    assert all(g.release <= g.slot < g.deadline for g in got)
 
 
 def test_mixture_stage_keeps_every_document_beside_a_small_source(spark):
@@ -117,23 +152,6 @@ def test_mixture_stage_keeps_every_document_beside_a_small_source(spark):
     assert corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
 
 
-def test_order_keeps_unrounded_weights(spark):
-    sizes = {"big": 6000} | {f"s{i:02}": 20 + 30 * i for i in range(19)}
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
-    weights = mixing.tempered(sizes, 0.5)
-    total = sum(weights.values())
-    given, left = collections.Counter(), dict(sizes)
-    worst = 0
-    for nth, r in enumerate(mixing.order_sources(df, weights, block_docs=2, buckets=8).orderBy("position").collect()):
-        assert r.position == nth and r.source_rank == given[r.source]
-        given[r.source] += 1
-        left[r.source] -= 1
-        if not left[r.source]:
-            break
-        worst = max(worst, *(abs(given[s] - weights[s] / total * (nth + 1)) / 2 for s in weights))
-    assert nth > 1000 and worst < 3
-
-
 # ---------------------------------------------------------------- toxicity and language
 
 def words(r, alphabet, n):
@@ -219,10 +237,10 @@ def test_stages(spark):
         assert done[i].n_chars == (None if long[i] is None else len(done[i].text))
         assert (done[i].k, done[i].row) == ("k", "r")
 
-    mixed = mixing.mixture(frame(spark, {i: str(i) for i in range(400)}, sources={i: "a" if i % 4 else "b" for i in range(400)}), 0.0, 4)
-    count = collections.Counter(r.source for r in mixed.collect())
-    assert abs(count["a"] - count["b"]) <= 4 and count["b"] >= 96
-    assert mixed.columns == docs.columns
+    mixed = mixing.whole_mixture(frame(spark, {i: str(i) for i in range(400)}, sources={i: "a" if i % 4 else "b" for i in range(400)}), 0.0, 4)
+    count = collections.Counter(r.source for r in mixed.filter("mixture_position < 200").collect())
+    assert abs(count["a"] - count["b"]) <= 8
+    assert mixed.columns == [*docs.columns, "mixture_position"]
 
 
 def test_repeated_ids_keep_one_row(spark):
