@@ -24,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import batch_of, blocks, text_bytes
+from quaero.llm.common import batch_of, blocks, in_batches, text_bytes
 
 #: Fixed value: how byte-level BPE of this family cuts text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 400_000
+#: Pieces kept by a worker, and half of the pairs of tokens.
+MEMO = 200_000
 NONE = -1
 
 
@@ -88,7 +89,7 @@ class Encoder:
     def compatible(self, left: int, right: int) -> bool:
         key = (left, right)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * MEMO:
+            if len(self.fits) > 2 * MEMO:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -208,12 +209,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """``doc_id, n_tokens, ids`` (little-endian uint32) for every row. A null or empty text has no ids; special tokens'
     strings in a text become their ids, as the library does. Rows are coded one by one: null ids, repeated rows and
     other columns need no rule; an empty table gives no rows."""
-    return _texts(docs, id_col, text_col).mapInArrow(_run(path, True, False), "doc_id long, n_tokens long, ids binary")
+    return _texts(docs, id_col, text_col).transform(in_batches, _run(path, True, False), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for rows ``doc_id, ids``; bytes that are no UTF-8 become U+FFFD."""
-    return encoded.select("doc_id", "ids").mapInArrow(_run(path, False, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").transform(in_batches, _run(path, False, True), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
@@ -221,4 +222,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows, schema = _texts(docs, id_col, text_col), "doc_id long, n_tokens long, ids binary, decoded string"
     if carry:
         rows, schema = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(carry).cast("long").alias(carry)), f"{schema}, {carry} long"
-    return rows.mapInArrow(_run(path, True, True, carry), schema)
+    return rows.transform(in_batches, _run(path, True, True, carry), schema)

@@ -34,6 +34,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of an Arrow batch between Spark and its Python workers, unless the session sets another than Spark's default.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with small batches: a worker and its executor each hold a batch or two at a time."""
+    if df.sparkSession.conf.get(_BATCH, None) in (None, "67108864b", "64m", "64MB"):
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, texts)``: every row as ``(doc_id, k, text)`` (and ``rest`` if given), and of these one for each key.
 
@@ -119,7 +131,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p = np.full(n, r, np.uint64)
         p[0] = 1
         made.append(np.multiply.accumulate(p))
-    if n <= 1 << 22:
+    if n <= 1 << 20:
         _POWERS[:] = made
     return made[0], made[1]
 

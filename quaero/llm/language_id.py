@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaero.llm.common import batch_of, blocks, text_bytes
+from quaero.llm.common import batch_of, blocks, in_batches, text_bytes
 from quaero.llm.toxicity import held_out
 
 STEPS = 64
 #: Stretches that run through the network side by side.
-ASIDE = 4096
+ASIDE = 2048
 UNKNOWN = "und"
 
 
@@ -170,7 +170,7 @@ def learn(docs: DataFrame, per_language: int = 400, stretches: int = 4, most_lan
                 at = sorted({int(x) for x in np.linspace(0, len(all_) - 1, stretches)})
                 yield batch_of(doc_id=pa.array([i] * len(at), pa.int64()), at=pa.array(at, pa.int32()), lang=pa.array([lang] * len(at)), s=pa.array([all_[a].astype(np.int16).tobytes() for a in at], pa.binary()))
 
-    got = picked.mapInArrow(cut, "doc_id long, at int, lang string, s binary").toPandas().sort_values(["doc_id", "at", "lang", "s"])
+    got = picked.transform(in_batches, cut, "doc_id long, at int, lang string, s binary").toPandas().sort_values(["doc_id", "at", "lang", "s"])
     if not len(got):
         return None
     langs = sorted(got["lang"].unique())
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, net: Network | None, whole_rows: bool = False) -> D
         letter[[*range(65, 91), *range(97, 123)]] = True
         for batch in batches:
             data, offs = text_bytes(batch.column("row").field("text") if whole_rows else batch.column("text"))
-            for i, j in blocks(offs, 1 << 19):
+            for i, j in blocks(offs, 1 << 18):
                 here = offs[i : j + 1] - offs[i]
                 raw = data[offs[i] : offs[j]]
                 size = np.diff(here)
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, net: Network | None, whole_rows: bool = False) -> D
                 if net is not None and size.sum():
                     pieces = -(-size // STEPS)
                     first = np.concatenate([[0], np.cumsum(pieces)])
-                    cells = np.full(int(first[-1]) * STEPS, 256, np.int64)
+                    cells = np.full(int(first[-1]) * STEPS, 256, np.int16)
                     cells[np.arange(len(raw)) + np.repeat(first[:-1] * STEPS - here[:-1], size)] = raw
                     cells = cells.reshape(-1, STEPS)
                     sums = np.zeros((len(cells), len(net.langs)))
@@ -223,7 +223,7 @@ def predict(docs: DataFrame, net: Network | None, whole_rows: bool = False) -> D
     if whole_rows:
         schema = schema.add("row", docs.schema)
     text = F.struct("*").alias("row") if whole_rows else F.col("text").cast("string").alias("text")  # a text travels once
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).transform(in_batches, run, schema)
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:

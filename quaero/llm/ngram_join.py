@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import LOWER, batch_of, blocks, ints, keyed, keyed_rows, materialise, mix, prefix_sums, span_hash, text_bytes, word_hashes, word_spans
+from quaero.llm.common import LOWER, batch_of, blocks, in_batches, ints, keyed, keyed_rows, materialise, mix, prefix_sums, span_hash, text_bytes, word_hashes, word_spans
 from quaero.llm.components import components
 from quaero.llm.vectors import runs, whole_keys
 
@@ -114,8 +114,8 @@ def _prune(texts: DataFrame, n_gram: int, percent: int) -> DataFrame:
             yield batch_of(k=docs, hits=n.astype(np.int64), info=pa.nulls(len(docs), empty))
 
     kind = "info struct<n: long, s1: long, s2: long, hits: long>"
-    rows = texts.select("k", "text").mapInArrow(scan, f"token long, k long, {kind}").repartition("token").sortWithinPartitions("token")
-    seen = rows.mapInArrow(count, f"k long, hits long, {kind}")
+    rows = texts.select("k", "text").transform(in_batches, scan, f"token long, k long, {kind}").repartition("token").sortWithinPartitions("token")
+    seen = rows.transform(in_batches, count, f"k long, hits long, {kind}")
     total = seen.groupBy("k").agg(F.sum("hits").alias("there"), F.max("info").alias("info"))
     return total.select("k", "info.n", "info.s1", "info.s2", (F.col("there") + F.col("info.hits")).alias("hits"))
 
@@ -132,7 +132,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
                 yield batch_of(k=batch.column("k").slice(i, j - i), n=np.diff(at).astype(np.int64), tokens=packed)
 
     # a sort-merge join at every size: a broadcast would hold as many ids as there are near copies
-    return texts.join(wanted.hint("merge"), "k", "left_semi").select("k", "text").mapInArrow(run, "k long, n long, tokens binary")
+    return texts.join(wanted.hint("merge"), "k", "left_semi").select("k", "text").transform(in_batches, run, "k long, n long, tokens binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -150,7 +150,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(c, np.int64) for c in group.column("cells").to_pylist())
         return pa.table({"block": group.column("block").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
 
-    rows = sets.select("tokens").mapInArrow(tally, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary").collect()
+    rows = sets.select("tokens").transform(in_batches, tally, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary").collect()
     out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
     for r in rows:
         out[r["block"]] = np.frombuffer(r["cells"], np.int64)
@@ -174,7 +174,7 @@ def _buckets(sets: DataFrame, percent: int) -> DataFrame:
             own = order[(place < (n - overlap(n, percent) + 1)[doc]) & (often[order] > 1)]  # once in all: no partner
             yield batch_of(token=token[own].view(np.int64), k=k[doc[own]], n=n[doc[own]])
 
-    rows = materialise(sets.mapInArrow(prefixes, "token long, k long, n long"), "prefixes")
+    rows = materialise(sets.transform(in_batches, prefixes, "token long, k long, n long"), "prefixes")
     first = rows.groupBy("token").agg(F.min("k").alias("bucket"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "bucket")
     return rows.join(first, "token").select("bucket", "k", "n").distinct()
 
@@ -198,13 +198,15 @@ def join_bucket(n: np.ndarray, tokens: np.ndarray, block: np.ndarray, percent: i
     g = len(n)
     forest = _Forest(g)
     _, ident, df = np.unique(tokens, return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(g), n)
-    shared = df[ident] > 1
-    order = np.lexsort((ident, df[ident], doc))  # rare first within each set; tokens of one set only lead
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order)) - np.concatenate([[0], np.cumsum(n)])[:-1][doc]
-    order = order[shared[order]]
-    ident, owner, place = ident[order], doc[order], place[order]
+    ident, df = ident.astype(np.int32), df.astype(np.int32)
+    doc = np.repeat(np.arange(g, dtype=np.int32), n)
+    often = df[ident]
+    order = np.lexsort((ident, often, doc))  # rare first within each set; tokens of one set only lead
+    place = (np.arange(len(order)) - np.concatenate([[0], np.cumsum(n)])[:-1][doc]).astype(np.int32)  # by set, as the order is
+    kept = often[order] > 1
+    order, place = order[kept], place[kept]
+    ident, owner = ident[order], doc[order]
+    del order, often, kept, doc
     at = np.searchsorted(owner, np.arange(g + 1))
     least = overlap(n, percent)
     beyond = np.maximum(0, place - (n - least)[owner])  # in the l-prefix if below l
@@ -277,7 +279,7 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield batch_of(a=np.concatenate(a), b=np.concatenate(b))
 
-    return rows.repartition("key").sortWithinPartitions("key", "k").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "k").transform(in_batches, run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, n_gram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import batch_of, ints, materialise, with_key
+from quaero.llm.common import batch_of, in_batches, ints, materialise, with_key
 from quaero.llm.components import components
 from quaero.llm.vectors import matrix, runs, unit, usable, whole_keys
 
@@ -129,8 +129,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int = 64,
     space = F.xxhash64("label", F.size("v")).alias("space")
     classes = materialise(same.select(F.col("rep").alias("k"), "label", "v", "m", space), "vectors")
     points = reference_points(classes, pivots)
-    entries = classes.select("space", "k", "m", "v").mapInArrow(_entries(points, pivots, near), "space long, pivot int, k long, m long, perm binary, v binary")
-    lists = classes.select("space", "k", "m", "v").mapInArrow(_entries(points, pivots, near), "space long, pivot int, k long, m long, perm binary, v binary").groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("c"))
+    entries = classes.select("space", "k", "m", "v").transform(in_batches, _entries(points, pivots, near), "space long, pivot int, k long, m long, perm binary, v binary")
+    lists = classes.select("space", "k", "m", "v").transform(in_batches, _entries(points, pivots, near), "space long, pivot int, k long, m long, perm binary, v binary").groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("c"))
     dealt = entries.join(lists.filter("c > 1"), ["space", "pivot"]).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     key = F.xxhash64("space", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("key")
@@ -153,7 +153,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int = 64,
                 yield batch_of(a=a, n=n, b=b)
 
     dealt = dealt.select(key, "pivot", "block", "k", "m", "perm", "v").repartition("key").sortWithinPartitions("key", "k")
-    found = materialise(dealt.mapInArrow(run, "a long, n long, b long"), "vector-links")
+    found = materialise(dealt.transform(in_batches, run, "a long, n long, b long"), "vector-links")
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
     of = components(found.select("a", "b"))
     own = classes.select(F.col("k").alias("rep"), "label", "v", "m")

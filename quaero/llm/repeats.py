@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaero.llm.common import BYTE, batch_of, blocks, gram_hash, ints, keyed, prefix_sums, text_bytes, winnow, word_hashes, word_spans
+from quaero.llm.common import BYTE, batch_of, blocks, gram_hash, in_batches, ints, keyed, prefix_sums, text_bytes, winnow, word_hashes, word_spans
 
 #: Bytes of text that are handled at a time. A task's memory follows this, not the size of the Arrow batches it gets.
 BLOCK = 1 << 19
@@ -85,7 +85,7 @@ def aligned(unit: Unit, texts: DataFrame) -> DataFrame:
                 doc, place, key = anchors(unit, *unit.symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
                 yield batch_of(key=key, k=k[i + doc], lo=place.astype(np.int32))
 
-    found = texts.select("k", "text").mapInArrow(run, "key long, k long, lo int")
+    found = texts.select("k", "text").transform(in_batches, run, "key long, k long, lo int")
     all_ = Window.partitionBy("key").orderBy("k", "lo").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = found.select("k", "lo", F.first("k").over(all_).alias("ref"), F.first("lo").over(all_).alias("at"), F.last("k").over(all_).alias("end"), F.count(F.lit(1)).over(all_).alias("c"))
     repeated = found.filter("c > 1" if unit.within else "ref < end")
@@ -200,7 +200,7 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = Fal
     if carried:
         schema = schema.add("rest", rows.schema["rest"].dataType)
     cuts = stretches.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
-    return rows.join(cuts, "k", "left").select(*rows.columns, "cut").mapInArrow(run, schema)
+    return rows.join(cuts, "k", "left").select(*rows.columns, "cut").transform(in_batches, run, schema)
 
 
 def remove(unit: Unit, docs: DataFrame, repeated, id_col: str, text_col: str, whole: bool = False, rest: Column | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import batch_of, ints, materialise
+from quaero.llm.common import batch_of, in_batches, ints, materialise
 from quaero.llm.vectors import matrix, runs, unit, usable, whole_keys
 
 PACK = 512
@@ -103,7 +103,7 @@ def _pack(rows: DataFrame) -> DataFrame:
             keys, ids_, vs = zip(*out, strict=True)
             yield batch_of(key=pa.array(keys, pa.int64()), ids=pa.array(ids_, pa.binary()), vs=pa.array(vs, pa.binary()))
 
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, ids binary, vs binary")
+    return rows.repartition("key").sortWithinPartitions("key", "id").transform(in_batches, run, "key long, ids binary, vs binary")
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +147,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, lea
                 for t, tree in enumerate(forest.value):
                     yield batch_of(key=tree.leaves(unit(x)) + (t << 32), id=batch.column("id"), v=packed)
 
-    entries = materialise(rows.mapInArrow(index, "key long, id long, v binary"), "leaves")
+    entries = materialise(rows.transform(in_batches, index, "key long, id long, v binary"), "leaves")
     counts = entries.groupBy("key").count().collect()  # leaves are bounded by the sample
     size = {(r[0] >> 32, r[0] & 0xFFFFFFFF): r[1] for r in counts}
 
@@ -160,7 +160,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, lea
                     found = search(forest.value, size, q, visit * total)
                     yield batch_of(key=np.array([(t << 32) + n for t, n in found], np.int64), id=np.full(len(found), ids[i]), v=pa.array([x[i].tobytes()] * len(found), pa.binary()))
 
-    asked = rows.filter(F.col("id") % every == 0).repartition(spark.sparkContext.defaultParallelism * 2, "id").mapInArrow(probe, "key long, id long, v binary")
+    asked = rows.filter(F.col("id") % every == 0).repartition(spark.sparkContext.defaultParallelism * 2, "id").transform(in_batches, probe, "key long, id long, v binary")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +169,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, lea
                 yield batch_of(query_id=a, vec_id=b, score=s)
 
     queries = _pack(asked).select("key", F.col("ids").alias("q_ids"), F.col("vs").alias("qs"))
-    met = _pack(entries).join(queries, "key").select("q_ids", "qs", "ids", "vs").mapInArrow(rank, "query_id long, vec_id long, score double")
+    met = _pack(entries).join(queries, "key").select("q_ids", "qs", "ids", "vs").transform(in_batches, rank, "query_id long, vec_id long, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
     return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaero.llm import repeats
-from quaero.llm.common import BYTE, batch_of, blocks, ints, materialise, merged_by, mix, prefix_sums, span_hash, text_bytes
+from quaero.llm.common import BYTE, batch_of, blocks, in_batches, ints, materialise, merged_by, mix, prefix_sums, span_hash, text_bytes
 from quaero.llm.repeats import Rows, Unit
 
 PAD = 0xFF  # in no UTF-8 text
@@ -316,9 +316,9 @@ def repeated(unit: Unit, texts: DataFrame, asked: DataFrame) -> DataFrame:
     asked = materialise(asked, "repeated-anchors")
     total = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
     rows = texts.join(asked, "k").select(*texts.columns, "asked")  # all columns, so that the last join can share the exchange
-    cells, found = rows.mapInArrow(_shards(unit, -(-total // PER_BUCKET) or 1), CELLS), None
+    cells, found = rows.transform(in_batches, _shards(unit, -(-total // PER_BUCKET) or 1), CELLS), None
     while True:
-        out = materialise(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged(unit), CELLS), "merged")
+        out = materialise(cells.repartition("bucket").sortWithinPartitions("bucket").transform(in_batches, _merged(unit), CELLS), "merged")
         part = out.filter("k IS NOT NULL").select("k", "lo", "hi")
         found = part if found is None else found.unionByName(part)
         cells = out.filter("k IS NULL")

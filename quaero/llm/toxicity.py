@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import batch_of, blocks, materialise, text_bytes
+from quaero.llm.common import batch_of, blocks, in_batches, materialise, text_bytes
 
 #: Letters of other scripts that look like Latin ones, and characters used in place of letters.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕһԁԛԝαβεικνορτυχγ", "abekmhopctyxijshdqwabeiknoptuxy", strict=True))
@@ -137,7 +137,7 @@ def _scan(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 total, hits, words = zip(*found, strict=True)
                 yield batch_of(doc_id=batch.column("doc_id").slice(i, j - i), total=pa.array(total, pa.float64()), hits=pa.array(hits, pa.int64()), words=pa.array(words, pa.int64()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, total double, hits long, words long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_batches, run, "doc_id long, total double, hits long, words long")
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
     # bounded by max_toxic + max_clean rows of three numbers
     half = pick.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod("h", F.lit(2)).cast("int").alias("half"))
     sample = materialise(texts.join(F.broadcast(half), "doc_id"), "labelled")
-    counts = sample.select("text", "toxic", "half").mapInArrow(_beginnings, "entry string, toxic int, half int, d long")
+    counts = sample.select("text", "toxic", "half").transform(in_batches, _beginnings, "entry string, toxic int, half int, d long")
     cells = [F.sum(F.when((F.col("toxic") == t) & (F.col("half") == h), F.col("d")).otherwise(0)).alias(f"d{t}{h}") for t in (0, 1) for h in (0, 1)]
     table = counts.groupBy("entry").agg(*cells).filter("entry = '' OR (d10 + d11 >= 3 AND (d10 + d11) * 20 >= d00 + d01)").collect()
     rows = {r["entry"]: tuple(map(int, r[1:])) for r in table}

@@ -23,7 +23,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def whole_keys(batches, most: int = 32 << 20):
+def whole_keys(batches, most: int = 8 << 20):
     """Tables of whole values of the column ``key``, from rows sorted by it."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
