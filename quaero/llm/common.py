@@ -34,6 +34,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 #: Most bytes of an Arrow batch between Spark and its Python workers, unless the session sets another than Spark's default.
 BATCH_BYTES = "8m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quaero.llm import repeats
-from quaero.llm.common import BYTE, batch_of, blocks, in_batches, ints, materialise, merged_by, mix, prefix_sums, span_hash, text_bytes, word_hashes, word_spans
+from quaero.llm.common import BYTE, batch_of, blocks, in_batches, ints, materialise, merged_by, mix, prefix_sums, shuffle_partitions, span_hash, text_bytes, word_hashes, word_spans
 from quaero.llm.repeats import Unit
 
 #: Rows that are settled at a time, and different rows of a segment; beyond that it is split.
@@ -279,7 +279,7 @@ def repeated(unit: Unit, texts: DataFrame, asked: DataFrame) -> DataFrame:
     rows = texts.join(asked, "k").select(*texts.columns, "asked")  # all columns, so that the last join can share the exchange
     rows, found = rows.transform(in_batches, _seed_rows(unit), ROWS), None
     while True:
-        rows = rows.repartition("key").sortWithinPartitions("key", "from_", "to_", "words", "k", "start")
+        rows = rows.repartition(shuffle_partitions(texts), "key").sortWithinPartitions("key", "from_", "to_", "words", "k", "start")
         out = materialise(rows.transform(in_batches, _extended(unit), ROWS), "extended")
         part = out.filter("hi IS NOT NULL").selectExpr("k", "start AS lo", "hi")
         found = part if found is None else found.unionByName(part)

@@ -27,16 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaero.llm import repeats
-from quaero.llm.common import BYTE, batch_of, blocks, in_batches, ints, materialise, merged_by, mix, prefix_sums, span_hash, text_bytes
+from quaero.llm.common import BYTE, batch_of, blocks, in_batches, ints, materialise, merged_by, mix, prefix_sums, shuffle_partitions, span_hash, text_bytes
 from quaero.llm.repeats import Rows, Unit
 
 PAD = 0xFF  # in no UTF-8 text
 #: Rows of a shard, and of cells that are merged at a time.
-SHARD = 8_192
-#: Different rows of a merged transform; beyond that its bucket is split. A merge holds up to SHARD more, below 2^16.
+SHARD = 16_384
+#: Different rows of a merged transform; beyond that its bucket is split. A merge holds up to twice SHARD more, below 2^16.
 LIMIT = 24_576
-#: Repeated anchors for each bucket.
-PER_BUCKET = 16_384
+#: Bytes of text for each bucket.
+PER_BUCKET = 2 << 20
 SEED = 32
 SEGMENT = 256
 CELLS = "bucket long, k long, lo int, hi int, c0 int, c1 int, bwt binary, ks binary, starts binary, froms binary, tos binary"
@@ -87,7 +87,7 @@ class Cell:
         return len(self.k)
 
     def row(self, bucket: int, c0: int, c1: int) -> tuple:
-        return (bucket, c0, c1, self.bwt.tobytes(), self.k.tobytes(), self.start.tobytes(), self.from_.tobytes(), self.to.tobytes())
+        return (bucket, c0, c1, pa.compress(self.bwt.tobytes(), "zstd", asbytes=True), self.k.tobytes(), self.start.tobytes(), self.from_.tobytes(), self.to.tobytes())
 
 
 class Merge:
@@ -231,7 +231,7 @@ def _shards(unit: Unit, buckets: int):
             doc, asked = repeats.lists(batch.column("asked"))
             k = ints(batch, "k")
             lo, ref, at = (asked.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "ref", "at"))
-            for i, j in blocks(offs, 8 * repeats.BLOCK):
+            for i, j in blocks(offs, 16 * repeats.BLOCK):
                 own = slice(*np.searchsorted(doc, [i, j]))
                 if own.start < own.stop:
                     here = offs[i : j + 1] - offs[i]
@@ -265,7 +265,8 @@ def _merged(unit: Unit):
 
     def cell(batch: pa.RecordBatch, i: int) -> Cell:
         k, start, from_, to = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("ks", np.int64), ("starts", np.int32), ("froms", np.int16), ("tos", np.int16)))
-        return Cell(np.frombuffer(batch.column("bwt")[i].as_py(), np.uint8).reshape(unit.width, len(k)), k, start, from_, to)
+        bwt = pa.decompress(batch.column("bwt")[i].as_py(), unit.width * len(k), "zstd", asbytes=True)
+        return Cell(np.frombuffer(bwt, np.uint8).reshape(unit.width, len(k)), k, start, from_, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Cell] = []
@@ -313,12 +314,13 @@ def _merged(unit: Unit):
 
 def repeated(unit: Unit, texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``k, lo, hi``: all repeated stretches."""
-    asked = materialise(asked, "repeated-anchors")
-    total = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = texts.join(asked, "k").select(*texts.columns, "asked")  # all columns, so that the last join can share the exchange
     cells, found = rows.transform(in_batches, _shards(unit, -(-total // PER_BUCKET) or 1), CELLS), None
     while True:
-        out = materialise(cells.repartition("bucket").sortWithinPartitions("bucket").transform(in_batches, _merged(unit), CELLS), "merged")
+        # a number of partitions of its own: cells are small for the work they hold
+        dealt = cells.repartition(shuffle_partitions(texts), "bucket").sortWithinPartitions("bucket")
+        out = materialise(dealt.transform(in_batches, _merged(unit), CELLS), "merged")
         part = out.filter("k IS NOT NULL").select("k", "lo", "hi")
         found = part if found is None else found.unionByName(part)
         cells = out.filter("k IS NULL")

@@ -77,7 +77,7 @@ def test_against_brute_force(spark, kind, seed):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_overfull_segments_are_split_and_stay_exact(spark, monkeypatch, seed):
     for op, brute, window in ((suffix_dedup, brute_bytes, 100), (substring_dedup, brute_words, 50)):
-        for name, value in (("LIMIT", 3), ("SHARD", 4), ("PER_BUCKET", 30), ("CHUNK", 2)):
+        for name, value in (("LIMIT", 3), ("SHARD", 4), ("PER_BUCKET", 1000), ("CHUNK", 2)):
             if hasattr(op, name):
                 monkeypatch.setattr(op, name, value)
         docs = corpus(seed)
