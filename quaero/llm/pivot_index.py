@@ -1,16 +1,22 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-A vector is described by its ``near`` nearest of ``pivots`` reference points, in order. Inverted lists hold, for each
-reference point (and label), the vectors that have it among theirs. Two vectors become candidates if they share at
-least ``least`` pivots, and are then verified by their cosine. A pair stands in as many lists as it shares pivots; it
-is counted and verified in the first of them only, so counts simply add up.
-
-Lists longer than ``BLOCK`` are dealt out as pairs of blocks. Identical vectors are one entry with a multiplicity.
-What leaves a list is, per vector, its number of links and one link to the first of its component in that list.
+A vector is described by its ``near`` nearest of some reference points, the pivots. Inverted lists hold, for each pivot
+(and label), the vectors that have it among theirs. Two vectors become candidates if they share at least ``least``
+pivots, and are then verified by their cosine.
+
+1. The lists hold ids and permutations only. A pair is counted in the list of the first pivot (by number) that both have; if they share
+   ``least`` pivots, that is one of the first near - least + 1 of either, so a vector stands in that many lists. Shared pivots are
+   counted on bit masks. What leaves a list are the vectors that have a candidate there.
+2. Only those get their vector, which is joined to them and verified against their candidates in that list. A pair is
+   counted and verified once, so counts simply add up; of each vector go on its number of links and one link to the first of its component in the list.
+
+Lists longer than ``BLOCK`` are dealt out as pairs of blocks. Identical vectors are one entry with a multiplicity. The
+number of pivots grows with the root of the number of vectors, and with it ``near``, so that lists stay short and recall stays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.common import batch_of, in_batches, ints, materialise, with_key
+from quaero.llm.common import batch_of, in_batches, materialise, shuffle_partitions, with_key
 from quaero.llm.components import components
 from quaero.llm.vectors import matrix, runs, unit, usable, whole_keys
 
@@ -28,6 +34,12 @@ SAMPLE = 2_048
 CROWDED = 0.7
 
 
+def default_pivots(n: int) -> tuple[int, int]:
+    """Pivots and how many of them describe a vector, for n vectors: 256 and 12, and 2 more for each doubling."""
+    twice = max(0, round(math.log2(max(n, 1) / 100_000) / 2))
+    return 256 << twice, 12 + 2 * twice
+
+
 def reference_points(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
     """Unit reference points by vector length, spread over ``SAMPLE`` vectors picked by a hash of their components."""
     lengths = [r[0] for r in vectors.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(16).collect()]
@@ -57,44 +69,73 @@ def _directions(d: int, n: int) -> np.ndarray:
     return unit(np.random.default_rng(d).standard_normal((n, d))) if n else np.zeros((0, d))
 
 
-def _entries(points: dict[int, np.ndarray], pivots: int, near: int):
-    """Rows ``space, pivot, k, m, perm, v``: a vector once for each of its nearest pivots."""
+def permutation(x: np.ndarray, points: np.ndarray, near: int) -> np.ndarray:
+    """The numbers of the nearest pivots of unit vectors, in order of the numbers."""
+    return np.sort(np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :near], axis=1).astype(np.int16)
+
+
+def _entries(points: dict[int, np.ndarray], pivots: int, near: int, least: int):
+    """Rows ``space, pivot, k, perm``: a vector once for each of the first pivots of its permutation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(d).tolist():
                 rows = batch.filter(pa.array(d == dim))
-                x = unit(matrix(rows.column("v"), dim))
-                ref = points[dim] if dim in points else _directions(dim, pivots)
-                perm = np.argsort(-(x @ ref.T), axis=1, kind="stable")[:, :near].astype(np.int16)
-                i = np.repeat(np.arange(len(x)), perm.shape[1])
-                yield batch_of(
-                    space=rows.column("space").take(pa.array(i)), pivot=perm.ravel().astype(np.int32), k=rows.column("k").take(pa.array(i)), m=rows.column("m").take(pa.array(i)),
-                    perm=pa.array([p.tobytes() for p in perm], pa.binary()).take(pa.array(i)), v=pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(i)),
-                )
+                perm = permutation(unit(matrix(rows.column("v"), dim)), points[dim] if dim in points else _directions(dim, pivots), near)
+                first = perm[:, : near - least + 1]
+                i = pa.array(np.repeat(np.arange(len(perm)), first.shape[1]))
+                packed = pa.array([p.tobytes() for p in perm], pa.binary())
+                yield batch_of(space=rows.column("space").take(i), pivot=first.ravel().astype(np.int32), k=rows.column("k").take(i), perm=packed.take(i))
 
     return run
 
 
-def join_list(pivot: int, perm: np.ndarray, x: np.ndarray, block: np.ndarray, m: np.ndarray, pivots: int, least: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each vector of one inverted list (weighted by multiplicity), and the first of its component there.
+def masks(perm: np.ndarray, pivots: int) -> np.ndarray:
+    out = np.zeros((-(-pivots // 64), len(perm)), np.uint64)
+    for c in perm.T.astype(np.int64):
+        out[c // 64, np.arange(len(perm))] |= np.uint64(1) << (c % 64).astype(np.uint64)
+    return out
 
-    A list has at most about two blocks of vectors, so their link matrix of booleans is small."""
-    n = len(x)
-    member = np.zeros((n, pivots), np.float32)
-    member[np.repeat(np.arange(n), perm.shape[1]), perm.ravel()] = 1
-    linked = np.zeros((n, n), bool)
+
+def candidates(pivot: int, bits: np.ndarray, block: np.ndarray, least: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """For a slice of a list's vectors at a time, which of the others share ``least`` pivots, ``pivot`` being the first."""
+    n = bits.shape[1]
     across = len(np.unique(block)) > 1
-    for i in range(0, n, ROWS):
-        part = slice(i, i + ROWS)
-        ok = (member[part] @ member.T >= least) & (member[part, :pivot] @ member[:, :pivot].T == 0)
-        ok &= x[part] @ x.T >= cosine
+    for a in range(0, n, ROWS):
+        part = slice(a, min(a + ROWS, n))
+        count = np.zeros((part.stop - a, n), np.uint8)
+        ok = np.ones(count.shape, bool)
+        for w in range(len(bits)):
+            both = bits[w, part, None] & bits[w]
+            count += np.bitwise_count(both)
+            below = min(max(pivot - 64 * w, 0), 64)
+            if below:
+                ok &= (both & np.uint64((1 << below) - 1)) == 0
+        ok &= count >= least
         if across:
-            ok &= block[part][:, None] != block
-        linked[part] = ok
+            ok &= block[part, None] != block
+        ok[np.arange(part.stop - a), np.arange(a, part.stop)] = False
+        yield part, ok
+
+
+def verify(pivot: int, bits: np.ndarray, x: np.ndarray, block: np.ndarray, m: np.ndarray, least: int, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links of each vector of one list (weighted by multiplicity), the first of its component there, and the number of cosines.
+
+    A list has at most about two blocks of vectors, so their link matrix of booleans is small."""
+    n, cosines = len(x), 0
+    linked = np.zeros((n, n), bool)
+    for part, ok in candidates(pivot, bits, block, least):
+        if ok.mean() > 0.1:
+            cosines += ok.size
+            ok &= x[part] @ x.T >= cosine
+            linked[part] = ok
+        else:
+            i, j = np.nonzero(ok)
+            cosines += len(i)
+            good = np.concatenate([np.einsum("ij,ij->i", x[part.start + i[c : c + 65_536]], x[j[c : c + 65_536]]) for c in range(0, len(i), 65_536)] or [np.zeros(0)]) >= cosine
+            linked[part.start + i[good], j[good]] = True
     linked |= linked.T
-    np.fill_diagonal(linked, False)
     root = np.arange(n)
     seen = ~linked.any(axis=1)
     for i in range(n):
@@ -106,10 +147,10 @@ def join_list(pivot: int, perm: np.ndarray, x: np.ndarray, block: np.ndarray, m:
             root[edge] = i
             edge = np.flatnonzero(linked[edge].any(axis=0) & ~seen)
             seen[edge] = True
-    return linked @ m, root
+    return linked @ m, root, cosines
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int = 64, near: int = 8, least: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int | None = None, near: int | None = None, least: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     Vectors of one label (not null) and one length link where their cosine in double precision is at least ``cosine``
@@ -121,6 +162,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int = 64,
     the id alone are two vectors (of which the one with the smaller hash is kept). An empty table gives no rows. Other
     columns play no part.
     """
+    kind = vectors.schema[vector_col].dataType  # vectors travel as they are stored
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows, repeats = with_key(base, "vec_id", ["label", "v"])
     once = rows.dropDuplicates(["k"]) if repeats else rows
@@ -128,32 +170,47 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int = 64,
     same = part.groupBy("label", "v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m"))
     space = F.xxhash64("label", F.size("v")).alias("space")
     classes = materialise(same.select(F.col("rep").alias("k"), "label", "v", "m", space), "vectors")
+    usual = default_pivots(classes.count())
+    pivots, near = pivots or usual[0], near or usual[1]
     points = reference_points(classes, pivots)
-    entries = classes.select("space", "k", "m", "v").transform(in_batches, _entries(points, pivots, near), "space long, pivot int, k long, m long, perm binary, v binary")
-    lists = classes.select("space", "k", "m", "v").transform(in_batches, _entries(points, pivots, near), "space long, pivot int, k long, m long, perm binary, v binary").groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    dealt = entries.join(lists.filter("c > 1"), ["space", "pivot"]).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
+    entries = materialise(classes.select("space", "k", "v").transform(in_batches, _entries(points, pivots, near, least), "space long, pivot int, k long, perm binary"), "pivot-lists")
+    lists = entries.groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    dealt = entries.join(lists, ["space", "pivot"]).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     key = F.xxhash64("space", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("key")
 
+    def unpacked(table: pa.Table, i: int, j: int) -> np.ndarray:
+        return masks(np.frombuffer(b"".join(table.column("perm").slice(i, j - i).to_pylist()), np.int16).reshape(j - i, -1), pivots)
+
+    def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches):
+            key, block, pivot = (table.column(c).to_numpy() for c in ("key", "block", "pivot"))
+            has = np.zeros(len(key), bool)
+            for i, j in runs(key):
+                if j - i > 1:
+                    for part, ok in candidates(int(pivot[i]), unpacked(table, i, j), block[i:j], least):
+                        has[i + part.start : i + part.stop] = ok.any(axis=1)
+            yield from table.filter(pa.array(has)).combine_chunks().to_batches()
+
+    dealt = dealt.select(key, "pivot", "block", "k", "perm").repartition(shuffle_partitions(vectors), "key").sortWithinPartitions("key", "k")
+    asked = dealt.transform(in_batches, retrieve, "key long, pivot int, block int, k long, perm binary")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_keys(batches):
             key, k, m, block, pivot = (table.column(c).to_numpy() for c in ("key", "k", "m", "block", "pivot"))
-            perm, v = table.column("perm").to_pylist(), table.column("v").to_pylist()
-            out = []
+            v, out = table.column("v").combine_chunks(), []
             for i, j in runs(key):
-                if j - i < 2:
-                    continue
-                x = np.frombuffer(b"".join(v[i:j]), np.float64).reshape(j - i, -1)
-                p = np.frombuffer(b"".join(perm[i:j]), np.int16).reshape(j - i, -1)
-                links, root = join_list(int(pivot[i]), p, x, block[i:j], m[i:j], pivots, least, cosine)
-                own = np.flatnonzero(links)
-                out.append((k[i:j][own], links[own], k[i:j][root[own]]))
+                if j - i > 1:
+                    x = unit(matrix(v.slice(i, j - i), len(v[i])))
+                    links, root, _ = verify(int(pivot[i]), unpacked(table, i, j), x, block[i:j], m[i:j], least, cosine)
+                    own = np.flatnonzero(links)
+                    out.append((k[i:j][own], links[own], k[i:j][root[own]]))
             if out:
                 a, n, b = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield batch_of(a=a, n=n, b=b)
 
-    dealt = dealt.select(key, "pivot", "block", "k", "m", "perm", "v").repartition("key").sortWithinPartitions("key", "k")
-    found = materialise(dealt.transform(in_batches, run, "a long, n long, b long"), "vector-links")
+    asked = asked.join(classes.select("k", "m", F.col("v").cast(kind).alias("v")).hint("merge"), "k").repartition(shuffle_partitions(vectors), "key").sortWithinPartitions("key", "k")
+    found = materialise(asked.transform(in_batches, run, "a long, n long, b long"), "vector-links")
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
     of = components(found.select("a", "b"))
     own = classes.select(F.col("k").alias("rep"), "label", "v", "m")

@@ -200,7 +200,8 @@ def cut_out(unit: Unit, rows: DataFrame, stretches: DataFrame, whole: bool = Fal
     if carried:
         schema = schema.add("rest", rows.schema["rest"].dataType)
     cuts = stretches.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
-    return rows.join(cuts, "k", "left").select(*rows.columns, "cut").transform(in_batches, run, schema)
+    # a sort-merge join at every size: a broadcast would hold what grows with the repeats
+    return rows.join(cuts.hint("merge"), "k", "left").select(*rows.columns, "cut").transform(in_batches, run, schema)
 
 
 def remove(unit: Unit, docs: DataFrame, repeated, id_col: str, text_col: str, whole: bool = False, rest: Column | None = None) -> DataFrame:

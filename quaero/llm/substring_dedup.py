@@ -276,7 +276,7 @@ def _copies(rows: pa.RecordBatch, first: tuple | None) -> tuple[np.ndarray, np.n
 
 def repeated(unit: Unit, texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``k, lo, hi``: all repeated stretches."""
-    rows = texts.join(asked, "k").select(*texts.columns, "asked")  # all columns, so that the last join can share the exchange
+    rows = texts.join(asked.hint("merge"), "k").select("k", "text", "asked")
     rows, found = rows.transform(in_batches, _seed_rows(unit), ROWS), None
     while True:
         rows = rows.repartition(shuffle_partitions(texts), "key").sortWithinPartitions("key", "from_", "to_", "words", "k", "start")

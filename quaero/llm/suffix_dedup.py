@@ -315,7 +315,7 @@ def _merged(unit: Unit):
 def repeated(unit: Unit, texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``k, lo, hi``: all repeated stretches."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = texts.join(asked, "k").select(*texts.columns, "asked")  # all columns, so that the last join can share the exchange
+    rows = texts.join(asked.hint("merge"), "k").select("k", "text", "asked")
     cells, found = rows.transform(in_batches, _shards(unit, -(-total // PER_BUCKET) or 1), CELLS), None
     while True:
         # a number of partitions of its own: cells are small for the work they hold

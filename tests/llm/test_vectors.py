@@ -62,6 +62,35 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("n", [50_000, 500_000, 2_000_000])
+def test_recall_and_cost_at_the_pivots_of_three_sizes(n):
+    r = np.random.default_rng(n)
+    pivots, near = pivot_index.default_pivots(n)
+    ref = pivot_index._directions(64, pivots)
+    a, b = pivot_index.unit(r.standard_normal((3000, 64))), r.standard_normal((3000, 64))
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    c = r.uniform(0.93, 0.96, (3000, 1))
+    b = c * a + np.sqrt(1 - c * c) * pivot_index.unit(b)
+    shared = lambda p, q: (p[:, :, None] == q[:, None, :]).sum((1, 2))
+    p, q = pivot_index.permutation(a, ref, near), pivot_index.permutation(b, ref, near)
+    assert (shared(p, q) >= 5).mean() >= 0.99
+    assert (shared(p, np.roll(q, 1, axis=0)) >= 5).mean() < 0.01
+
+
+def test_few_cosines_are_computed():
+    r = np.random.default_rng(7)
+    x = pivot_index.unit(np.repeat(r.standard_normal((300, 64)), 4, axis=0) + 0.1 * r.standard_normal((1200, 64)))
+    perm = pivot_index.permutation(x, pivot_index._directions(64, 256), 12)
+    links = cosines = 0
+    for p in range(256):
+        own = np.flatnonzero((perm[:, :8] == p).any(axis=1))
+        if len(own) > 1:
+            n, _, done = pivot_index.verify(p, pivot_index.masks(perm[own], 256), x[own], np.zeros(len(own)), np.ones(len(own), np.int64), 5, 0.93)
+            links, cosines = links + int(n.sum()), cosines + done
+    assert links == ((x @ x.T >= 0.93).sum() - 1200)
+    assert cosines < 0.1 * 1200 * 1199
+
+
 def test_near_duplicates_with_all_pivots_shared_is_exact(spark):
     rows = clustered(2, 200)
     got = pivot_index.near_duplicates(spark.createDataFrame(rows, SCHEMA), pivots=8, near=8, least=1).collect()
