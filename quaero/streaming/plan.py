@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 from dataclasses import dataclass
@@ -46,11 +47,11 @@ class Settings:
         self.put("mappen", json.dumps([*dict.fromkeys([*self.folders(), path.rstrip("/")])]))
 
     def remove_folder(self, path: str, snapshots: Snapshots) -> None:
-        """The folder leaves the list, and with it all documents below it, whichever source they came by."""
+        """The folder leaves the list, and with it the documents that came by it. Those of other sources below it stay."""
         path = path.rstrip("/")
         self.put("mappen", json.dumps([p for p in self.folders() if p != path]))
-        left = snapshots.documents().filter(~F.col("path").startswith(path + "/"))
-        snapshots.commit(left, snapshots.number() + 1)
+        stored = snapshots.documents()
+        snapshots.commit(snapshots.number() + 1, stored.filter(F.lit(False)), stored.filter(F.col("source") == f"map:{path}"))
 
 
 @dataclass(frozen=True)
@@ -69,21 +70,33 @@ def plan(folders: list[str], mail: list[str] = (), pictures: list[str] = ()) ->
 def run_plan(settings: Settings, snapshots: Snapshots, chosen: list[Item], again: bool = False, stop_after: int | None = None) -> dict[str, int | str]:
     """Work off the items; those left by a stopped run come first and keep its choice, unless ``again``.
 
-    An item leaves the queue only when its round is committed, so a run that dies repeats that item. Documents that a
-    source no longer has go when the source's last item is done.
+    Each item is read in a round of its own and leaves the queue only when that round is committed, so a run that dies
+    repeats that item. The round of a source's last item walks all items of that source in the plan, also those that an earlier run has done:
+    only against all of them are documents gone. ``stop_after`` ends the run after so many items.
     """
-    left = [] if again else [Item(*x) for x in json.loads(settings.get("wachtrij", "[]") or "[]")]
-    resumed, queue = bool(left), left or list(chosen)
+    saved = lambda key: [Item(*x) for x in json.loads(settings.get(key, "[]") or "[]")]
+    left = [] if again else saved("wachtrij")
+    whole = saved("plan") if left else list(chosen)
+    resumed, queue = bool(left), list(left or chosen)
+    if not left:
+        settings.put("plan", _listed(whole))
+        settings.put("wachtrij", _listed(queue))
     total = {"added": 0, "updated": 0, "skipped": 0, "removed": 0, "errors": 0}
     for n, item in enumerate(list(queue)):
         if stop_after is not None and n >= stop_after:
             break
-        same = [i for i in (left or chosen) if i.source == item.source]
-        found = files(snapshots.spark, [i.path for i in same], item.kind, own=snapshots.path.removeprefix("file://"))
-        if item == same[-1]:  # the whole source at once: only then may documents go
-            got = run_round(snapshots, found.withColumn("source", F.lit(item.source)), [item.source])
-            total = {k: v + got[k] for k, v in total.items()}
-        queue.remove(item)
-        settings.put("wachtrij", json.dumps([[i.source, i.kind, i.path] for i in queue]))
+        last = all(i.source != item.source for i in queue[1:])
+        walked = [i for i in whole if i.source == item.source] if last else [item]
+        found = files(snapshots.spark, [i.path for i in walked], item.kind, own=snapshots.path.removeprefix("file://"))
+        got = run_round(snapshots, found.withColumn("source", F.lit(item.source)), [item.source] if last else [])
+        total = {k: v + got[k] if k != "errors" else got[k] for k, v in total.items()}
+        queue.pop(0)
+        settings.put("wachtrij", _listed(queue))
     settings.put("status", "onderbroken" if queue else "klaar")
+    if not queue:
+        settings.put("laatst-bijgewerkt", dt.datetime.now(dt.UTC).isoformat(timespec="seconds"))
     return total | {"pending": len(queue), "resumed": int(resumed), "status": "onderbroken" if queue else "klaar"}
+
+
+def _listed(items: list[Item]) -> str:
+    return json.dumps([[i.source, i.kind, i.path] for i in items])

@@ -5,6 +5,7 @@ import sqlite3
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quaero.sources import browser, files
@@ -161,3 +162,73 @@ def test_plan_stops_resumes_and_forgets_folders(spark, tmp_path):
     assert run_plan(settings, snapshots, chosen)["skipped"] >= 3
     settings.remove_folder(str(tmp_path / "a"), snapshots)
     assert len(settings.folders()) == 2 and snapshots.documents().count() == 2
+
+
+@pytest.mark.parametrize("stop", [1, 2, 3])
+def test_resumed_plan_loses_nothing(spark, tmp_path, stop):
+    from quaero.streaming.plan import Settings, plan, run_plan
+
+    for n in ("m1", "m2", "own"):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "x.eml").write_bytes(mail(f"van {n}", "dag"))
+    (tmp_path / "own/y.txt").write_text("tekst")
+    settings, snapshots = Settings(spark, f"file://{tmp_path}/index"), Snapshots(spark, f"file://{tmp_path}/index")
+    settings.add_folder(str(tmp_path / "own"))
+    chosen = plan(settings.folders(), [str(tmp_path / "m1"), str(tmp_path / "m2")])
+    assert run_plan(settings, snapshots, chosen)["added"] == 3
+    held = lambda: sorted(r.path[len(str(tmp_path)) + 1 :] for r in snapshots.documents().select("path").collect())
+    assert held() == ["m1/x.eml", "m2/x.eml", "own/y.txt"]
+    got = run_plan(settings, snapshots, chosen, stop_after=stop)
+    assert (got["removed"], got["added"]) == (0, 0)
+    (tmp_path / "m1/x.eml").unlink()
+    (tmp_path / "m2/new.eml").write_bytes(mail("nieuw", "dag"))
+    got = run_plan(settings, snapshots, chosen)
+    assert got["status"] == "klaar" and held() == ["m2/new.eml", "m2/x.eml", "own/y.txt"]
+
+
+def test_item_stays_queued_if_its_round_dies(spark, tmp_path, monkeypatch):
+    from quaero.streaming import plan as planned
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.txt").write_text("tekst")
+    settings, snapshots = planned.Settings(spark, f"file://{tmp_path}/index"), Snapshots(spark, f"file://{tmp_path}/index")
+    chosen = planned.plan([str(tmp_path / "a")])
+
+    def dies(*_):
+        raise OSError("stroom weg")
+
+    with monkeypatch.context() as m:
+        m.setattr(planned, "run_round", dies)
+        with pytest.raises(OSError):
+            planned.run_plan(settings, snapshots, chosen)
+    got = planned.run_plan(settings, snapshots, [])
+    assert (got["resumed"], got["added"], got["status"]) == (1, 1, "klaar")
+
+
+def test_folder_removal_keeps_mail_below_it(spark, tmp_path):
+    from quaero.streaming.plan import Settings, plan, run_plan
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.eml").write_bytes(mail("post", "dag"))
+    (tmp_path / "a/y.txt").write_text("tekst")
+    settings, snapshots = Settings(spark, f"file://{tmp_path}/index"), Snapshots(spark, f"file://{tmp_path}/index")
+    settings.add_folder(str(tmp_path / "a"))
+    run_plan(settings, snapshots, plan(settings.folders(), [str(tmp_path / "a")]))
+    settings.remove_folder(str(tmp_path / "a"), snapshots)
+    assert [r.source for r in snapshots.documents().collect()] == ["mail:bestanden"]
+
+
+def test_unchanged_round_writes_no_document_and_layers_are_joined(spark, tmp_path, monkeypatch):
+    from quaero.streaming import rounds
+
+    monkeypatch.setattr(rounds, "LAYERS", 2)
+    (tmp_path / "f").mkdir()
+    snapshots = Snapshots(spark, f"file://{tmp_path}/index")
+    for n in range(4):
+        (tmp_path / f"f/{n}.txt").write_text(f"bestand {n}")
+        found = files.files(spark, [str(tmp_path / "f")]).withColumn("source", F.lit("map"))
+        assert run_round(snapshots, found)["added"] == 1
+        assert run_round(snapshots, found)["skipped"] == n + 1
+    assert snapshots.documents().count() == 4
+    held = [h for _, h in snapshots.rounds()]
+    assert held.count("nothing") == 4 and "full" in held
