@@ -3,8 +3,9 @@
 Each tree splits a bounded sample at the median of its projections on the difference of two of its points, down to
 small leaves; every vector is then sent to its leaf in each tree. A query walks all trees with one priority queue,
 ordered by how far the query lies from the splits that a branch turned away from, until the leaves it has reached
-hold ``visit`` times as many entries (over all trees) as there are vectors. Leaves and queries meet in a join on the leaf; each leaf
-gives a query its best rows by exact cosine, and the best of all leaves win.
+hold ``visit`` times as many entries (over all trees) as there are vectors. Vectors are dealt to blocks once, with the numbers of their leaves;
+a query comes to each block with the leaves it has reached. Those of the block's vectors that lie in one of them are the candidates, and are ranked by
+exact cosine; the best of all blocks win.
 
 How many leaves must be searched depends on the vectors: those of these tables have hardly any structure beyond copies
 (nearest cosines about 0.4 in 64 dimensions), so that a recall of 0.9 takes about 0.4 to 0.6 of all vectors, and the default
@@ -21,11 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quaero.llm.common import batch_of, in_batches, ints, materialise
-from quaero.llm.vectors import matrix, runs, unit, usable, whole_keys
+from quaero.llm.common import batch_of, in_batches, ints, materialise, shuffle_partitions, with_key
+from quaero.llm.vectors import matrix, runs, unit, usable
 
-PACK = 512
+#: Queries that are compared with a block's vectors at a time, and vectors of a block.
+PACK = 64
+BLOCK = 8_192
+#: Vector lengths that get a forest.
+FORESTS = 16
 
 
 @dataclass
@@ -93,83 +99,111 @@ def search(trees: list[Tree], size: dict[tuple[int, int], int], q: np.ndarray, e
     return out
 
 
-def _pack(rows: DataFrame) -> DataFrame:
-    """Rows ``key, id, v`` as ``key, ids, vs``: up to ``PACK`` of a key's rows, by id, in one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_keys(batches, 8 << 20):
-            key, ids, v = table.column("key").to_numpy(), table.column("id").to_numpy(), table.column("v").to_pylist()
-            out = [(key[i], ids[a : min(a + PACK, j)].tobytes(), b"".join(v[a : min(a + PACK, j)])) for i, j in runs(key) for a in range(i, j, PACK)]
-            keys, ids_, vs = zip(*out, strict=True)
-            yield batch_of(key=pa.array(keys, pa.int64()), ids=pa.array(ids_, pa.binary()), vs=pa.array(vs, pa.binary()))
-
-    return rows.repartition("key").sortWithinPartitions("key", "id").transform(in_batches, run, "key long, ids binary, vs binary")
-
-
-def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the k nearest of the rows (all that tie with the last are looked at): query, row id, cosine."""
-    near = unit(q) @ unit(x).T
-    near[q_ids[:, None] == ids] = -np.inf
-    cut = np.sort(near, axis=1)[:, max(0, near.shape[1] - k)]
+def best_of(own: np.ndarray, q: np.ndarray, keys: np.ndarray, ids: np.ndarray, x: np.ndarray, seen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the k nearest of the rows that it has ``seen``, without its own (all that tie with the last are looked
+    at): query number, row id, cosine."""
+    near = np.where(seen & (own[:, None] != keys), unit(q) @ unit(x).T, -np.inf)
+    cut = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
     i, j = np.nonzero((near >= cut[:, None] - 1e-9) & (near > -np.inf))
     exact = np.einsum("ij,ij->i", q[i], x[j]) / (np.sqrt(np.einsum("ij,ij->i", q[i], q[i])) * np.sqrt(np.einsum("ij,ij->i", x[j], x[j])))
     order = np.lexsort((ids[j], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
-    nth = np.arange(len(i)) - np.searchsorted(i, i)
-    own = nth < k
-    return q_ids[i[own]], ids[j[own]], exact[own]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], ids[j[kept]], exact[kept]
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, leaf: int = 64, sample: int = 20_000, visit: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each vector whose id is divisible by ``every``, the ``k`` nearest others.
 
-    Trees are fitted on at most ``sample`` vectors, picked by a hash; all vectors are indexed. Vectors that are null,
-    zero, hold null or non-finite components, have no id, or another length than most take no part. Rows that repeat
-    an id count once, with the smallest vector. Ties go to the smaller id. An empty table gives no rows. Other columns
+    Vectors that are null, zero, hold null or non-finite components, or have no id take no part. Only vectors of one length are compared:
+    for each of the ``FORESTS`` commonest lengths trees are fitted on at most ``sample`` vectors, picked by a hash, and all vectors are indexed;
+    vectors of rarer lengths are compared with all of their length. Rows that repeat an id and a vector are one vector listed twice; rows that repeat the
+    id alone are vectors of their own, each with ranks of its own. Ties go to the smaller id. An empty table gives no rows. Other columns
     play no part.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable("v"))
-    rows = materialise(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = lengths
-    rows = rows.filter(F.size("v") == dim)
-    picked = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], np.float64)
-    forest = spark.sparkContext.broadcast([Tree.grow(unit(picked), leaf, s) for s in range(trees)])
+    kind = vectors.schema[vector_col].dataType  # vectors travel as they are stored
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable("v"))
+    rows, repeats = with_key(base, "id", ["v"])
+    rows = rows.dropDuplicates(["k"]) if repeats else rows
+    rows = materialise(rows.select("k", "id", F.col("v").cast(kind).alias("v"), F.size("v").alias("d")), "vectors")
+    lengths = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    common = [tuple(r) for r in lengths.orderBy(F.desc("n"), "d").limit(FORESTS).collect()]
+    forests = {}
+    for d, _ in common:
+        picked = [r[0] for r in rows.filter(F.col("d") == d).orderBy(F.xxhash64("id"), "id", "k").limit(sample).select("v").collect()]
+        forests[d] = [Tree.grow(unit(np.array(picked, np.float64)), leaf, s) for s in range(trees)]
+    forest = spark.sparkContext.broadcast(forests)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column("v"), dim)
-                packed = pa.array([r.tobytes() for r in x], pa.binary())
-                for t, tree in enumerate(forest.value):
-                    yield batch_of(key=tree.leaves(unit(x)) + (t << 32), id=batch.column("id"), v=packed)
-
-    entries = materialise(rows.transform(in_batches, index, "key long, id long, v binary"), "leaves")
-    counts = entries.groupBy("key").count().collect()  # leaves are bounded by the sample
-    size = {(r[0] >> 32, r[0] & 0xFFFFFFFF): r[1] for r in counts}
+            d = ints(batch, "d")
+            for dim in np.unique(d).tolist():
+                part = batch.filter(pa.array(d == dim))
+                x = unit(matrix(part.column("v"), dim))
+                leaves = np.column_stack([t.leaves(x) for t in forest.value[dim]] if dim in forest.value else [np.zeros(len(x))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, leaves.size + 1, leaves.shape[1], dtype=np.int32)), pa.array(leaves.ravel()))
+                yield batch_of(**{c: part.column(c) for c in ("k", "id", "v", "d")}, leaves=lists)
+
+    indexed = materialise(rows.transform(in_batches, index, T.StructType([*rows.schema.fields, T.StructField("leaves", T.ArrayType(T.IntegerType()))])), "leaves")
+    counts = indexed.join(F.broadcast(spark.createDataFrame([(d,) for d, _ in common], "d int")), "d", "left_semi").select("d", F.posexplode("leaves").alias("tree", "leaf"))
+    size = {d: {} for d, _ in common}
+    for r in counts.groupBy("d", "tree", "leaf").count().collect():  # leaves are bounded by the sample
+        size[r["d"]][(r["tree"], r["leaf"])] = r["count"]
+    totals = dict(common)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column("v"), dim)
-                ids = ints(batch, "id")
-                for i, q in enumerate(unit(x)):
-                    found = search(forest.value, size, q, visit * total)
-                    yield batch_of(key=np.array([(t << 32) + n for t, n in found], np.int64), id=np.full(len(found), ids[i]), v=pa.array([x[i].tobytes()] * len(found), pa.binary()))
-
-    asked = rows.filter(F.col("id") % every == 0).repartition(spark.sparkContext.defaultParallelism * 2, "id").transform(in_batches, probe, "key long, id long, v binary")
+            d, seen = ints(batch, "d"), []
+            for dim, v in zip(d.tolist(), batch.column("v").to_pylist(), strict=True):
+                found = search(forest.value[dim], size[dim], unit(np.array([v], np.float64))[0], visit * totals[dim]) if dim in totals else []
+                seen.append([(t << 24) + n for t, n in found])
+            yield batch_of(**{c: batch.column(c) for c in ("k", "id", "v", "d")}, leaves=pa.array(seen, pa.list_(pa.int32())))
+
+    parts = F.broadcast(lengths.select("d", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")).filter("parts > 1"))  # at most one row for each BLOCK vectors
+    dealt = lambda df, kind_: df.join(parts, "d", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("query", F.lit(kind_))
+    placed = dealt(indexed, 0).withColumn("block", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    asked = indexed.filter(F.col("id") % every == 0).repartition(shuffle_partitions(vectors), "k").transform(in_batches, probe, indexed.schema)
+    asked = dealt(asked, 1).withColumn("block", F.explode(F.expr("sequence(0, parts - 1)")))
+    key = F.xxhash64("d", "block").alias("key")
+    columns = [key, "query", "k", "id", "v", "d", "leaves"]
+    both = placed.select(*columns).unionByName(asked.select(*columns)).repartition(shuffle_partitions(vectors), "key").sortWithinPartitions("key", "query")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None  # the block's vectors come before the queries
         for batch in batches:
-            for q_ids, qs, ids, xs in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "qs", "ids", "vs")), strict=True):
-                a, b, s = best_of(np.frombuffer(q_ids, np.int64), np.frombuffer(qs).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(xs).reshape(-1, dim), k)
-                yield batch_of(query_id=a, vec_id=b, score=s)
-
-    queries = _pack(asked).select("key", F.col("ids").alias("q_ids"), F.col("vs").alias("qs"))
-    met = _pack(entries).join(queries, "key").select("q_ids", "qs", "ids", "vs").transform(in_batches, rank, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
+            numbers, query = ints(batch, "key"), ints(batch, "query")
+            for i, j in runs(numbers * 2 + query):
+                part = batch.slice(i, j - i)
+                if numbers[i] != at:
+                    at, held, block = numbers[i], [], None
+                if not query[i]:
+                    held.append(part)
+                    continue
+                dim = part.column("d")[0].as_py()
+                if block is None:
+                    if not held:
+                        continue
+                    all_ = pa.Table.from_batches(held).combine_chunks()
+                    leaves = all_.column("leaves").combine_chunks().flatten().to_numpy().reshape(all_.num_rows, -1)
+                    block = all_.column("k").to_numpy(), all_.column("id").to_numpy(), matrix(all_.column("v").combine_chunks(), dim), leaves
+                    held = []
+                keys, ids, x, leaves = block
+                for a in range(0, part.num_rows, PACK):
+                    own = part.slice(a, PACK)
+                    seen = np.ones((own.num_rows, len(keys)), bool)
+                    if dim in totals:
+                        seen[:] = False
+                        visited = own.column("leaves").to_pylist()
+                        for t, tree in enumerate(forest.value[dim]):
+                            table = np.zeros((own.num_rows, len(tree.at)), bool)
+                            for row, codes in enumerate(visited):
+                                codes = np.array(codes, np.int64)
+                                table[row, codes[codes >> 24 == t] & 0xFFFFFF] = True
+                            seen |= table[:, leaves[:, t]]
+                    q, v, s = best_of(ints(own, "k"), matrix(own.column("v"), dim), keys, ids, x, seen, k)
+                    yield batch_of(query=ints(own, "k")[q], query_id=ints(own, "id")[q], vec_id=v, score=s)
+
+    met = both.transform(in_batches, rank, "query long, query_id long, vec_id long, score double")
+    best = met.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)"))
     return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
