@@ -7,6 +7,8 @@ document needs a date, it is 2024-01-01 plus its id modulo 365 days.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,14 @@ def query(oracle: str | None = None):
     return add
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only for a local session without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or f"file://{tempfile.mkdtemp(prefix='quaero-')}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,6 +160,30 @@ def _ranked(corpus, question, now=NOW):
     return found.select("doc_id", "kind", "title", F.round("score", 6).alias("score"))
 
 
+def _indexed(spark, corpus, changes=None):
+    """A stored index of a corpus in a new folder of the shared space, and of changes in a second round."""
+    stored = index.StoredIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    stored.add(corpus)
+    if changes is not None:
+        stored.add(*changes)
+    return stored.open()
+
+
+@query(_matched_sql(SUBJECT))
+def index_search(spark, sf_dir):
+    """The stored index answers from its postings."""
+    return search.match(_indexed(spark, documents(spark, sf_dir)), SUBJECT).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(sql.search(f"SELECT doc_id, source, path, title, kind, mtime, CASE WHEN doc_id % 3 = 0 THEN text || ' {SUBJECT[0]}' ELSE text END AS text, url FROM ({sql.corpus()}) WHERE doc_id % 7 <> 0", SUBJECT, SUBJECT, NOW))
+def index_round_search(spark, sf_dir):
+    """A question after a second round, which changes every third document and has lost every seventh."""
+    docs = documents(spark, sf_dir)
+    changed = docs.filter("doc_id % 3 = 0 AND doc_id % 7 <> 0").withColumn("text", F.concat("text", F.lit(f" {SUBJECT[0]}")))
+    now = _indexed(spark, docs, (changed, docs.filter("doc_id % 7 = 0").select("doc_id")))
+    return search.rank(now, understand(QUESTION, NOW), NOW).select("doc_id", "kind", "title", F.round("score", 6).alias("score"))
+
+
 @query(sql.search(sql.corpus(), SUBJECT, SUBJECT, NOW))
 def search_ranked(spark, sf_dir):
     return _ranked(documents(spark, sf_dir), QUESTION)
@@ -208,10 +242,13 @@ def title_from_content(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "title")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')) AS title FROM pages WHERE NOT contains(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&')")
+_TITLE = "regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')"
+
+
+@query(f"SELECT page_id, trim(replace(replace(replace(replace({_TITLE}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
 def html_title(spark, sf_dir):
-    raw = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return table(spark, sf_dir, "pages").filter(~F.contains(raw, F.lit("&"))).select("page_id", text.html_title(F.col("html")).alias("title"))
+    """The SQL twin knows the entities that these pages use."""
+    return table(spark, sf_dir, "pages").select("page_id", text.html_title(F.col("html")).alias("title"))
 
 
 _BODY = "regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g')"
@@ -384,14 +421,14 @@ def index_state(spark, sf_dir):
 # ---------------------------------------------------------------- joins and small shapes
 
 @query("""
-WITH m AS (SELECT url AS page_url, page_id % 50 AS icon_id FROM pages), b AS (SELECT event_id AS id, user_id % 50 AS icon_id, event_type AS image FROM events WHERE event_id % 3 <> 0),
+WITH m AS (SELECT url AS page_url, page_id % 50 AS icon_id FROM pages), b AS (SELECT event_id AS id, user_id % 50 AS icon_id, event_type AS image FROM events),
 i AS (SELECT page_url, arg_min(image, id) AS image FROM m JOIN b USING (icon_id) WHERE image IS NOT NULL GROUP BY page_url)
 SELECT page_id, coalesce(image, '') AS image FROM pages LEFT JOIN i ON url = page_url""")
 def favicon_join(spark, sf_dir):
     """First image of each page's icon, left-joined to the visits: pages stand for visits, events for images."""
     pages = table(spark, sf_dir, "pages")
     mapping = pages.select(F.col("url").alias("page_url"), (F.col("page_id") % 50).alias("icon_id"))
-    images = table(spark, sf_dir, "events").filter("event_id % 3 <> 0").select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("icon_id"), F.col("event_type").alias("image"))
+    images = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("icon_id"), F.col("event_type").alias("image"))
     first = images.filter("image IS NOT NULL").groupBy("icon_id").agg(F.min_by("image", "id").alias("image"), F.min("id").alias("id"))
     per_url = mapping.join(first, "icon_id").groupBy("page_url").agg(F.min_by("image", "id").alias("image"))
     return pages.join(per_url, pages.url == per_url.page_url, "left").select("page_id", F.coalesce("image", F.lit("")).alias("image"))

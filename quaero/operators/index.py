@@ -21,6 +21,10 @@ def corpus_row(doc_id: Column, source: Column, path: Column, title: Column, kind
     return [v.alias(n) for n, v in zip(CORPUS, values, strict=True)]
 
 
+#: Places between the columns of a document: no phrase crosses from one into the next.
+COLUMN = 1 << 40
+
+
 def tokens_of(corpus: DataFrame) -> DataFrame:
     """The tokens of the four full-text columns of each document, as arrays named like the columns."""
     full = F.concat_ws(" ", field("title"), field("extra_text"), field("text"))
@@ -29,13 +33,15 @@ def tokens_of(corpus: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """``doc_id, term, tf`` (weighted occurrences): one row for each term of each document."""
-    def weigh(column: str, weight: float) -> Column:
-        return F.transform(column, lambda t: F.struct(F.lit(weight).alias("w"), t.alias("term")))
+    """``doc_id, term, tf, places``: one row for each term of each document, with its weighted occurrences and where they are.
+
+    A place is the number of the token in its full-text column, and the columns stand ``COLUMN`` places apart."""
+    def weigh(i: int, column: str, weight: float) -> Column:
+        return F.transform(column, lambda t, n: F.struct(F.lit(weight).alias("w"), t.alias("term"), (n.cast("long") + i * COLUMN).alias("place")))
 
-    weighted = F.flatten(F.array(*(weigh(c, w) for c, w in WEIGHTS.items())))
-    rows = tokens_of(corpus).select("doc_id", F.explode_outer(weighted).alias("t")).select("doc_id", "t.term", "t.w")
-    return rows.filter("term IS NOT NULL").groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
+    weighted = F.flatten(F.array(*(weigh(i, c, w) for i, (c, w) in enumerate(WEIGHTS.items()))))
+    rows = tokens_of(corpus).select("doc_id", F.explode_outer(weighted).alias("t")).select("doc_id", "t.*")
+    return rows.filter("term IS NOT NULL").groupBy("doc_id", "term").agg(F.sum("w").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
@@ -54,6 +60,7 @@ class Index:
     corpus: DataFrame
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
+    chunks: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Postings sorted by term: a question's terms touch few row groups."""
@@ -66,6 +73,66 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("corpus", "postings", "lengths")))
 
 
+class StoredIndex:
+    """An index in a folder, kept up by rounds: every round adds a layer of rows for the documents that are new or changed, and
+    a length of null for those that went. A document's rows count in the layer of its last length only, so nothing is rewritten. A layer
+    counts once it is named in ``layers``; a round that fails is run again under the same number."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def layers(self) -> list[int]:
+        try:
+            return sorted(r[0] for r in self.spark.read.schema("layer int").json(f"{self.path}/layers").distinct().collect())
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return []
+            raise
+
+    def add(self, corpus: DataFrame, gone: DataFrame | None = None) -> int:
+        """A layer of new and changed documents and of the ``doc_id`` of lost ones."""
+        layer = max(self.layers(), default=0) + 1
+        at = lambda name: f"{self.path}/{name}/layer={layer}"
+        corpus.write.mode("overwrite").parquet(at("corpus"))
+        corpus = self.spark.read.schema(corpus.schema).parquet(at("corpus"))
+        postings(corpus).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(at("postings"))
+        own = lengths(corpus)
+        if gone is not None:
+            own = own.unionByName(gone.select("doc_id", F.lit(None).cast("long").alias("length")))
+        own.write.mode("overwrite").parquet(at("lengths"))
+        chunk_table(corpus).write.mode("overwrite").parquet(at("chunks"))
+        self.spark.createDataFrame([(layer,)], "layer int").coalesce(1).write.mode("append").json(f"{self.path}/layers")
+        return layer
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/layer={n}" for n in self.layers()))
+
+    def _live(self) -> DataFrame:
+        """``doc_id, layer, length`` of the documents as they are now; no text is read."""
+        rows = self._read("lengths")
+        if len(self.layers()) > 1:
+            rows = rows.groupBy("doc_id").agg(F.max(F.struct("layer", "length")).alias("last")).select("doc_id", "last.*")
+        return rows.filter("length IS NOT NULL")
+
+    def open(self) -> Index:
+        """The index as it is now. Filters on terms and documents reach the files."""
+        live = self._live()
+        own = live.select("doc_id", "layer")
+        now = lambda name: self._read(name).join(own, ["doc_id", "layer"]).drop("layer")
+        return Index(now("corpus"), now("postings"), live.select("doc_id", "length"), now("chunks"))
+
+    def text(self, doc_id, most: int) -> str:
+        """A document's text put together from its stored chunks, up to ``most`` characters."""
+        rows = self.open().chunks.filter(F.col("doc_id") == F.lit(doc_id)).orderBy("ord").limit(most)
+        return "\n".join(r["text"] for r in rows.collect())[:most]
+
+    def clear(self) -> None:
+        """Nothing counts any more; the next round starts from an empty index."""
+        rows = self._live().select("doc_id") if self.layers() else None
+        if rows is not None:
+            self.add(self._read("corpus").drop("layer").limit(0), rows)
+
+
 # ---------------------------------------------------------------- maintenance
 
 KEY = ["source", "path"]

@@ -15,7 +15,7 @@ from quaero.functions import dates
 from quaero.functions.language import document_words, fold, stem_word, variants_of
 from quaero.functions.text import snippet, url_similarity
 from quaero.functions.vocabulary import BM25_B, BM25_K1, CANDIDATES, ERROR_FACTOR, FUZZY_CUTOFF, FUZZY_LENGTH, FUZZY_MATCHES, RECENT_BOOST, RESULTS, TITLE_BOOST, UNDATED_FACTOR, URL_BOOST, WEIGHTS
-from quaero.operators.index import Index, tokens_of
+from quaero.operators.index import COLUMN, Index, tokens_of
 from quaero.plans.question import Question, understand
 
 
@@ -32,15 +32,17 @@ def inverse_frequency(n: Column, holding: Column) -> Column:
 def match(index: Index, words: Sequence[str]) -> DataFrame:
     """``doc_id, score`` of documents that hold any of the words; a word of several tokens must occur as a phrase."""
     terms = sorted({" ".join(t) for w in words if (t := _tokens(w))})
-    if index.postings is None or any(" " in t for t in terms):
-        return _scan(index.corpus, terms)
-    return _look_up(index, terms)
+    return _scan(index.corpus, terms) if index.postings is None else _look_up(index, terms)
 
 
 def _look_up(index: Index, terms: list[str]) -> DataFrame:
-    """From the stored postings: only the terms' rows are read. Totals are one row, document frequencies one row per
+    """From the stored postings: only the rows of the words are read. Totals are one row, document frequencies one row per
     term of the question; both are broadcast."""
-    tf = index.postings.filter(F.col("term").isin(*terms))
+    rows = index.postings.filter(F.col("term").isin(*sorted({w for t in terms for w in t.split(" ")})))
+    tf = rows.filter(F.col("term").isin(*terms)).select("doc_id", "term", "tf")
+    for term in terms:
+        if " " in term:
+            tf = tf.unionByName(phrase_from_places(rows, term))
     total = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     holding = tf.groupBy("term").agg(F.count(F.lit(1)).alias("holding"))
     rows = tf.join(F.broadcast(holding), "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(total))
@@ -48,6 +50,27 @@ def _look_up(index: Index, terms: list[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(score).alias("score"))
 
 
+def _less(n: int):
+    return lambda place: place - n
+
+
+def phrase_from_places(postings: DataFrame, term: str) -> DataFrame:
+    """``doc_id, term, tf`` of a phrase, from the places of its words: weighted places where they follow each other,
+    without overlaps."""
+    parts = term.split(" ")
+    own = postings.filter(F.col("term").isin(*set(parts))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    found = F.try_element_at("at", F.lit(parts[0]))
+    for i, word in enumerate(parts[1:], 1):
+        found = F.array_intersect(found, F.transform(F.try_element_at("at", F.lit(word)), _less(i)))
+    found = F.array_sort(F.coalesce(found, F.array().cast("array<bigint>")))
+    if len(set(parts)) < len(parts):  # only then may places of the phrase overlap
+        none = F.array().cast("array<bigint>")
+        found = F.aggregate(found, none, lambda kept, p: F.when(F.size(kept) == 0, F.array(p)).when(p >= F.element_at(kept, -1) + len(parts), F.concat(kept, F.array(p))).otherwise(kept))
+    weights = F.array(*(F.lit(float(w)) for w in WEIGHTS.values()))
+    tf = F.aggregate(found, F.lit(0.0), lambda sum_, p: sum_ + F.get(weights, F.floor(p / COLUMN).cast("int")))
+    return own.select("doc_id", F.lit(term).alias("term"), tf.alias("tf")).filter("tf > 0")
+
+
 def occurrences(tokens: Column, term: str) -> Column:
     """How often a term, or a phrase of terms parted by blanks, occurs among the tokens (a phrase without overlaps)."""
     parts = term.split(" ")
@@ -140,10 +163,12 @@ def rank(index: Index, question: Question, now: dt.datetime, limit: int = RESULT
     words = [*dict.fromkeys([*map(stem_word, question.terms), *question.search_words])] if question.search_words else []
     matched = match(index, words)
     wanted = kind_filter(question.kind) & period_filter(question.period)
-    hits = matched.join(index.corpus, "doc_id")
+    hits = matched.join(index.corpus.select("doc_id", "kind", "mtime", "url"), "doc_id")
     if filter_first:
         hits = hits.filter(wanted)
-    hits = hits.orderBy(F.round("score", 9).desc(), "doc_id").limit(candidates)
+    # the texts are joined to what is left of the candidates, which is at most their number
+    hits = hits.orderBy(F.round("score", 9).desc(), "doc_id").limit(candidates).select("doc_id", "score")
+    hits = index.corpus.join(F.broadcast(hits), "doc_id")
     if not filter_first:
         hits = hits.filter(wanted)
     return weigh(hits, question, now).orderBy(F.round("score", 9).desc(), F.lower("title"), "doc_id").limit(limit)
@@ -181,7 +206,9 @@ class Searcher:
         words, terms = question.search_words, set(question.terms)
         told = Explanation(question, words[:12], [w for w in words if w not in terms][:10])
         if words and match(self.index, words).isEmpty():
-            near = suggestions(vocabulary(self.index.corpus), [stem_word(t) for t in question.terms])
+            known = self.index.postings
+            known = vocabulary(self.index.corpus) if known is None else known.select(F.col("term").alias("word")).distinct()
+            near = suggestions(known, [stem_word(t) for t in question.terms])
             told.fuzzy = [r[0] for r in near.select("suggestion").distinct().orderBy("suggestion").collect()]
             if told.fuzzy:
                 question = Question(question.original, question.kind, question.period, question.recognition, question.precision, question.terms, told.fuzzy, question.rest)

@@ -56,6 +56,50 @@ def test_stored_index_gives_the_same(spark, tmp_path):
     assert a == b and a
 
 
+def test_rounds_to_index_to_search(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quaero.operators.index import StoredIndex
+    from quaero.sources import files
+    from quaero.streaming.rounds import Snapshots, index_round, run_round
+
+    root = tmp_path / "f"
+    root.mkdir()
+    (root / "a.txt").write_text("per automatische incasso betaald, automatische incasso")
+    (root / "b.txt").write_text("incasso automatische\n\nautomatische post")
+    snapshots, stored = Snapshots(spark, f"file://{tmp_path}/s"), StoredIndex(spark, f"file://{tmp_path}/i")
+
+    def turn():
+        run_round(snapshots, files.files(spark, [str(root)]).withColumn("source", F.lit("map")))
+        added = index_round(snapshots, stored)
+        found = lambda words: {r.path.rsplit("/", 1)[1] for r in search.match(stored.open(), words).join(stored.open().corpus, "doc_id").collect()}
+        return added, found
+
+    added, found = turn()
+    assert added == 1 and found(["automatische"]) == {"a.txt", "b.txt"} and found(["automatische incasso"]) == {"a.txt"}
+    assert turn()[0] == 0
+    (root / "b.txt").write_text("een heel andere inhoud over fietsbruggen")
+    (root / "a.txt").unlink()
+    (root / "c.txt").write_text("nog een automatische incasso hier")
+    added, found = turn()
+    assert added == 1 and found(["automatische"]) == {"c.txt"} and found(["inhoud", "automatische incasso"]) == {"b.txt", "c.txt"}
+    scan = {r.doc_id: round(r.score, 9) for r in search.match(Index(stored.open().corpus), ["inhoud", "automatische incasso"]).collect()}
+    assert scan == {r.doc_id: round(r.score, 9) for r in search.match(stored.open(), ["inhoud", "automatische incasso"]).collect()}
+    doc = stored.open().corpus.filter(F.col("path").endswith("c.txt")).first()
+    assert stored.text(doc.doc_id, 60_000) == doc.text and stored.text(doc.doc_id, 5) == doc.text[:5]
+    stored.clear()
+    assert stored.open().corpus.count() == 0
+
+
+def test_phrases_from_places_equal_the_scan(spark):
+    texts = {1: "x x x y", 2: "x y x y", 3: "y x", 4: "", 5: "x x", 6: "x x x x x"}
+    rows = [(i, "map", "p", "x y" if i == 4 else "titel", "tekst", None, t, "", "", "") for i, t in texts.items()]
+    corpus_ = spark.createDataFrame(rows, SCHEMA)
+    found = lambda df: {r.doc_id: r.tf for r in df.collect()}
+    for phrase in ("x y", "x x", "x y x"):
+        assert found(search.phrase_from_places(index.postings(corpus_), phrase)) == found(search.phrase_frequency(corpus_, phrase.split()))
+
+
 def test_presented_with_reason_snippet_and_fuzzy(spark):
     found, told = search.Searcher(Index(corpus(spark))).search("aanbesteding fietsbrug in maart", NOW)
     first = found.first()
