@@ -17,9 +17,11 @@ LAST_ID = 2**63 - 1
 # ---------------------------------------------------------------- tables
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run in one process (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="quaero-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
@@ -53,7 +55,7 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, texts)``: every row as ``(doc_id, k, text)`` (and ``rest`` if given), and of these one for each key.
 
-    ``k`` orders documents. Where ids are unique and not null, ``k`` is the id. Otherwise ``k`` ranks the distinct
+    ``k`` orders documents. Where ids are unique and not null, ``k`` is the id. Otherwise ``k`` numbers, in order, the distinct
     ``(id, text)`` pairs by id (nulls last), ties by a hash of the text: rows that repeat both are the same
     document listed twice, rows that repeat only the id are two documents.
     """
@@ -70,8 +72,9 @@ def with_key(base: DataFrame, id_col: str, others: list[str]) -> tuple[DataFrame
         return base.withColumn("k", F.coalesce(id_col, F.lit(LAST_ID))), False
     hashed = base.withColumn("h", F.xxhash64(*others))
     ids = hashed.select(id_col, "h").distinct()
-    ranked = ids.orderBy(F.col(id_col).asc_nulls_last(), "h").rdd.zipWithIndex().map(lambda p: (p[0][0], p[0][1], p[1]))
-    ranked = materialise(base.sparkSession.createDataFrame(ranked, "id_ long, h_ long, k long"), "keys")
+    # a range sort: numbers grow with the partition, and within it with the row
+    ranked = ids.orderBy(F.col(id_col).asc_nulls_last(), "h").select(F.col(id_col).alias("id_"), F.col("h").alias("h_"), F.monotonically_increasing_id().alias("k"))
+    ranked = materialise(ranked, "keys")
     return hashed.join(ranked, hashed[id_col].eqNullSafe(ranked.id_) & (hashed.h == ranked.h_)).drop("h", "id_", "h_"), True
 
 
