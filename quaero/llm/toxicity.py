@@ -44,6 +44,10 @@ def _tables() -> tuple[dict[int, str], dict[int, str]]:
     for c in range(0xFF10, 0xFF5B):
         plain = unicodedata.normalize("NFKD", chr(c)).lower()
         alike[c] = DIGITS.get(plain, plain)
+    for c in [*range(0x24B6, 0x24EA), *range(0x1D400, 0x1D800)]:  # circled and styled letters and digits
+        plain = unicodedata.normalize("NFKD", chr(c)).lower()
+        if plain.isascii() and plain:
+            alike[c] = DIGITS.get(plain, plain)
     for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)):
         alike[c] = ""
     base = {}

@@ -184,6 +184,64 @@ def test_toxicity_catches_disguises_and_spares_exceptions(spark):
     assert toxicity.score(docs.limit(3), empty).filter("predicted = 1").count() == 0
 
 
+def test_lexicon_matches_as_a_naive_search():
+    r = random.Random(11)
+    entries = {"idi": 2.0, "idiot": 5.0, "mor": 1.0, "scum": 3.0, "é": 0.5, "éa": 0.7, "sc": 0.25}
+    lexicon = toxicity.Lexicon(entries, ("pond scum", "sc b"))
+
+    def naive(text):
+        folded = toxicity.fold(text)
+        plain, found = toxicity.bare(folded), {}
+        starts = [i for i in range(len(folded)) if i == 0 or not folded[i - 1].isalpha()]
+        spared = [(i, i + len(p)) for p in ("pond scum", "sc b") for i in starts for t in (folded, plain) if t.startswith(p, i) and not t[i + len(p) : i + len(p) + 1].isalpha()]
+        for i in starts:
+            own = max((e for e in entries for t in (folded, plain) if t.startswith(e, i)), key=len, default=None)
+            if own and not any(a <= i < b for a, b in spared):
+                found[toxicity._WORD.match(plain, i)[0]] = entries[own]
+        return sum(found.values()), len(found)
+
+    for _ in range(400):
+        text = "".join(r.choice(["idiot", "1d10t", "scum", "pond ", "mor", "é", "éa", "a", " ", " ", "-", "sc b", "x", "ＩＤＩ", "𝐢𝐝𝐢𝐨𝐭", "ⓢⓒⓤⓜ"]) for _ in range(r.randint(0, 14)))
+        assert lexicon.total(toxicity.fold(text)) == pytest.approx(naive(text))
+
+
+def test_labels_are_pooled_over_all_positions(spark):
+    r = np.random.default_rng(2)
+    net = language_id.Network.fresh(["a", "b", "c"], 3, 4)
+    for p in net.params:
+        p[...] = r.standard_normal(p.shape) * 0.7
+    texts = {0: "kort", 1: "é" * 50 + "xyz " * 40, 2: "q" * language_id.STEPS, 3: "z" * (language_id.STEPS + 1), 4: None, 5: "12 34", 6: "kort"}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def naive(text):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), language_id.STEPS):
+            cells = [*raw[at : at + language_id.STEPS]]
+            cells += [256] * (language_id.STEPS - len(cells))
+            states = []
+            for d in (0, 1):
+                h, out = np.zeros(3), {}
+                for t in range(len(cells)) if d == 0 else reversed(range(len(cells))):
+                    inp, rec = net.x[d, cells[t]], h @ net.u[d]
+                    z, gate = sigmoid(inp[:3] + rec[:3]), sigmoid(inp[3:6] + rec[3:6])
+                    h = (1 - z) * np.tanh(inp[6:] + gate * (rec[6:] + net.b[d])) + z * h
+                    out[t] = h
+                states.append(out)
+            for t, c in enumerate(cells):
+                if c < 256:
+                    y = np.exp(np.concatenate([states[0][t], states[1][t]]) @ net.v + net.c)
+                    total += y / y.sum()
+        return total / len(raw)
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for g in language_id.predict(docs, net).collect():
+        if g.doc_id in (4, 5):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+        else:
+            want = naive(texts[g.doc_id])
+            assert g.lang_pred == "abc"[int(want.argmax())] and g.score == pytest.approx(want.max(), abs=1e-4)
+
+
 def test_gradients_are_right():
     r = np.random.default_rng(0)
     net = language_id.Network.fresh(["a", "b"], 3, 1)

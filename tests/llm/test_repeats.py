@@ -43,12 +43,12 @@ def brute_words(docs, window):
     return out
 
 
-def corpus(seed):
+def corpus(seed, n=150):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 6)))
     passages = [" ".join(word() for _ in range(r.randint(5, 90))) for _ in range(12)]
     docs = {}
-    for i in range(150):
+    for i in range(n):
         parts = []
         for _ in range(r.randint(0, 5)):
             p = r.choice(passages) if r.random() < 0.6 else " ".join(word() for _ in range(r.randint(1, 60)))
@@ -74,13 +74,13 @@ def test_against_brute_force(spark, kind, seed):
     assert got == want
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_overfull_segments_are_split_and_stay_exact(spark, monkeypatch, seed):
     for op, brute, window in ((suffix_dedup, brute_bytes, 100), (substring_dedup, brute_words, 50)):
         for name, value in (("LIMIT", 3), ("SHARD", 4), ("PER_BUCKET", 1000), ("CHUNK", 2)):
             if hasattr(op, name):
                 monkeypatch.setattr(op, name, value)
-        docs = corpus(seed)
+        docs = corpus(seed, 40)
         df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
         got = {r.doc_id: (r.n_symbols, r.n_removed, r.n_spans, bytes(r.kept)) for r in op.remove_repeats(df).collect()}
         assert got == brute(docs, window)
