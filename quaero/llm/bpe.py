@@ -8,7 +8,7 @@ position as a dead end and takes back the previous token. A sequence of pairwise
 and each position is abandoned at most once. Compatibility of a pair is worked out once and kept in a table.
 
 Pieces repeat, so each worker keeps a bounded memo of pieces; it changes the cost, not the result. The vocabulary is
-a Hugging Face ``tokenizer.json`` of the byte-level BPE kind, whose path is a parameter; it is read on each worker.
+a Hugging Face ``tokenizer.json`` of the byte-level BPE kind, whose path is a parameter; the driver reads it and broadcasts it.
 """
 
 from __future__ import annotations
@@ -43,9 +43,8 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """A vocabulary, ready to encode and decode. Tokens are numbered by rank inside: 256 bytes, then merges in order."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
         letter = _byte_letters()
         raw = lambda t: bytes(letter[c] for c in t)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -177,13 +176,16 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> Encoder:
-    return Encoder(path)
+def load(file: bytes) -> Encoder:
+    return Encoder(file)
 
 
-def _run(path: str, encode: bool, decode: bool, carry: str | None = None):
+def _run(docs: DataFrame, path: str, encode: bool, decode: bool, carry: str | None = None):
+    with open(path, "rb") as f:
+        file = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, a few MB; workers need not have it
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(path)
+        coder = load(file.value)
         for batch in batches:
             data, offs = text_bytes(batch.column("text" if encode else "ids"))
             for i, j in blocks(offs, 4 << 20):
@@ -209,12 +211,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """``doc_id, n_tokens, ids`` (little-endian uint32) for every row. A null or empty text has no ids; special tokens'
     strings in a text become their ids, as the library does. Rows are coded one by one: null ids, repeated rows and
     other columns need no rule; an empty table gives no rows."""
-    return _texts(docs, id_col, text_col).transform(in_batches, _run(path, True, False), "doc_id long, n_tokens long, ids binary")
+    return _texts(docs, id_col, text_col).transform(in_batches, _run(docs, path, True, False), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for rows ``doc_id, ids``; bytes that are no UTF-8 become U+FFFD."""
-    return encoded.select("doc_id", "ids").transform(in_batches, _run(path, False, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").transform(in_batches, _run(encoded, path, False, True), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
@@ -222,4 +224,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows, schema = _texts(docs, id_col, text_col), "doc_id long, n_tokens long, ids binary, decoded string"
     if carry:
         rows, schema = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(carry).cast("long").alias(carry)), f"{schema}, {carry} long"
-    return rows.transform(in_batches, _run(path, True, True, carry), schema)
+    return rows.transform(in_batches, _run(docs, path, True, True, carry), schema)
