@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import bpe, language_id, mixing, ngram_join, pivot_index, rp_forest, sharding, substring_dedup, suffix_dedup, toxicity
+from quaero.llm import bpe, fill_middle, language_id, mixing, ngram_join, pivot_index, rp_forest, sharding, substring_dedup, suffix_dedup, toxicity
 
 SHARD_BYTES = 1 << 20
 MIX_POWER = 0.5
@@ -157,6 +157,25 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, n, list_transform([1, 9, 17, 25], lambda g: list_sum(list_transform(range(8), lambda i: ((strpos('0123456789abcdef', substr(x, (g + i)::BIGINT, 1)) - 1) * (16 ** (7 - i)))::BIGINT))::BIGINT) AS h FROM d),
+f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+      least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        ELSE '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -168,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_rp_forest": op9_rp_forest,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -177,4 +197,5 @@ ORACLE: dict[str, str] = {
     "op5_pivot_near_dedup": OP5_SQL,
     "op7_extendible_sharding": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_fill_middle": OP11_SQL,
 }
