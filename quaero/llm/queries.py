@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import bpe, fill_middle, language_id, mixing, ngram_join, pivot_index, rp_forest, sharding, substring_dedup, suffix_dedup, toxicity
+from quaero.llm import bpe, fill_middle, language_id, mixing, ngram_join, pivot_index, quality, rp_forest, sharding, substring_dedup, suffix_dedup, toxicity
 
 SHARD_BYTES = 1 << 20
 MIX_POWER = 0.5
@@ -176,6 +176,30 @@ FROM f
 """
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS w
+      FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+o AS (SELECT doc_id, source, line, array_to_string(w, ' ') AS normal, len(w) AS n FROM l WHERE len(w) > 0),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM o GROUP BY doc_id),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+p AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM x, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY doc_id),
+h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+f AS (SELECT source, normal, count(DISTINCT doc_id) AS c FROM o GROUP BY ALL),
+a AS (SELECT f.source, normal FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE c > {quality.LINE_DOCS} AND c > docs * {quality.LINE_SHARE}::DOUBLE),
+g AS (SELECT doc_id, count(*) AS removed_lines, sum(n) AS removed_words FROM o JOIN a ON o.source IS NOT DISTINCT FROM a.source AND o.normal = a.normal GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_lines, 0)::BIGINT AS removed_lines, coalesce(removed_words, 0)::BIGINT AS removed_words
+      FROM d LEFT JOIN u USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN g USING (doc_id)),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_words - removed_words >= {quality.LEAST_WORDS} AND 100 * removed_words <= {quality.MOST_REMOVED} * n_words AS kept FROM b
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -188,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rp_forest": op9_rp_forest,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_fill_middle": op11_fill_middle,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -198,4 +223,5 @@ ORACLE: dict[str, str] = {
     "op7_extendible_sharding": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op11_fill_middle": OP11_SQL,
+    "op12_quality_rules": OP12_SQL,
 }
