@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import bpe, fill_middle, language_id, mixing, ngram_join, pivot_index, quality, rp_forest, sharding, substring_dedup, suffix_dedup, toxicity
+from quaero.llm import bpe, fill_middle, language_id, mixing, ngram_join, pivot_index, quality, rp_forest, sharding, substring_dedup, suffix_dedup, toxicity, whitening
 
 SHARD_BYTES = 1 << 20
 MIX_POWER = 0.5
@@ -186,7 +186,9 @@ l AS (SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHI
       FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)),
 o AS (SELECT doc_id, source, line, array_to_string(w, ' ') AS normal, len(w) AS n FROM l WHERE len(w) > 0),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM o GROUP BY doc_id),
-x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+e AS (SELECT doc_id, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM d),
+y AS (SELECT doc_id, i, a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM e),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS c FROM y WHERE c IS NOT NULL),
 p AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM x, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY doc_id),
 h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
 f AS (SELECT source, normal, count(DISTINCT doc_id) AS c FROM o GROUP BY ALL),
@@ -200,6 +202,10 @@ SELECT *, NOT base_failed AND n_words - removed_words >= {quality.LEAST_WORDS} A
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -213,6 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_codec": op10_bpe_codec,
     "op11_fill_middle": op11_fill_middle,
     "op12_quality_rules": op12_quality_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
