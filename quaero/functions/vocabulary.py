@@ -95,6 +95,27 @@ WEEKDAYS_NL = "maandag dinsdag woensdag donderdag vrijdag zaterdag zondag".split
 WEEKDAYS_EN = "monday tuesday wednesday thursday friday saturday sunday".split()
 NUMBER_WORDS = {"een": 1, "twee": 2, "drie": 3, "vier": 4, "vijf": 5, "zes": 6, "zeven": 7, "acht": 8, "negen": 9, "tien": 10, "dertig": 30}
 
+#: How a day is named by its distance from today, and how it is called in an explanation.
+DAY_WORDS = {
+    0: (["vandaag", "vandaag de dag", "vanochtend", "vanmorgen", "vanmiddag", "vanavond", "vannacht"], "today"),
+    -1: (["gisteren", "gisteravond", "net"], "yesterday"),
+    -2: (["eergisteren"], "the day before yesterday"),
+    1: (["morgen"], "tomorrow"),
+}
+#: For each unit of time its singular (if that can follow a word for the latest one), its plural, the words for the
+#: latest one, and the numbers that it is counted with.
+TIME_UNITS = {
+    "day": ("", "dagen", "afgelopen vorige laatste", "een 1 twee 2 drie 3 vier 4 vijf 5 zes 6 zeven 7 tien 10 14 30 dertig"),
+    "week": ("week", "weken", "afgelopen vorige verleden deze", "een 1 twee 2 drie 3 vier 4"),
+    "month": ("maand", "maanden", "afgelopen vorige verleden deze", "een 1 twee 2 drie 3 vier 4 vijf 5 zes 6"),
+    "year": ("jaar", "jaar", "afgelopen vorige verleden deze dit", "een 1 twee 2 drie 3 vier 5"),
+}
+AGO = "geleden terug"
+LATEST_WEEKDAY = "afgelopen vorige verleden deze"
+#: Prepositions that a bare month or year needs before it, and those that go with a time expression.
+TIME_PREPOSITIONS = "in van uit rond omstreeks tijdens gedurende"
+LOOSE_PREPOSITIONS = TIME_PREPOSITIONS + " op over betreffende aangaande omtrent"
+
 #: File extensions by kind, junk files, and folders that are never opened.
 EXTENSIONS = {
     "tekst": ".txt .md .markdown .csv .tsv .log .json .xml .py .ini .cfg .conf .htm .html .xhtml .css .js .yml .yaml .rst .srt .vtt .sql".split(),
