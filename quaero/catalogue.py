@@ -7,8 +7,6 @@ document needs a date, it is 2024-01-01 plus its id modulo 365 days.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +14,9 @@ from pyspark.sql import functions as F
 from quaero import sqltwin as sql
 from quaero.functions import dates, language, text
 from quaero.functions.language import stem_word
-from quaero.operators import index, search
+from quaero.operators import fuzzy, index, search, store
 from quaero.plans.question import understand
+from quaero.scratch import new_folder, spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -37,16 +36,13 @@ def query(oracle: str | None = None):
     return add
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only for a local session without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named or f"file://{tempfile.mkdtemp(prefix='quaero-')}"
+#: Tables whose rows are long texts: work on them is dear by row.
+TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def documents(spark: SparkSession, sf_dir: str, dated: bool = True) -> DataFrame:
@@ -76,10 +72,10 @@ def tokenise_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_tokens"), F.size(F.array_distinct(found)).alias("n_distinct"))
 
 
-@query(f"WITH {sql.stems_table('s', 'documents', 'text')} SELECT doc_id, string_agg(word, ' ' ORDER BY word) AS words FROM s GROUP BY doc_id")
+@query(f"WITH {sql.stems_table('s', 'documents', 'text')} SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY word), '') AS words FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id")
 def document_words(spark, sf_dir):
     words = F.array_sort(language.document_words(F.col("text")))
-    return table(spark, sf_dir, "documents").filter(F.size(words) > 0).select("doc_id", F.array_join(words, " ").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("words"))
 
 
 @query(f"WITH t AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS word FROM documents) SELECT word, {sql.stem('word')} AS stem FROM t")
@@ -103,11 +99,11 @@ s AS (SELECT doc_id, w, {sql.stem('w')} AS s FROM t), f(key, place, form) AS (VA
 u AS (SELECT doc_id, s AS word FROM s WHERE s <> '' AND s NOT IN ({sql.STOP})
       UNION SELECT doc_id, form FROM s JOIN f ON f.key = w WHERE form <> w
       UNION SELECT doc_id, form FROM s JOIN f ON f.key = s WHERE form <> w AND w NOT IN (SELECT key FROM k))
-SELECT doc_id, count(*)::INTEGER AS n, md5(string_agg(word, ' ' ORDER BY word)) AS words FROM u GROUP BY doc_id""")
+SELECT doc_id, count(word)::INTEGER AS n, md5(coalesce(string_agg(word, ' ' ORDER BY word), '')) AS words FROM documents LEFT JOIN u USING (doc_id) GROUP BY doc_id""")
 def keyword_expand(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = F.array_sort(language.keywords(F.array_distinct(language.tokenise(F.col("text")))))
-    return docs.select("doc_id", words.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
+    return docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
 
 
 @query(f"WITH c AS ({sql.corpus()}), {sql.stems_table('s', '(SELECT doc_id, title || chr(32) || text AS f FROM c)', 'f')} SELECT word, count(*) AS df FROM s GROUP BY word")
@@ -162,7 +158,7 @@ def _ranked(corpus, question, now=NOW):
 
 def _indexed(spark, corpus, changes=None):
     """A stored index of a corpus in a new folder of the shared space, and of changes in a second round."""
-    stored = index.StoredIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    stored = store.StoredIndex(spark, new_folder(spark, "index"))
     stored.add(corpus)
     if changes is not None:
         stored.add(*changes)
@@ -208,7 +204,7 @@ def search_presented(spark, sf_dir):
 
 @query()
 def fuzzy_suggest(spark, sf_dir):
-    return search.suggestions(search.vocabulary(documents(spark, sf_dir)), [stem_word(w) for w in ("thtionn", "atttion", "thbble")])
+    return fuzzy.suggestions(search.vocabulary(documents(spark, sf_dir)), [stem_word(w) for w in ("thtionn", "atttion", "thbble")])
 
 
 @query(f"""

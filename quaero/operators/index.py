@@ -1,15 +1,22 @@
-"""The index: documents, chunks, postings and document lengths as tables."""
+"""What an index holds of documents: their tokens with weights and places, lengths and chunks; and the maintenance of what is stored."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quaero.functions.language import document_words, field, index_tokens
+from quaero.functions.language import normal_text, text_stems, text_tokens
 from quaero.functions.text import chunks
-from quaero.functions.vocabulary import WEIGHTS
+from quaero.functions.vocabulary import FIELD_CHARS, WEIGHTS
+
+if TYPE_CHECKING:
+    from quaero.operators.store import Opened
 
 #: What a corpus has: the columns every source maps its rows to.
 CORPUS = ("doc_id", "source", "path", "title", "kind", "mtime", "text", "url", "extra_text", "error")
@@ -25,28 +32,61 @@ def corpus_row(doc_id: Column, source: Column, path: Column, title: Column, kind
 COLUMN = 1 << 40
 
 
-def tokens_of(corpus: DataFrame) -> DataFrame:
-    """The tokens of the four full-text columns of each document, as arrays named like the columns."""
-    full = F.concat_ws(" ", field("title"), field("extra_text"), field("text"))
-    columns = corpus.select("doc_id", F.col("text").alias("text"), field("title").alias("title"), field("extra_text").alias("extra"), F.array_join(document_words(full), " ").alias("words"))
-    return columns.select("doc_id", *(index_tokens(F.col(c)).alias(c) for c in WEIGHTS))
+def column_tokens(title: str | None, extra: str | None, text: str | None) -> dict[str, list[str]]:
+    """The tokens of a document's full-text columns, named as in ``WEIGHTS``. Title and extra are cut to the field's length; the words are the
+    stems of all three, each cut."""
+    title, extra, text = normal_text((title or "")[:FIELD_CHARS]), normal_text((extra or "")[:FIELD_CHARS]), normal_text(text)
+    cut = text if len(text) <= FIELD_CHARS else text[:FIELD_CHARS]
+    words = " ".join(text_stems(f"{title} {extra} {cut}"))
+    return {"text": text_tokens(text), "title": text_tokens(title), "extra": text_tokens(extra), "words": text_tokens(words)}
+
+
+ENTRIES = "length long, entries array<struct<term:string,tf:double,places:array<long>>>"
+
+
+def with_entries(corpus: DataFrame) -> DataFrame:
+    """``corpus`` with the document's ``length`` (tokens over all full-text columns) and ``entries``: each of its terms with the weighted
+    occurrences and where they are. A place is the number of the token in its column, and the columns stand ``COLUMN`` places apart. Texts are
+    tokenised once, a batch at a time."""
+    schema = T.StructType([*corpus.schema.fields, *T.StructType.fromDDL(ENTRIES).fields])
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.float64()), ("places", pa.list_(pa.int64()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                lengths, offsets, terms, tfs, place_offsets, all_places = [], [0], [], [], [0], []
+                for document in zip(*(batch.column(c).to_pylist() for c in ("title", "extra_text", "text")), strict=True):
+                    found: dict[str, list] = {}
+                    length = 0
+                    for i, (name, tokens) in enumerate(column_tokens(*document).items()):
+                        weight, at = WEIGHTS[name], i * COLUMN
+                        length += len(tokens)
+                        for n, term in enumerate(tokens, at):
+                            if (entry := found.get(term)) is None:
+                                found[term] = [weight, n]
+                            else:
+                                entry[0] += weight
+                                entry.append(n)
+                    lengths.append(length)
+                    for term, entry in found.items():
+                        terms.append(term)
+                        tfs.append(entry[0])
+                        all_places += entry[1:]
+                        place_offsets.append(len(all_places))
+                    offsets.append(len(terms))
+                places = pa.ListArray.from_arrays(pa.array(place_offsets, pa.int32()), pa.array(all_places, pa.int64()))
+                own = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.float64()), places], fields=list(kind.value_type))
+                entries = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), own)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths, pa.int64()), entries], names=[*batch.schema.names, "length", "entries"])
+
+    return corpus.mapInArrow(run, schema)
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """``doc_id, term, tf, places``: one row for each term of each document, with its weighted occurrences and where they are.
-
-    A place is the number of the token in its full-text column, and the columns stand ``COLUMN`` places apart."""
-    def weigh(i: int, column: str, weight: float) -> Column:
-        return F.transform(column, lambda t, n: F.struct(F.lit(weight).alias("w"), t.alias("term"), (n.cast("long") + i * COLUMN).alias("place")))
-
-    weighted = F.flatten(F.array(*(weigh(i, c, w) for i, (c, w) in enumerate(WEIGHTS.items()))))
-    rows = tokens_of(corpus).select("doc_id", F.explode_outer(weighted).alias("t")).select("doc_id", "t.*")
-    return rows.filter("term IS NOT NULL").groupBy("doc_id", "term").agg(F.sum("w").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-
-
-def lengths(corpus: DataFrame) -> DataFrame:
-    """``doc_id, length``: tokens over all full-text columns."""
-    return tokens_of(corpus).select("doc_id", sum(F.size(c) for c in WEIGHTS).cast("long").alias("length"))
+    """``doc_id, term, tf, places``: one row for each term of each document."""
+    rows = with_entries(corpus.select("doc_id", "title", "extra_text", "text"))
+    return rows.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.*")
 
 
 def chunk_table(corpus: DataFrame) -> DataFrame:
@@ -55,82 +95,10 @@ def chunk_table(corpus: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index. One that is not stored has the corpus only: a question then scans it."""
+    """What is searched: a corpus, which a question scans, or an opened stored index (``quaero.operators.store``)."""
 
     corpus: DataFrame
-    postings: DataFrame | None = None
-    lengths: DataFrame | None = None
-    chunks: DataFrame | None = None
-
-    def save(self, path: str) -> None:
-        """Postings sorted by term: a question's terms touch few row groups."""
-        self.corpus.write.parquet(f"{path}/corpus")
-        postings(self.corpus).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-        lengths(self.corpus).write.parquet(f"{path}/lengths")
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("corpus", "postings", "lengths")))
-
-
-class StoredIndex:
-    """An index in a folder, kept up by rounds: every round adds a layer of rows for the documents that are new or changed, and
-    a length of null for those that went. A document's rows count in the layer of its last length only, so nothing is rewritten. A layer
-    counts once it is named in ``layers``; a round that fails is run again under the same number."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def layers(self) -> list[int]:
-        try:
-            return sorted(r[0] for r in self.spark.read.schema("layer int").json(f"{self.path}/layers").distinct().collect())
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-
-    def add(self, corpus: DataFrame, gone: DataFrame | None = None) -> int:
-        """A layer of new and changed documents and of the ``doc_id`` of lost ones."""
-        layer = max(self.layers(), default=0) + 1
-        at = lambda name: f"{self.path}/{name}/layer={layer}"
-        corpus.write.mode("overwrite").parquet(at("corpus"))
-        corpus = self.spark.read.schema(corpus.schema).parquet(at("corpus"))
-        postings(corpus).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(at("postings"))
-        own = lengths(corpus)
-        if gone is not None:
-            own = own.unionByName(gone.select("doc_id", F.lit(None).cast("long").alias("length")))
-        own.write.mode("overwrite").parquet(at("lengths"))
-        chunk_table(corpus).write.mode("overwrite").parquet(at("chunks"))
-        self.spark.createDataFrame([(layer,)], "layer int").coalesce(1).write.mode("append").json(f"{self.path}/layers")
-        return layer
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/layer={n}" for n in self.layers()))
-
-    def _live(self) -> DataFrame:
-        """``doc_id, layer, length`` of the documents as they are now; no text is read."""
-        rows = self._read("lengths")
-        if len(self.layers()) > 1:
-            rows = rows.groupBy("doc_id").agg(F.max(F.struct("layer", "length")).alias("last")).select("doc_id", "last.*")
-        return rows.filter("length IS NOT NULL")
-
-    def open(self) -> Index:
-        """The index as it is now. Filters on terms and documents reach the files."""
-        live = self._live()
-        own = live.select("doc_id", "layer")
-        now = lambda name: self._read(name).join(own, ["doc_id", "layer"]).drop("layer")
-        return Index(now("corpus"), now("postings"), live.select("doc_id", "length"), now("chunks"))
-
-    def text(self, doc_id, most: int) -> str:
-        """A document's text put together from its stored chunks, up to ``most`` characters."""
-        rows = self.open().chunks.filter(F.col("doc_id") == F.lit(doc_id)).orderBy("ord").limit(most)
-        return "\n".join(r["text"] for r in rows.collect())[:most]
-
-    def clear(self) -> None:
-        """Nothing counts any more; the next round starts from an empty index."""
-        rows = self._live().select("doc_id") if self.layers() else None
-        if rows is not None:
-            self.add(self._read("corpus").drop("layer").limit(0), rows)
+    stored: Opened | None = None
 
 
 # ---------------------------------------------------------------- maintenance
@@ -178,7 +146,7 @@ def remove_source(stored: DataFrame, source: str) -> DataFrame:
 
 
 def state(corpus: DataFrame) -> DataFrame:
-    """One row: documents, chunks, sources, errors."""
+    """One row: documents, chunks, sources, errors (see also ``status`` of a stored index)."""
     n_chunks = chunk_table(corpus).agg(F.count(F.lit(1)).alias("n_chunks"))
     counts = corpus.agg(F.count(F.lit(1)).alias("n_documents"), F.countDistinct("source").alias("n_sources"), F.count_if(F.col("error") != "").alias("n_errors"))
     return counts.crossJoin(n_chunks)

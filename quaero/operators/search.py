@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import difflib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,9 +13,11 @@ from pyspark.sql import functions as F
 from quaero.functions import dates
 from quaero.functions.language import document_words, fold, stem_word, variants_of
 from quaero.functions.text import snippet, url_similarity
-from quaero.functions.vocabulary import BM25_B, BM25_K1, CANDIDATES, ERROR_FACTOR, FUZZY_CUTOFF, FUZZY_LENGTH, FUZZY_MATCHES, RECENT_BOOST, RESULTS, TITLE_BOOST, UNDATED_FACTOR, URL_BOOST, WEIGHTS
-from quaero.operators.index import COLUMN, Index, tokens_of
+from quaero.functions.vocabulary import BM25_B, BM25_K1, CANDIDATES, ERROR_FACTOR, RECENT_BOOST, RESULTS, TITLE_BOOST, UNDATED_FACTOR, URL_BOOST, WEIGHTS
+from quaero.operators.fuzzy import suggestions
+from quaero.operators.index import COLUMN, Index, column_tokens
 from quaero.plans.question import Question, understand
+from quaero.scratch import materialise
 
 
 def bm25(tf: Column, idf: Column, length: Column, mean: Column) -> Column:
@@ -29,73 +30,78 @@ def inverse_frequency(n: Column, holding: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(1e-6))
 
 
-def match(index: Index, words: Sequence[str]) -> DataFrame:
-    """``doc_id, score`` of documents that hold any of the words; a word of several tokens must occur as a phrase."""
-    terms = sorted({" ".join(t) for w in words if (t := _tokens(w))})
-    return _scan(index.corpus, terms) if index.postings is None else _look_up(index, terms)
+def terms_of(words: Sequence[str]) -> list[str]:
+    """The words as the index knows them: their tokens, parted by blanks."""
+    return sorted({" ".join(t) for w in words if (t := _tokens(w))})
 
 
-def _look_up(index: Index, terms: list[str]) -> DataFrame:
-    """From the stored postings: only the rows of the words are read. Totals are one row, document frequencies one row per
-    term of the question; both are broadcast."""
-    rows = index.postings.filter(F.col("term").isin(*sorted({w for t in terms for w in t.split(" ")})))
-    tf = rows.filter(F.col("term").isin(*terms)).select("doc_id", "term", "tf")
-    for term in terms:
-        if " " in term:
-            tf = tf.unionByName(phrase_from_places(rows, term))
-    total = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    holding = tf.groupBy("term").agg(F.count(F.lit(1)).alias("holding"))
-    rows = tf.join(F.broadcast(holding), "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(total))
-    score = bm25(F.col("tf"), inverse_frequency(F.col("n"), F.col("holding")), F.col("length"), F.col("mean"))
-    return rows.groupBy("doc_id").agg(F.sum(score).alias("score"))
+def match(index: Index, words: Sequence[str]) -> DataFrame:
+    """``doc_id, score`` of documents that hold any of the words; a word of several tokens must occur as a phrase."""
+    return index.stored.scores(terms_of(words)) if index.stored else _scan(index.corpus, terms_of(words))
 
 
 def _less(n: int):
     return lambda place: place - n
 
 
-def phrase_from_places(postings: DataFrame, term: str) -> DataFrame:
-    """``doc_id, term, tf`` of a phrase, from the places of its words: weighted places where they follow each other,
-    without overlaps."""
-    parts = term.split(" ")
-    own = postings.filter(F.col("term").isin(*set(parts))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
-    found = F.try_element_at("at", F.lit(parts[0]))
+def phrase_places(at: Column, parts: list[str]) -> Column:
+    """The weight of a phrase, from a map of its words to their places: weighted places where they follow each other, without overlaps."""
+    found = F.try_element_at(at, F.lit(parts[0]))
     for i, word in enumerate(parts[1:], 1):
-        found = F.array_intersect(found, F.transform(F.try_element_at("at", F.lit(word)), _less(i)))
+        found = F.array_intersect(found, F.transform(F.try_element_at(at, F.lit(word)), _less(i)))
     found = F.array_sort(F.coalesce(found, F.array().cast("array<bigint>")))
     if len(set(parts)) < len(parts):  # only then may places of the phrase overlap
         none = F.array().cast("array<bigint>")
         found = F.aggregate(found, none, lambda kept, p: F.when(F.size(kept) == 0, F.array(p)).when(p >= F.element_at(kept, -1) + len(parts), F.concat(kept, F.array(p))).otherwise(kept))
     weights = F.array(*(F.lit(float(w)) for w in WEIGHTS.values()))
-    tf = F.aggregate(found, F.lit(0.0), lambda sum_, p: sum_ + F.get(weights, F.floor(p / COLUMN).cast("int")))
-    return own.select("doc_id", F.lit(term).alias("term"), tf.alias("tf")).filter("tf > 0")
+    return F.aggregate(found, F.lit(0.0), lambda sum_, p: sum_ + F.get(weights, F.floor(p / COLUMN).cast("int")))
 
 
-def occurrences(tokens: Column, term: str) -> Column:
-    """How often a term, or a phrase of terms parted by blanks, occurs among the tokens (a phrase without overlaps)."""
+def phrase_from_places(postings: DataFrame, term: str) -> DataFrame:
+    """``doc_id, term, tf`` of a phrase, from the postings of its words."""
     parts = term.split(" ")
-    if len(parts) == 1:
-        return F.size(F.filter(tokens, lambda t: t == term))
-    padded = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))  # every token between blanks of its own
-    phrase = " " + "  ".join(parts) + " "
-    return ((F.length(padded) - F.length(F.replace(padded, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+    own = postings.filter(F.col("term").isin(*set(parts))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    return own.select("doc_id", F.lit(term).alias("term"), phrase_places(F.col("at"), parts).alias("tf")).filter("tf > 0")
 
 
 def term_frequencies(corpus: DataFrame, terms: list[str]) -> DataFrame:
-    """``doc_id, length, tf`` (weighted occurrences of each term, in order) in one pass over the texts."""
-    tf = F.array(*(sum(F.lit(w) * occurrences(F.col(c), t) for c, w in WEIGHTS.items()) for t in terms))
-    return tokens_of(corpus).select("doc_id", sum(F.size(c) for c in WEIGHTS).alias("length"), tf.alias("tf"))
+    """``doc_id, length, tf`` (weighted occurrences of each term, in order) in one pass over the texts. A term of several words is a phrase, which
+    counts without overlaps."""
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    spoken = [(i, f" {'  '.join(t.split(' '))} ") for i, t in enumerate(terms) if " " in t]
+    single = {t: i for i, t in enumerate(terms) if " " not in t}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, weights = [], []
+            for document in zip(*(batch.column(c).to_pylist() for c in ("title", "extra_text", "text")), strict=True):
+                length, tf = 0, [0.0] * len(terms)
+                for name, tokens in column_tokens(*document).items():
+                    length += len(tokens)
+                    if single:
+                        for t in tokens:
+                            if t in single:
+                                tf[single[t]] += WEIGHTS[name]
+                    if spoken:
+                        line = f" {'  '.join(tokens)} "  # every token between blanks of its own
+                        for i, phrase in spoken:
+                            tf[i] += WEIGHTS[name] * line.count(phrase)
+                lengths.append(length)
+                weights.append(tf)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(weights, pa.list_(pa.float64()))], names=["doc_id", "length", "tf"])
+
+    return corpus.select("doc_id", "title", "extra_text", "text").mapInArrow(run, f"doc_id {kind}, length long, tf array<double>")
 
 
 def _scan(corpus: DataFrame, terms: list[str]) -> DataFrame:
-    """Without an index: totals and frequencies of all terms in one aggregate, then the scores."""
+    """Without an index: lengths and frequencies are counted once and kept as a table of three narrow columns, from which come the totals and
+    then the scores."""
     if not terms:
         return corpus.select("doc_id", F.lit(0.0).alias("score")).filter(F.lit(False))
-    rows = term_frequencies(corpus, terms)
+    rows = materialise(term_frequencies(corpus, terms), "frequencies")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(terms)))).alias("holding"))
-    found = rows.crossJoin(F.broadcast(total))
+    found = rows.crossJoin(F.broadcast(total))  # one row
     score = sum(F.when(F.col("tf")[i] > 0, bm25(F.col("tf")[i], inverse_frequency(F.col("n"), F.col("holding")[i]), F.col("length"), F.col("mean"))).otherwise(0.0) for i in range(len(terms)))
-    # filtered by the score, which needs the totals: a filter on tf would move to the scan and count everything twice
     return found.select("doc_id", score.alias("score")).filter("score > 0")
 
 
@@ -109,8 +115,10 @@ def phrase_frequency(corpus: DataFrame, words: list[str]) -> DataFrame:
     return term_frequencies(corpus, [term]).select("doc_id", F.lit(term).alias("term"), F.col("tf")[0].alias("tf")).filter("tf > 0")
 
 
-def kind_filter(kind: str) -> Column:
-    return {"mail": F.col("kind") == "mail", "image": F.col("kind") == "image", "browser": (F.col("kind") == "browser") | (F.col("url") != ""), "file": F.col("kind") != "browser"}.get(kind, F.lit(True))
+def kind_filter(kind: str, linked: Column | None = None) -> Column:
+    """Whether a document is of the kind asked for; ``linked``, that it has a url, stands in for that column."""
+    linked = F.col("url") != "" if linked is None else linked
+    return {"mail": F.col("kind") == "mail", "image": F.col("kind") == "image", "browser": (F.col("kind") == "browser") | linked, "file": F.col("kind") != "browser"}.get(kind, F.lit(True))
 
 
 def period_filter(period: dates.Period | None) -> Column:
@@ -120,8 +128,8 @@ def period_filter(period: dates.Period | None) -> Column:
 def weigh(hits: DataFrame, question: Question, now: dt.datetime) -> DataFrame:
     """The score with its bonuses: title, recency, url; less for documents with an error or, under a period, no date."""
     own = document_words(F.concat_ws(" ", "title", "path", "url", "extra_text"))
-    asked = F.array(*(F.lit(stem_word(t)) for t in question.terms)) if question.terms else F.array().cast("array<string>")
-    score = F.col("score") + TITLE_BOOST * WEIGHTS["title"] * F.size(F.filter(asked, lambda w: F.array_contains(own, w)))
+    named = sum((F.array_contains(own, stem_word(t)).cast("int") for t in question.terms), F.lit(0))
+    score = F.col("score") + TITLE_BOOST * WEIGHTS["title"] * named
     score = score + F.coalesce(RECENT_BOOST * dates.recency(now, F.col("mtime")), F.lit(0.0))
     score = score + F.when(F.col("url") != "", URL_BOOST * url_similarity(F.col("url"), question.search_words)).otherwise(0.0)
     score = F.when(F.col("error") != "", score * ERROR_FACTOR).otherwise(score)
@@ -157,26 +165,35 @@ def best_chunk(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("fragment", longest)
 
 
-def rank(index: Index, question: Question, now: dt.datetime, limit: int = RESULTS, candidates: int = CANDIDATES, filter_first: bool = True) -> DataFrame:
+def searched(question: Question) -> list[str]:
+    return [*dict.fromkeys([*map(stem_word, question.terms), *question.search_words])] if question.search_words else []
+
+
+def rank(index: Index, question: Question, now: dt.datetime, limit: int = RESULTS, candidates: int = CANDIDATES, filter_first: bool = True, matched: DataFrame | None = None, fragments: bool = False) -> DataFrame:
     """The best results for an understood question. Kind and period are filtered before the cut to ``candidates``;
-    with ``filter_first=False`` after it."""
-    words = [*dict.fromkeys([*map(stem_word, question.terms), *question.search_words])] if question.search_words else []
-    matched = match(index, words)
+    with ``filter_first=False`` after it. A stored index answers from postings, and only the candidates' documents are read, by
+    their keys; a corpus is scanned, unless ``matched`` holds the scores already."""
     wanted = kind_filter(question.kind) & period_filter(question.period)
+    order = [F.round("score", 9).desc(), F.lower("title"), "doc_id"]
+    if index.stored:
+        early = kind_filter(question.kind, F.col("linked")) & period_filter(question.period)
+        found = index.stored.top(terms_of(searched(question)), candidates, early if filter_first else None)
+        hits = index.stored.documents(found).drop("text")
+        hits = weigh(hits if filter_first else hits.filter(wanted), question, now)
+        best = hits.orderBy(*order).limit(limit).select("doc_id", "score").collect()
+        return index.stored.documents(best, fragments).orderBy(*order)  # only these texts are read
+    matched = match(index, searched(question)) if matched is None else matched
     hits = matched.join(index.corpus.select("doc_id", "kind", "mtime", "url"), "doc_id")
-    if filter_first:
-        hits = hits.filter(wanted)
+    hits = hits.filter(wanted) if filter_first else hits
     # the texts are joined to what is left of the candidates, which is at most their number
     hits = hits.orderBy(F.round("score", 9).desc(), "doc_id").limit(candidates).select("doc_id", "score")
     hits = index.corpus.join(F.broadcast(hits), "doc_id")
-    if not filter_first:
-        hits = hits.filter(wanted)
-    return weigh(hits, question, now).orderBy(F.round("score", 9).desc(), F.lower("title"), "doc_id").limit(limit)
+    return weigh(hits if filter_first else hits.filter(wanted), question, now).orderBy(*order).limit(limit)
 
 
 def present(ranked: DataFrame, question: Question) -> DataFrame:
-    """Results with snippet and reason; only the few ranked documents are cut into chunks."""
-    shown = best_chunk(ranked)
+    """Results with snippet and reason, around the stored fragment if there is one; else only the few ranked documents are cut into chunks."""
+    shown = ranked if "fragment" in ranked.columns else best_chunk(ranked)
     return shown.select("doc_id", "source", "path", "title", "kind", F.col("mtime").alias("date"), "url", "score", snippet(F.col("fragment"), question.search_words).alias("snippet"), reason(question).alias("why"))
 
 
@@ -205,14 +222,15 @@ class Searcher:
         question = understand(text, now)
         words, terms = question.search_words, set(question.terms)
         told = Explanation(question, words[:12], [w for w in words if w not in terms][:10])
-        if words and match(self.index, words).isEmpty():
-            known = self.index.postings
-            known = vocabulary(self.index.corpus) if known is None else known.select(F.col("term").alias("word")).distinct()
+        stored = self.index.stored
+        matched = None if stored else match(self.index, searched(question))
+        if words and not (stored.frequencies(terms_of(searched(question))) if stored else not matched.isEmpty()):
+            known = stored.table("zones").select(F.col("term").alias("word")).distinct() if stored and stored.manifest.layers else vocabulary(self.index.corpus)
             near = suggestions(known, [stem_word(t) for t in question.terms])
             told.fuzzy = [r[0] for r in near.select("suggestion").distinct().orderBy("suggestion").collect()]
             if told.fuzzy:
-                question = Question(question.original, question.kind, question.period, question.recognition, question.precision, question.terms, told.fuzzy, question.rest)
-        return present(rank(self.index, question, now, limit), question), told
+                question, matched = replace(question, search_words=told.fuzzy), None
+        return present(rank(self.index, question, now, limit, matched=matched, fragments=True), question), told
 
 
 def vocabulary(corpus: DataFrame) -> DataFrame:
@@ -221,36 +239,6 @@ def vocabulary(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode(document_words(full)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def suggestions(words: DataFrame, asked: Sequence[str], cutoff: float = FUZZY_CUTOFF, matches: int = FUZZY_MATCHES) -> DataFrame:
-    """``word, suggestion, ratio``: the vocabulary's closest words (by matching blocks) for each asked word of four
-    letters or more. Lengths that cannot reach the cutoff never leave the scan."""
-    asked = sorted({w for w in asked if len(w) >= FUZZY_LENGTH})
-    if not asked:
-        return words.sparkSession.createDataFrame([], "word string, suggestion string, ratio double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for w in asked:
-                matcher = difflib.SequenceMatcher()
-                matcher.set_seq2(w)
-                for v in batch.column("word").to_pylist():
-                    matcher.set_seq1(v)
-                    if v != w and matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (r := matcher.ratio()) >= cutoff:
-                        out.append((w, v, r))
-            a, b, c = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["word", "suggestion", "ratio"])
-
-    reach = cutoff / (2 - cutoff)
-    size = F.length("word")
-    fits = F.lit(False)
-    for n in sorted({len(w) for w in asked}):
-        fits = fits | size.between(F.lit(n * reach), F.lit(n / reach))
-    near = words.select("word").filter(fits).mapInArrow(run, "word string, suggestion string, ratio double")
-    near = near.withColumn("nth", F.expr("row_number() OVER (PARTITION BY word ORDER BY ratio DESC, suggestion DESC)"))
-    return near.filter(F.col("nth") <= matches).drop("nth")
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

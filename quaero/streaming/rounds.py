@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quaero.operators import index
+from quaero.operators.store import StoredIndex
 from quaero.sources.files import documents
 
 STORED = "source string, path string, title string, kind string, mtime timestamp_ntz, size long, text string, extra map<string,string>, error string, file_mtime timestamp_ntz, round int"
@@ -29,7 +30,7 @@ class Snapshots:
         self.spark, self.path = spark, path.rstrip("/")
 
     def rounds(self) -> list[tuple[int, str]]:
-        """The committed rounds in order, each as "full", "changes" or "nothing"."""
+        """The committed rounds in order, each as "full", "changes", "nothing" or "cleared"."""
         try:
             rows = self.spark.read.schema("round int, holds string").json(f"{self.path}/latest").distinct().collect()
         except Exception as e:
@@ -44,12 +45,12 @@ class Snapshots:
     def layers(self) -> list[int]:
         """The rounds whose rows make up the present state."""
         own = [(n, holds) for n, holds in self.rounds() if holds != "nothing"]
-        full = max((n for n, holds in own if holds == "full"), default=0)
-        return [n for n, _ in own if n >= full]
+        full = max((n for n, holds in own if holds in ("full", "cleared")), default=0)
+        return [n for n, holds in own if n >= full and holds != "cleared"]
 
-    def added(self) -> list[int]:
-        """All rounds that changed something."""
-        return [n for n, holds in self.rounds() if holds == "changes"]
+    def clear(self) -> None:
+        """Forget all documents; the next round adds everything anew."""
+        self._point(self.number() + 1, "cleared")
 
     def layer(self, number: int) -> DataFrame:
         return self.spark.read.schema(f"{STORED}, deleted boolean").parquet(f"{self.path}/round-{number}")
@@ -110,14 +111,22 @@ def corpus_of(rows: DataFrame) -> DataFrame:
     return rows.select(document_id(F.col("source"), F.col("path")).alias("doc_id"), "source", "path", "title", "kind", "mtime", "text", url.alias("url"), extra.alias("extra_text"), F.coalesce("error", F.lit("")).alias("error"))
 
 
-def index_round(snapshots: Snapshots, stored: index.StoredIndex) -> int:
-    """Bring the index up to the snapshots: the layers of rounds that it has not taken yet, one after the other. An index layer has
-    the number of documents' layers it has seen, so a run that died goes on where it was."""
-    done = len(stored.layers())
-    for number in snapshots.added()[done:]:
+def index_round(snapshots: Snapshots, stored: StoredIndex) -> int:
+    """Bring the index up to the snapshots, and return how many rounds it has taken over. The commit that adds a round's layer also says that the
+    index stands at that round, so a run that dies goes on where it was, and one that is repeated does nothing. An index that has been cleared, or that
+    stands before a clearing of the snapshots, is built anew from the documents as they are."""
+    done, rounds = stored.manifest().taken, snapshots.rounds()
+    ahead = [(n, holds) for n, holds in rounds if n > done]
+    if not ahead:
+        return 0
+    if done == 0 or any(holds == "cleared" for _, holds in ahead):
+        stored.replace(corpus_of(snapshots.documents()), taken=ahead[-1][0])
+        return len(ahead)
+    changes = [n for n, holds in ahead if holds == "changes"]  # a full layer holds what was there before
+    for number in changes:
         rows = snapshots.layer(number)
-        stored.add(corpus_of(rows.filter("NOT deleted")), rows.filter("deleted").select(document_id(F.col("source"), F.col("path")).alias("doc_id")))
-    return len(stored.layers()) - done
+        stored.add(corpus_of(rows.filter("NOT deleted")), rows.filter("deleted").select(document_id(F.col("source"), F.col("path")).alias("doc_id")), taken=number)
+    return len(changes)
 
 
 def stream_rounds(snapshots: Snapshots, files: DataFrame, checkpoint: str) -> StreamingQuery:

@@ -4,6 +4,7 @@ import math
 from quaero import catalogue
 from quaero.operators import index, search
 from quaero.operators.index import Index
+from quaero.operators.store import StoredIndex
 from quaero.plans.question import understand
 
 NOW = dt.datetime(2026, 9, 28, 12)
@@ -49,17 +50,22 @@ def test_scores_by_the_formula(spark):
 
 
 def test_stored_index_gives_the_same(spark, tmp_path):
-    Index(corpus(spark)).save(str(tmp_path / "i"))
-    stored = Index.load(spark, str(tmp_path / "i"))
-    a = {r.doc_id: round(r.score, 9) for r in search.match(stored, ["aanbesteding", "fietsbrug"]).collect()}
-    b = {r.doc_id: round(r.score, 9) for r in search.match(Index(corpus(spark)), ["aanbesteding", "fietsbrug"]).collect()}
-    assert a == b and a
+    store = StoredIndex(spark, f"file://{tmp_path}/i")
+    store.add(corpus(spark))
+    stored, scanned = store.open(), Index(corpus(spark))
+    for words in (["aanbesteding", "fietsbrug"], ["automatische incasso"], ["opvulling"], ["nergens"]):
+        found = lambda i: {r.doc_id: round(r.score, 9) for r in search.match(i, words).collect()}  # noqa: B023, E731
+        assert found(stored) == found(scanned)
+    for question in ("aanbesteding fietsbrug", "dat mailtje over de aanbesteding in maart", "rekening van de ketel", "betaling", "website over brug", "bestand opvulling"):
+        asked = understand(question, NOW)
+        for first in (True, False):
+            rows = lambda i: [(r.doc_id, round(r.score, 9)) for r in search.rank(i, asked, NOW, filter_first=first).collect()]  # noqa: B023, E731
+            assert rows(stored) == rows(scanned)
 
 
 def test_rounds_to_index_to_search(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from quaero.operators.index import StoredIndex
     from quaero.sources import files
     from quaero.streaming.rounds import Snapshots, index_round, run_round
 
