@@ -139,14 +139,17 @@ def bm25_weighted_columns(spark, sf_dir):
 PHRASE = ["of", "the"]
 
 
-@query(f"""
+_PHRASE_SQL = f"""
 WITH c AS ({sql.corpus()}), {sql.stems_table('ws', "(SELECT doc_id, left(title, 16000) || '  ' || left(text, 16000) AS whole FROM c)", 'whole')},
 t AS (SELECT doc_id, 1.0::DOUBLE AS w, ' ' || array_to_string({sql.index_tokens('text')}, '  ') || ' ' AS k FROM c UNION ALL SELECT doc_id, 3.0, ' ' || array_to_string({sql.index_tokens('title')}, '  ') || ' ' FROM c),
 n AS (SELECT doc_id, sum(w * (length(k) - length(replace(k, ' of  the ', ''))) / 9) AS tf FROM t GROUP BY doc_id),
 o AS (SELECT doc_id, min(p) FILTER (WHERE word = 'of') AS a, min(p) FILTER (WHERE word = 'the') AS b FROM (
   SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS p FROM (
     SELECT doc_id, {sql.stem('w')} AS word, min(p) AS p FROM (SELECT doc_id, unnest(k) AS w, unnest(range(1, len(k) + 1)) AS p FROM (SELECT doc_id, {sql.tokens("left(title, 16000) || '  ' || left(text, 16000)")} AS k FROM c)) WHERE length(w) >= 2 GROUP BY doc_id, word)) GROUP BY doc_id)
-SELECT doc_id, 'of the' AS term, tf + CASE WHEN b = a + 1 THEN 1 ELSE 0 END AS tf FROM n LEFT JOIN o USING (doc_id) WHERE tf + CASE WHEN b = a + 1 THEN 1 ELSE 0 END > 0""")
+SELECT doc_id, 'of the' AS term, tf + CASE WHEN b = a + 1 THEN 1 ELSE 0 END AS tf FROM n LEFT JOIN o USING (doc_id) WHERE tf + CASE WHEN b = a + 1 THEN 1 ELSE 0 END > 0"""
+
+
+@query(_PHRASE_SQL)
 def phrase_match(spark, sf_dir):
     return search.phrase_frequency(documents(spark, sf_dir), PHRASE)
 
@@ -171,6 +174,20 @@ def index_search(spark, sf_dir):
     return search.match(_indexed(spark, documents(spark, sf_dir)), SUBJECT).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(_PHRASE_SQL)
+def index_phrase(spark, sf_dir):
+    """A phrase from the places of its words in the stored postings."""
+    return _indexed(spark, documents(spark, sf_dir)).stored.weighted([" ".join(PHRASE)]).select("doc_id", "term", "tf")
+
+
+@query(_matched_sql(SUBJECT).replace("AS score FROM m", "AS score FROM m ORDER BY round(m.score, 9) DESC, doc_id LIMIT 40"))
+def index_top_k(spark, sf_dir):
+    """The best forty from the zones whose bound reaches the fortieth score."""
+    opened = _indexed(spark, documents(spark, sf_dir)).stored
+    found = opened.top(SUBJECT, 40, prune=True)
+    return spark.createDataFrame([(r["doc_id"], r["score"]) for r in found], "doc_id long, score double").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(sql.search(f"SELECT doc_id, source, path, title, kind, mtime, CASE WHEN doc_id % 3 = 0 THEN text || ' {SUBJECT[0]}' ELSE text END AS text, url FROM ({sql.corpus()}) WHERE doc_id % 7 <> 0", SUBJECT, SUBJECT, NOW))
 def index_round_search(spark, sf_dir):
     """A question after a second round, which changes every third document and has lost every seventh."""
@@ -218,17 +235,17 @@ def snippet(spark, sf_dir):
 
 # ---------------------------------------------------------------- text
 
-@query()
+@query(f"WITH RECURSIVE {sql.chunks()} SELECT doc_id, ord, text FROM piece")
 def chunk_documents(spark, sf_dir):
     return index.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.chunks()} SELECT doc_id, count(*) AS n_chunks, max(length(text))::INTEGER AS longest FROM piece GROUP BY doc_id")
 def chunk_stats(spark, sf_dir):
     return index.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("text")).alias("longest"))
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.chunks()} SELECT documents.doc_id, coalesce(arg_max(piece.text, length(piece.text) * 100 - ord) FILTER (WHERE ord < 40), '') AS fragment FROM documents LEFT JOIN piece USING (doc_id) GROUP BY documents.doc_id")
 def best_fragment(spark, sf_dir):
     return search.best_chunk(table(spark, sf_dir, "documents")).select("doc_id", "fragment")
 
@@ -409,11 +426,21 @@ def sources_count(spark, sf_dir):
     return index.per_source(table(spark, sf_dir, "documents"))
 
 
-@query()
+_STATE = "(SELECT count(*) FROM documents) AS n_documents, (SELECT count(DISTINCT source) FROM documents) AS n_sources, 0::BIGINT AS n_errors, (SELECT count(*) FROM piece) AS n_chunks"
+
+
+@query(f"WITH RECURSIVE {sql.chunks()} SELECT {_STATE}")
 def index_state(spark, sf_dir):
     return index.state(documents(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {sql.chunks('(SELECT * FROM documents WHERE doc_id % 7 <> 0)')} SELECT count(DISTINCT doc_id) AS n_documents, (SELECT count(DISTINCT source) FROM documents WHERE doc_id % 7 <> 0) AS n_sources, 0::BIGINT AS n_errors, count(*) AS n_chunks, 1::INTEGER AS n_layers, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS n_dead FROM piece")
+def index_status(spark, sf_dir):
+    """What a stored index holds after a round that has lost every seventh document."""
+    docs = documents(spark, sf_dir)
+    return _indexed(spark, docs, (docs.limit(0), docs.filter("doc_id % 7 = 0").select("doc_id"))).stored.status()
+
+
 # ---------------------------------------------------------------- joins and small shapes
 
 @query("""

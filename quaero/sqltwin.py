@@ -103,6 +103,22 @@ SELECT doc_id, kind, title, round(final, 6) AS score FROM (SELECT doc_id, kind,
 ORDER BY round(final, 9) DESC, lower(title), doc_id LIMIT {RESULTS}"""
 
 
+def chunks(source: str = "documents") -> str:
+    """CTEs to ``piece(doc_id, ord, text)``: a text in pieces of 400 to 900 characters. Needs WITH RECURSIVE."""
+    def last(low: int, high: int, ends: str) -> str:
+        return f"list_max(list_filter(range({low}, {high}), lambda i: {ends}))"
+
+    sentence = "substr(head, i + 1, 1) = chr(10) OR (substr(head, i + 1, 1) IN ('.', ';') AND substr(head, i + 2, 1) = ' ')"
+    end = f"""CASE WHEN length(head) <= 900 THEN length(head) WHEN substr(head, 900, 1) = chr(10) THEN 899
+        ELSE coalesce({last(400, 899, sentence)}, {last(400, 900, "substr(head, i + 1, 1) = ' '")}, 900) END"""
+    return f"""
+chunked(doc_id, ord, text, rest) AS (
+  SELECT doc_id, -1, '', {strip("regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')")} FROM {source}
+  UNION ALL
+  SELECT doc_id, ord + 1, {strip('left(rest, e)')}, regexp_replace(substr(rest, e + 1), '^{BLANKS}+', '') FROM (SELECT doc_id, ord, rest, {end} AS e FROM (SELECT *, left(rest, 902) AS head FROM chunked WHERE rest <> ''))),
+piece AS (SELECT doc_id, ord, text FROM chunked WHERE ord >= 0 AND text <> '')"""
+
+
 def family_rows() -> str:
     """VALUES of (key, place, form): the synonyms of every key with their stems."""
     rows = []
