@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from quaero import sqltwin as sql
 from quaero.functions import dates, language, text
 from quaero.functions.language import stem_word
-from quaero.operators import fuzzy, index, search, store
-from quaero.plans.question import understand
+from quaero.functions.vocabulary import STOPWORDS
+from quaero.operators import batch, fuzzy, index, search, store
+from quaero.plans.question import kind_stems, understand
 from quaero.scratch import new_folder, spread
+from quaero.sources import browser
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -212,6 +214,32 @@ def search_period_filter(spark, sf_dir):
     return _ranked(documents(spark, sf_dir).unionByName(mails(spark, sf_dir)), f"{QUESTION} in maart")
 
 
+_PERIODS = ["", " in maart", " van 11-02-2024", " van 2024", " in oktober", " van 2023"]
+_NO_SUBJECT = {*kind_stems(), *STOPWORDS}
+_SUBJECTS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{{5,}}'), lambda w: w NOT IN ({sql.STOP}) AND {sql.stem('w')} NOT IN ({sql.values(sorted(_NO_SUBJECT))}))))"
+_BOUNDS = "[NULL, ['2024-03-01', '2024-03-31'], ['2024-02-11', '2024-02-11'], ['2024-01-01', '2024-12-31'], ['2025-10-01', '2025-10-31'], ['2023-01-01', '2023-12-31']]"
+
+
+@query(f"""
+WITH c AS ({sql.corpus()} UNION ALL {sql.MAILS}), w AS (SELECT item_id, unnest(s) AS word, unnest(range(len(s))) AS place FROM (SELECT item_id, {_SUBJECTS} AS s FROM benchmark)),
+q AS (SELECT item_id * 1000 + place AS qid, word, ({_BOUNDS})[place % 6 + 1] AS b FROM w),
+p AS (SELECT qid, {sql.stem('word')} AS term, b[1]::TIMESTAMP AS first, b[2]::TIMESTAMP + INTERVAL '86399 seconds' AS last FROM q),
+{sql.match_table('SELECT term FROM p')},
+h AS (SELECT qid, doc_id, {sql.BM25} AS s, mtime, first FROM tf JOIN df USING (term) JOIN len USING (doc_id) JOIN p USING (term) JOIN c USING (doc_id), tot WHERE first IS NULL OR mtime IS NULL OR mtime BETWEEN first AND last),
+f AS (SELECT qid, doc_id, (s + coalesce(0.15 * (1 / (1 + abs(floor((epoch(TIMESTAMP '{NOW}') - epoch(mtime)) / 86400)) / 365.0)), 0)) * CASE WHEN first IS NOT NULL AND mtime IS NULL THEN 0.7 ELSE 1 END AS score FROM h),
+r AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM f)
+SELECT qid, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 40""")
+def question_batch(spark, sf_dir):
+    """A question about every longer word of every benchmark passage, most with a period."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)
+    words = F.array_sort(F.array_distinct(F.filter(words, lambda w: ~language.is_stopword(w) & ~language.stem(w).isin(*sorted(_NO_SUBJECT)))))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words).alias("place", "word"))
+    period = F.element_at(F.array(*map(F.lit, _PERIODS)), F.col("place") % 6 + 1)
+    questions = asked.select((F.col("item_id") * 1000 + F.col("place")).alias("qid"), F.concat("word", period).alias("question"))
+    opened = _indexed(spark, documents(spark, sf_dir).unionByName(mails(spark, sf_dir))).stored
+    return batch.answers(opened, questions, NOW).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def search_presented(spark, sf_dir):
     question = understand(QUESTION, NOW)
@@ -360,6 +388,49 @@ def newest_n(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(4000).select("event_id", "ts", "user_id")
 
 
+_MOMENT = "CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-03-30 20:00:00' ELSE TIMESTAMP '2024-10-26 20:00:00' END + to_seconds((event_id % 36000)::INTEGER)"
+
+
+@query(f"""
+WITH m AS (SELECT event_id, {_MOMENT} AS moment FROM events),
+o AS (SELECT event_id, moment, CASE WHEN moment >= TIMESTAMP '2024-03-31 01:00:00' AND moment < TIMESTAMP '2024-10-27 01:00:00' THEN 120 ELSE 60 END::INTEGER AS offset_minutes FROM m),
+l AS (SELECT *, moment + to_minutes(offset_minutes) AS local FROM o)
+SELECT event_id, moment, local, offset_minutes, CASE WHEN local >= TIMESTAMP '2024-03-31 02:00:00' AND local < TIMESTAMP '2024-10-27 03:00:00' THEN local - INTERVAL 120 MINUTE ELSE local - INTERVAL 60 MINUTE END AS back FROM l""")
+def local_time(spark, sf_dir):
+    """Moments around the two clock changes of 2024, as Dutch clocks show them and back: the hour that comes twice goes back to its first."""
+    base = F.when(F.col("event_id") % 2 == 0, F.lit(dt.datetime(2024, 3, 30, 20))).otherwise(F.lit(dt.datetime(2024, 10, 26, 20)))
+    moment = F.timestamp_add("SECOND", (F.col("event_id") % 36000).cast("int"), base.cast("timestamp_ntz"))
+    rows = table(spark, sf_dir, "events").select("event_id", moment.alias("moment"))
+    local = dates.to_local(F.col("moment"), "Europe/Amsterdam")
+    return rows.select("event_id", "moment", local.alias("local"), dates.offset_minutes(F.col("moment"), "Europe/Amsterdam").alias("offset_minutes"), dates.to_utc(local, "Europe/Amsterdam").alias("back"))
+
+
+@query("""
+WITH d AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS mtime, CASE event_id % 4 WHEN 0 THEN strftime(ts - INTERVAL 400 DAY, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN '1450-01-01' WHEN 2 THEN 'gisteren' END AS stated FROM events),
+s AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN date_trunc('second', stated::TIMESTAMP) END AS good FROM (SELECT event_id, mtime, CASE WHEN event_id % 4 = 0 THEN stated END AS stated FROM d))
+SELECT event_id, coalesce(mtime, good) AS stored_date, coalesce(good, mtime) AS search_date FROM s""")
+def document_dates(spark, sf_dir):
+    """The date a document is stored with and the one a question sees, where file times are missing and what is stated may be no date or no valid year."""
+    earlier = F.date_format(F.col("ts").cast("timestamp_ntz") - F.expr("INTERVAL '400' DAY"), "yyyy-MM-dd'T'HH:mm:ss")
+    stated = F.when(F.col("event_id") % 4 == 0, earlier).when(F.col("event_id") % 4 == 1, "1450-01-01").when(F.col("event_id") % 4 == 2, "gisteren")
+    mtime = F.when(F.col("event_id") % 3 != 0, F.col("ts").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select("event_id", dates.best_date(mtime, stated).alias("stored_date"), dates.search_date(mtime, stated).alias("search_date"))
+
+
+@query(f"""
+WITH p AS (SELECT 'chrome' AS browser, url, CASE WHEN page_id % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes((page_id % 100000)::INTEGER) END AS moment FROM pages ORDER BY coalesce(moment, TIMESTAMP '{NOW:%Y-%m-%d}') DESC, url LIMIT 4000),
+e AS (SELECT 'firefox' AS browser, 'event/' || event_id AS url, ts AS moment FROM events ORDER BY ts DESC, url LIMIT 4000)
+SELECT browser, url, moment, row_number() OVER (ORDER BY coalesce(moment, TIMESTAMP '{NOW:%Y-%m-%d}') DESC, browser, url) AS place FROM (SELECT * FROM p UNION ALL SELECT * FROM e)""")
+def history_newest_first(spark, sf_dir):
+    """Pages stand for one browser's history, some without a date, and events for another's."""
+    moment = F.when(F.col("page_id") % 5 != 0, F.timestamp_add("MINUTE", (F.col("page_id") % 100000).cast("int"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")))
+    chrome = table(spark, sf_dir, "pages").select(F.lit("chrome").alias("browser"), "url", moment.alias("moment"))
+    firefox = table(spark, sf_dir, "events").select(F.lit("firefox").alias("browser"), F.concat(F.lit("event/"), "event_id").alias("url"), F.col("ts").cast("timestamp_ntz").alias("moment"))
+    rows = browser.newest_first([chrome, firefox], NOW)
+    # at most 4000 rows of each browser, so one task numbers them
+    return rows.withColumn("place", F.expr(f"row_number() OVER (ORDER BY coalesce(moment, timestamp_ntz '{NOW:%Y-%m-%d}') DESC, browser, url)").cast("long"))
+
+
 # ---------------------------------------------------------------- rounds: labels stand for what the index knows
 
 def _files(spark, sf_dir):

@@ -40,7 +40,7 @@ class Question:
 
 
 @lru_cache(maxsize=1)
-def _kinds() -> dict[str, str]:
+def kind_stems() -> dict[str, str]:
     found: dict[str, str] = {}
     for word, kind in kind_words().items():
         for form in (word, stem_word(word)):
@@ -55,18 +55,19 @@ def understand(question: str, now: dt.datetime) -> Question:
         return Question(raw, rest=fold(raw))
     time = dates.parse_time(raw, now)
     words = re.findall(r"[a-z0-9]+(?:'[a-z]+)?", fold(time.rest))
-    kinds = _kinds()
+    kinds = kind_stems()
     kind = next((kinds[f] for w in words for f in (w, stem_word(w)) if f in kinds), "alles")
     subject = [w for w in words if stem_word(w) not in kinds and w not in STOPWORDS]
     terms = [w for w in subject if len(w) > 1] or subject[:1]
     return Question(raw, kind, time.period, time.recognition, time.precision, terms, keywords_of(terms), time.rest)
 
 
-_SCHEMA = "kind string, first timestamp_ntz, last timestamp_ntz, label string, precision string, terms array<string>, search_words array<string>"
+_SCHEMA = "kind string, first timestamp_ntz, last timestamp_ntz, label string, precision string, terms array<string>, search_words array<string>, index_terms array<string>"
 
 
 def understand_all(question: Column, now: dt.datetime) -> Column:
-    """``understand`` for a column of questions."""
+    """``understand`` for a column of questions, with the terms that an index is asked for."""
+    from quaero.operators.search import searched, terms_of
 
     @F.pandas_udf(_SCHEMA)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -75,6 +76,7 @@ def understand_all(question: Column, now: dt.datetime) -> Column:
             {
                 "kind": [q.kind for q in found], "first": pd.to_datetime([q.period.start if q.period else None for q in found]), "last": pd.to_datetime([q.period.end if q.period else None for q in found]),
                 "label": [q.period.describe() if q.period else None for q in found], "precision": [q.precision for q in found], "terms": [q.terms for q in found], "search_words": [q.search_words for q in found],
+                "index_terms": [terms_of(searched(q)) for q in found],
             }
         )
 

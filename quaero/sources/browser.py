@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import glob
 import json
 import os
@@ -9,6 +10,7 @@ import shutil
 import sqlite3
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +96,20 @@ def visits(spark: SparkSession, found: list[tuple[str, str]], newest: int = 4000
     return out.join(images, out.url == images.page, "left").drop("page").withColumn("image", F.coalesce("image", F.lit(b"")))
 
 
+def newest_first(sources: list[DataFrame], now: dt.datetime, most: int = 4000) -> DataFrame:
+    """All histories in one, newest first; a visit without a date counts as today's. Of each source only its ``most`` newest are taken, so what
+    is put in order is no more than that for each source. Ties by browser and address."""
+    today = F.lit(dt.datetime.combine(now.date(), dt.time()))
+    order = [F.coalesce("moment", today).desc(), "browser", "url"]
+    heads = [s.orderBy(*order).limit(most) for s in sources]
+    return reduce(DataFrame.unionByName, heads).orderBy(*order)
+
+
+def history(spark: SparkSession, found: list[tuple[str, str]], now: dt.datetime, most: int = 4000) -> DataFrame:
+    """``newest_first`` over the profiles."""
+    return newest_first([visits(spark, [profile], most) for profile in found], now, most)
+
+
 def visit_documents(rows: DataFrame) -> DataFrame:
     """Visits as documents of kind ``browser``."""
     body = F.concat_ws("\n", "url", F.nullif("title", F.lit("")), F.date_format("moment", "dd-MM-yyyy HH:mm"), "browser")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quaero.functions import text as tx
-from quaero.functions.dates import best_date
+from quaero.functions.dates import search_date
 from quaero.functions.vocabulary import MAX_FILE_SIZE, MAX_TEXT, SKIPPED_FOLDERS
 
 MAX_READ = 4 * MAX_TEXT
@@ -382,5 +382,5 @@ def documents(found: DataFrame) -> DataFrame:
     text = F.when(kind == "muziek", F.concat_ws("\n", tx.file_name(F.col("path")), stem, F.nullif("text", F.lit("")), artist)).otherwise(F.col("text"))
     garbled = (kind == "pdf") & (F.col("error") == "") & tx.unreadable(F.col("text"))
     text, error = F.when(garbled, F.lit("")).otherwise(text), F.when(garbled, F.lit("no text layer that can be read")).otherwise(F.col("error"))
-    date = best_date(F.col("mtime"), F.try_element_at("extra", F.lit("moment")))
+    date = search_date(F.col("mtime"), F.try_element_at("extra", F.lit("moment")))
     return rows.select("source", "path", F.coalesce(F.nullif("title_", F.lit("")), named).alias("title"), kind.alias("kind"), F.when(kind == "mail", date).otherwise(F.col("mtime")).alias("mtime"), "size", text.alias("text"), "extra", error.alias("error"), F.col("mtime").alias("file_mtime"))

@@ -71,8 +71,13 @@ def corpus(documents: str = "documents", dated: bool = True) -> str:
 MAILS = f"SELECT 1000000000 + conv_id * 1000 + turn AS doc_id, 'mail' AS source, 'mail/' || conv_id || '/' || turn AS path, {title('text', quoted('mail'))} AS title, 'mail' AS kind, NULL::TIMESTAMP AS mtime, text, '' AS url FROM conversations"
 
 
-def match(words: list[str], source: str = "c") -> str:
-    """CTEs from corpus ``c`` to ``m(doc_id, score)``, for words of one token."""
+#: Score of a document for one term, from tf, df, len and tot of ``match_table``.
+BM25 = f"""CASE WHEN ln((n - holding + 0.5) / (holding + 0.5)) > 0 THEN ln((n - holding + 0.5) / (holding + 0.5)) ELSE 1e-6 END
+        * tf * {BM25_K1 + 1} / (tf + {BM25_K1} * (1 - {BM25_B} + {BM25_B} * length / mean))"""
+
+
+def match_table(words: str, source: str = "c") -> str:
+    """CTEs from corpus ``c`` to ``tf``, ``df``, ``len`` and ``tot``, for a list or subquery of words of one token."""
     full = f"{field('title')} || ' ' || '' || ' ' || {field('text')}"
     return f"""
 {stems_table('ws', f"(SELECT doc_id, {full} AS whole FROM {source})", 'whole')},
@@ -81,11 +86,14 @@ x AS (SELECT doc_id, {WEIGHTS['text']}::DOUBLE AS w, unnest({index_tokens('text'
       UNION ALL SELECT doc_id, {WEIGHTS['words']}, unnest({index_tokens('word')}) FROM ws),
 len AS (SELECT doc_id, count(*) AS length FROM x GROUP BY doc_id),
 tot AS (SELECT count(*) AS n, avg(coalesce(length, 0)) AS mean FROM {source} LEFT JOIN len USING (doc_id)),
-tf AS (SELECT doc_id, term, sum(w) AS tf FROM x WHERE term IN ({values(words)}) GROUP BY doc_id, term),
-df AS (SELECT term, count(*) AS holding FROM tf GROUP BY term),
-m AS (SELECT doc_id, sum(CASE WHEN ln((n - holding + 0.5) / (holding + 0.5)) > 0 THEN ln((n - holding + 0.5) / (holding + 0.5)) ELSE 1e-6 END
-        * tf * {BM25_K1 + 1} / (tf + {BM25_K1} * (1 - {BM25_B} + {BM25_B} * length / mean))) AS score
-      FROM tf JOIN df USING (term) JOIN len USING (doc_id), tot GROUP BY doc_id)"""
+tf AS (SELECT doc_id, term, sum(w) AS tf FROM x WHERE term IN ({words}) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS holding FROM tf GROUP BY term)"""
+
+
+def match(words: list[str], source: str = "c") -> str:
+    """CTEs from corpus ``c`` to ``m(doc_id, score)``, for words of one token."""
+    return f"""{match_table(values(words), source)},
+m AS (SELECT doc_id, sum({BM25}) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), tot GROUP BY doc_id)"""
 
 
 def search(corpus_sql: str, terms: list[str], words: list[str], now: dt.datetime, wanted: str = "true", undated: bool = False) -> str:
