@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.scratch import materialise
+
 LAST_ID = 2**63 - 1
 
 
 # ---------------------------------------------------------------- tables
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run in one process (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="quaero-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back: later uses start from that table, so a
-    lost executor costs only the tasks it ran."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -46,7 +26,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with small batches: a worker and its executor each hold a batch or two at a time."""
+    """``mapInArrow`` with small batches: a worker and its executor each hold a batch or two at a time. The batch size is read when the query runs, and
+    so it is set for the session and stays, unless the session has one of its own."""
     if df.sparkSession.conf.get(_BATCH, None) in (None, "67108864b", "64m", "64MB"):
         df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     return df.mapInArrow(run, schema)

@@ -21,22 +21,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the links ``(a, b)``: the least node reachable, itself included.
 
     Links may repeat and point either way; a link from a node to itself or with a null end counts for nothing. Each
     step halves distances to the component's least node at least, so the rounds grow with the logarithm of the
-    longest chain. If ``most_rounds`` rounds do not settle them, RuntimeError is raised. Rounds are cut off from their lineage as tables in the shared folder.
+    longest chain, and they go on until nothing changes. Rounds are cut off from their lineage as tables in the shared folder.
     """
     now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "links")
     mark = None
-    for _ in range(most_rounds):
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
-            break
-        mark = tuple(new)
+    while (new := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != mark:
+        mark = new
         now = materialise(_small_star(_large_star(now)), "links")
-    else:
-        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -1,23 +1,24 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-A vector is described by its ``near`` nearest of some reference points, the pivots. Inverted lists hold, for each pivot
-(and label), the vectors that have it among theirs. Two vectors become candidates if they share at least ``least``
-pivots, and are then verified by their cosine.
-
-1. The lists hold ids and permutations only. A pair is counted in the list of the first pivot (by number) that both have; if they share
-   ``least`` pivots, that is one of the first near - least + 1 of either, so a vector stands in that many lists. Shared pivots are
-   counted on bit masks. What leaves a list are the vectors that have a candidate there.
-2. Only those get their vector, which is joined to them and verified against their candidates in that list. A pair is
-   counted and verified once, so counts simply add up; of each vector go on its number of links and one link to the first of its component in the list.
-
-Lists longer than ``BLOCK`` are dealt out as pairs of blocks. Identical vectors are one entry with a multiplicity. The
-number of pivots grows with the root of the number of vectors, and with it ``near``, so that lists stay short and recall stays.
+A vector is described by its nearest reference points, the pivots, in order of nearness. Inverted lists hold vectors by what they have in common at the
+head of that order; in a list shared pivots are counted, and what shares enough is verified by its cosine.
+
+1. There is a list for every two pivots (and label): a vector stands in those of any two of its ``head`` nearest. The number of pivots grows with the
+   root of the number of vectors, and the lists' number with its square, so lists stay about as long as they are.
+2. The lists hold ids and permutations only. A pair of vectors is looked at in one list: that of the two first pivots (by number) that both have in their heads. It is a
+   candidate if at least ``least`` of the ``near`` nearest pivots are shared, counted by a product of sparse rows compressed to the pivots of the list.
+3. Vectors that have a candidate in a list get their components, which are joined to them, and are verified against their candidates there. As a pair
+   is verified once, counts simply add up; of each vector go on its number of links and one link to the first of its component in the list.
+
+``fit`` chooses head, near and least, and whether the vectors' common direction is taken off before, on a bounded sample: what finds the sample's own links
+and made-up pairs at the threshold with the fewest pairs looked at. Lists longer than ``BLOCK`` are dealt out as pairs of blocks. Identical vectors are one entry with a multiplicity.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +31,40 @@ from quaero.llm.vectors import matrix, runs, unit, usable, whole_keys
 
 BLOCK = 2_048
 ROWS = 512
+#: Vectors of a sample; vectors that pairs at the threshold are made for; lengths that are fitted.
 SAMPLE = 2_048
+TRIED = 1_000
+FITTED = 16
 CROWDED = 0.7
+#: Heads that are tried, and the share of pairs that lists, and then counts, must find.
+HEADS = (5, 6, 7, 8, 10, 12, 16, 24)
+FOUND = 0.997
 
 
-def default_pivots(n: int) -> tuple[int, int]:
-    """Pivots and how many of them describe a vector, for n vectors: 256 and 12, and 2 more for each doubling."""
-    twice = max(0, round(math.log2(max(n, 1) / 100_000) / 2))
-    return 256 << twice, 12 + 2 * twice
+@dataclass(frozen=True)
+class Pivots:
+    """Reference points for vectors less ``centre``, and how they are used."""
 
+    centre: np.ndarray
+    points: np.ndarray
+    head: int
+    near: int
+    least: int
 
-def reference_points(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """Unit reference points by vector length, spread over ``SAMPLE`` vectors picked by a hash of their components."""
-    lengths = [r[0] for r in vectors.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(16).collect()]
-    found = {}
-    for d in lengths:
-        rows = vectors.filter(F.size("v") == d).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(max(SAMPLE, pivots)).collect()
-        found[d] = spread(unit(np.array([r[0] for r in rows], np.float64).reshape(-1, d)), pivots)
-    return found
+    def permutation(self, x: np.ndarray) -> np.ndarray:
+        """The numbers of the ``near`` nearest pivots of unit vectors, nearest first."""
+        return nearest_points(x, self.centre, self.points, self.near)
+
+
+def nearest_points(x: np.ndarray, centre: np.ndarray, points: np.ndarray, near: int) -> np.ndarray:
+    y = x - centre
+    y = np.where(np.einsum("ij,ij->i", y, y)[:, None] > 1e-24, y, x)
+    return np.argsort(-(y @ points.T), axis=1, kind="stable")[:, :near].astype(np.int32)
+
+
+def default_pivots(n: int) -> int:
+    """Pivots for n vectors: 256, and twice as many for every four times as many vectors beyond 100 000."""
+    return 256 << max(0, round(math.log2(max(n, 1) / 100_000) / 2))
 
 
 def spread(x: np.ndarray, pivots: int) -> np.ndarray:
@@ -69,63 +86,100 @@ def _directions(d: int, n: int) -> np.ndarray:
     return unit(np.random.default_rng(d).standard_normal((n, d))) if n else np.zeros((0, d))
 
 
-def permutation(x: np.ndarray, points: np.ndarray, near: int) -> np.ndarray:
-    """The numbers of the nearest pivots of unit vectors, in order of the numbers."""
-    return np.sort(np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :near], axis=1).astype(np.int16)
+def unfitted(d: int, pivots: int) -> Pivots:
+    """For lengths too rare to be fitted, and samples too small."""
+    return Pivots(np.zeros(d), _directions(d, pivots), min(8, pivots), min(12, pivots), min(4, pivots))
+
+
+def _shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p[:, :, None] == q[:, None, :]).any(axis=2).sum(axis=1)
+
+
+def made_pairs(x: np.ndarray, cosine: float) -> np.ndarray:
+    """A vector at just that cosine from each of ``x``, in a fixed random direction."""
+    z = np.random.default_rng(x.shape[1]).standard_normal(x.shape)
+    z -= np.einsum("ij,ij->i", z, x)[:, None] * x
+    return cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * unit(z)
+
+
+def fit(x: np.ndarray, pivots: int, cosine: float) -> Pivots:
+    """Pivots for unit vectors of which ``x`` is a sample."""
+    d = x.shape[1]
+    if d < 3 or len(x) < 8:
+        return unfitted(d, pivots)
+    tried = x[:TRIED]
+    links = np.argwhere(np.triu(tried @ tried.T >= cosine, 1))
+    links = links[np.random.default_rng(0).permutation(len(links))[:TRIED]]
+    left, right = np.vstack([tried, tried[links[:, 0]]]), np.vstack([made_pairs(tried, cosine), tried[links[:, 1]]])
+    wide = min(32, pivots)
+    best = None
+    for centre in (np.zeros(d), x.mean(axis=0)):
+        y = x - centre
+        y = y[np.einsum("ij,ij->i", y, y) > 1e-24]
+        points = spread(unit(y), pivots)
+        p, q, other = (nearest_points(v, centre, points, wide) for v in (left, right, np.roll(tried, 1, axis=0)))
+        for head in HEADS:
+            if head > wide or (_shared(p[:, :head], q[:, :head]) >= 2)[: len(tried)].mean() < FOUND:
+                continue
+            if len(links) and (_shared(p[:, :head], q[:, :head]) >= 2)[len(tried) :].mean() < FOUND:
+                continue
+            near = min(wide, head + 4)
+            both = _shared(p[:, :near], q[:, :near])
+            least = max([2, *(s for s in range(2, near + 1) if min((both[part] >= s).mean() for part in (slice(0, len(tried)), slice(len(tried), None)) if len(both[part])) >= FOUND)])
+            met = (_shared(p[: len(tried), :head], other[:, :head]) >= 2).mean()
+            if best is None or met < best[0]:
+                best = met, Pivots(centre, points, head, near, least)
+            break
+    # where no head finds enough, every vector stands in one list, and all pairs are verified
+    return best[1] if best else Pivots(np.zeros(d), _directions(d, 2), 2, 2, 2)
 
 
-def _entries(points: dict[int, np.ndarray], pivots: int, near: int, least: int):
-    """Rows ``space, pivot, k, perm``: a vector once for each of the first pivots of its permutation."""
+def fits(vectors: DataFrame, pivots: int, cosine: float) -> dict[int, Pivots]:
+    """``fit`` for the ``FITTED`` commonest lengths, each on ``SAMPLE`` vectors picked by a hash of their components."""
+    lengths = [r[0] for r in vectors.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(FITTED).collect()]
+    found = {}
+    for d in lengths:
+        rows = vectors.filter(F.size("v") == d).select("v").orderBy(F.xxhash64("v"), "v").limit(max(SAMPLE, pivots)).collect()
+        found[d] = fit(unit(np.array([r[0] for r in rows], np.float64).reshape(-1, d)), pivots, cosine)
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(d).tolist():
-                rows = batch.filter(pa.array(d == dim))
-                perm = permutation(unit(matrix(rows.column("v"), dim)), points[dim] if dim in points else _directions(dim, pivots), near)
-                first = perm[:, : near - least + 1]
-                i = pa.array(np.repeat(np.arange(len(perm)), first.shape[1]))
-                packed = pa.array([p.tobytes() for p in perm], pa.binary())
-                yield batch_of(space=rows.column("space").take(i), pivot=first.ravel().astype(np.int32), k=rows.column("k").take(i), perm=packed.take(i))
 
-    return run
+def lists_of(perm: np.ndarray, head: int, pivots: int) -> np.ndarray:
+    """The lists of each vector: its head's pivots, two and two."""
+    i, j = np.triu_indices(head, 1)
+    a, b = perm[:, i].astype(np.int64), perm[:, j].astype(np.int64)
+    return np.minimum(a, b) * pivots + np.maximum(a, b)
 
 
-def masks(perm: np.ndarray, pivots: int) -> np.ndarray:
-    out = np.zeros((-(-pivots // 64), len(perm)), np.uint64)
-    for c in perm.T.astype(np.int64):
-        out[c // 64, np.arange(len(perm))] |= np.uint64(1) << (c % 64).astype(np.uint64)
+def _rows(perm: np.ndarray, upto: int | None = None) -> np.ndarray:
+    """A row for each vector with 1 at each of its pivots (of those up to a number), over the pivots that occur."""
+    own = np.unique(perm) if upto is None else np.unique(perm[perm <= upto])
+    out = np.zeros((len(perm), len(own)), np.float32)
+    r, c = np.nonzero(np.isin(perm, own))
+    out[r, np.searchsorted(own, perm[r, c])] = 1
     return out
 
 
-def candidates(pivot: int, bits: np.ndarray, block: np.ndarray, least: int) -> Iterator[tuple[slice, np.ndarray]]:
-    """For a slice of a list's vectors at a time, which of the others share ``least`` pivots, ``pivot`` being the first."""
-    n = bits.shape[1]
-    across = len(np.unique(block)) > 1
-    for a in range(0, n, ROWS):
-        part = slice(a, min(a + ROWS, n))
-        count = np.zeros((part.stop - a, n), np.uint8)
-        ok = np.ones(count.shape, bool)
-        for w in range(len(bits)):
-            both = bits[w, part, None] & bits[w]
-            count += np.bitwise_count(both)
-            below = min(max(pivot - 64 * w, 0), 64)
-            if below:
-                ok &= (both & np.uint64((1 << below) - 1)) == 0
-        ok &= count >= least
-        if across:
+def candidates(second: int, perm: np.ndarray, head: int, least: int, block: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray]]:
+    """For a slice of a list's vectors at a time, which of the others are theirs to verify in this list (``second`` is the greater of its two
+    pivots): they share ``least`` pivots, and of their heads no two that come before. With ``block``, only those of the other block."""
+    heads, all_ = _rows(perm[:, :head], second), _rows(perm)
+    for a in range(0, len(perm), ROWS):
+        part = slice(a, min(a + ROWS, len(perm)))
+        ok = (heads[part] @ heads.T == 2) & (all_[part] @ all_.T >= least)
+        if block is not None:
             ok &= block[part, None] != block
         ok[np.arange(part.stop - a), np.arange(a, part.stop)] = False
         yield part, ok
 
 
-def verify(pivot: int, bits: np.ndarray, x: np.ndarray, block: np.ndarray, m: np.ndarray, least: int, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+def verify(found: Iterator[tuple[slice, np.ndarray]], x: np.ndarray, m: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Links of each vector of one list (weighted by multiplicity), the first of its component there, and the number of cosines.
 
     A list has at most about two blocks of vectors, so their link matrix of booleans is small."""
     n, cosines = len(x), 0
     linked = np.zeros((n, n), bool)
-    for part, ok in candidates(pivot, bits, block, least):
+    for part, ok in found:
         if ok.mean() > 0.1:
             cosines += ok.size
             ok &= x[part] @ x.T >= cosine
@@ -150,11 +204,11 @@ def verify(pivot: int, bits: np.ndarray, x: np.ndarray, block: np.ndarray, m: np
     return linked @ m, root, cosines
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int | None = None, near: int | None = None, least: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     Vectors of one label (not null) and one length link where their cosine in double precision is at least ``cosine``
-    and they share at least ``least`` of their ``near`` nearest pivots. Vectors that are null, zero or hold null or
+    and the index meets them (see the module; the fit aims at ``FOUND`` of pairs just at the threshold). Vectors that are null, zero or hold null or
     non-finite components, and rows with a null label, link with nothing. ``n_links`` counts other vectors, copies
     included; ``component_id`` is the smallest id reachable; ``kept`` marks the row with that id.
 
@@ -170,39 +224,55 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int | None
     same = part.groupBy("label", "v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m"))
     space = F.xxhash64("label", F.size("v")).alias("space")
     classes = materialise(same.select(F.col("rep").alias("k"), "label", "v", "m", space), "vectors")
-    usual = default_pivots(classes.count())
-    pivots, near = pivots or usual[0], near or usual[1]
-    points = reference_points(classes, pivots)
-    entries = materialise(classes.select("space", "k", "v").transform(in_batches, _entries(points, pivots, near, least), "space long, pivot int, k long, perm binary"), "pivot-lists")
-    lists = entries.groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    dealt = entries.join(lists, ["space", "pivot"]).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    key = F.xxhash64("space", "pivot", F.least("block", "other"), F.greatest("block", "other")).alias("key")
-
-    def unpacked(table: pa.Table, i: int, j: int) -> np.ndarray:
-        return masks(np.frombuffer(b"".join(table.column("perm").slice(i, j - i).to_pylist()), np.int16).reshape(j - i, -1), pivots)
+    pivots = pivots or default_pivots(classes.count())
+    # pivots grow with the root of the vectors; a broadcast sends them to each executor once
+    shared = vectors.sparkSession.sparkContext.broadcast(fits(classes, pivots, cosine))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(d).tolist():
+                own = shared.value.get(dim) or unfitted(dim, pivots)
+                rows = batch.filter(pa.array(d == dim))
+                perm = own.permutation(unit(matrix(rows.column("v"), dim)))
+                lists = lists_of(perm, own.head, len(own.points))
+                i = pa.array(np.repeat(np.arange(len(perm)), lists.shape[1]))
+                packed = pa.array([p.tobytes() for p in perm], pa.binary())
+                yield batch_of(space=rows.column("space").take(i), list=lists.ravel(), d=np.full(lists.size, dim, np.int32), k=rows.column("k").take(i), perm=packed.take(i))
+
+    filed = materialise(classes.select("space", "k", "v").transform(in_batches, entries, "space long, list long, d int, k long, perm binary"), "pivot-lists")
+    long = filed.groupBy("space", "list").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK)
+    dealt = filed.join(long, ["space", "list"], "left").withColumn("parts", F.ceil(F.coalesce("c", F.lit(1)) / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("mate", F.explode(F.expr("sequence(0, parts - 1)")))
+    key = F.xxhash64("space", "list", F.least("block", "mate"), F.greatest("block", "mate")).alias("key")
+
+    def found_in(table: pa.Table, i: int, j: int):
+        dim = table.column("d")[i].as_py()
+        own = shared.value.get(dim) or unfitted(dim, pivots)
+        perm = np.frombuffer(b"".join(table.column("perm").slice(i, j - i).to_pylist()), np.int32).reshape(j - i, -1)
+        block = table.column("block").slice(i, j - i).to_numpy() if table.column("block")[i] != table.column("mate")[i] else None
+        return candidates(table.column("list")[i].as_py() % len(own.points), perm, own.head, own.least, block)
 
     def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_keys(batches):
-            key, block, pivot = (table.column(c).to_numpy() for c in ("key", "block", "pivot"))
-            has = np.zeros(len(key), bool)
-            for i, j in runs(key):
+            has = np.zeros(table.num_rows, bool)
+            for i, j in runs(table.column("key").to_numpy()):
                 if j - i > 1:
-                    for part, ok in candidates(int(pivot[i]), unpacked(table, i, j), block[i:j], least):
+                    for part, ok in found_in(table, i, j):
                         has[i + part.start : i + part.stop] = ok.any(axis=1)
             yield from table.filter(pa.array(has)).combine_chunks().to_batches()
 
-    dealt = dealt.select(key, "pivot", "block", "k", "perm").repartition(shuffle_partitions(vectors), "key").sortWithinPartitions("key", "k")
-    asked = dealt.transform(in_batches, retrieve, "key long, pivot int, block int, k long, perm binary")
+    columns = "key long, list long, d int, block int, mate int, k long, perm binary"
+    dealt = dealt.select(key, "list", "d", "block", "mate", "k", "perm").repartition(shuffle_partitions(vectors), "key").sortWithinPartitions("key", "k")
+    asked = dealt.transform(in_batches, retrieve, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_keys(batches):
-            key, k, m, block, pivot = (table.column(c).to_numpy() for c in ("key", "k", "m", "block", "pivot"))
+            key, k, m = (table.column(c).to_numpy() for c in ("key", "k", "m"))
             v, out = table.column("v").combine_chunks(), []
             for i, j in runs(key):
                 if j - i > 1:
-                    x = unit(matrix(v.slice(i, j - i), len(v[i])))
-                    links, root, _ = verify(int(pivot[i]), unpacked(table, i, j), x, block[i:j], m[i:j], least, cosine)
+                    links, root, _ = verify(found_in(table, i, j), unit(matrix(v.slice(i, j - i), len(v[i]))), m[i:j], cosine)
                     own = np.flatnonzero(links)
                     out.append((k[i:j][own], links[own], k[i:j][root[own]]))
             if out:

@@ -4,12 +4,12 @@ Each tree splits a bounded sample at the median of its projections on the differ
 small leaves; every vector is then sent to its leaf in each tree. A query walks all trees with one priority queue,
 ordered by how far the query lies from the splits that a branch turned away from, until the leaves it has reached
 hold ``visit`` times as many entries (over all trees) as there are vectors. Vectors are dealt to blocks once, with the numbers of their leaves;
-a query comes to each block with the leaves it has reached. Those of the block's vectors that lie in one of them are the candidates, and are ranked by
-exact cosine; the best of all blocks win.
+a block files its vectors under their leaves, and a query comes to it with the leaves it has reached. What is filed under one of them is a candidate,
+repeats dropped; cosines are computed for candidates only, and the best of all blocks win.
 
 How many leaves must be searched depends on the vectors: those of these tables have hardly any structure beyond copies
 (nearest cosines about 0.4 in 64 dimensions), so that a recall of 0.9 takes about 0.4 to 0.6 of all vectors, and the default
-is set above that. The cost is a few matrix products per leaf.
+is set above that. Vectors with structure do with a small ``visit``, and then work for each query follows the leaves it reaches.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from pyspark.sql import types as T
 from quaero.llm.common import batch_of, in_batches, ints, materialise, shuffle_partitions, with_key
 from quaero.llm.vectors import matrix, runs, unit, usable
 
-#: Queries that are compared with a block's vectors at a time, and vectors of a block.
-PACK = 64
-BLOCK = 8_192
+#: Vectors of a block: a query and its leaves are sent once for each block, so a block is as large as a task can hold.
+BLOCK = 32_768
 #: Vector lengths that get a forest.
 FORESTS = 16
 
@@ -99,17 +98,41 @@ def search(trees: list[Tree], size: dict[tuple[int, int], int], q: np.ndarray, e
     return out
 
 
-def best_of(own: np.ndarray, q: np.ndarray, keys: np.ndarray, ids: np.ndarray, x: np.ndarray, seen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the k nearest of the rows that it has ``seen``, without its own (all that tie with the last are looked
-    at): query number, row id, cosine."""
-    near = np.where(seen & (own[:, None] != keys), unit(q) @ unit(x).T, -np.inf)
-    cut = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
-    i, j = np.nonzero((near >= cut[:, None] - 1e-9) & (near > -np.inf))
-    exact = np.einsum("ij,ij->i", q[i], x[j]) / (np.sqrt(np.einsum("ij,ij->i", q[i], q[i])) * np.sqrt(np.einsum("ij,ij->i", x[j], x[j])))
-    order = np.lexsort((ids[j], -exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return i[kept], ids[j[kept]], exact[kept]
+class Filed:
+    """A block's vectors, filed under their leaves in each tree."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, nodes: list[int]):
+        self.keys, self.ids, self.x, self.unit = keys, ids, x, unit(x)
+        self.rows, self.starts = [], []
+        for t, n in enumerate(nodes):
+            self.rows.append(np.argsort(leaves[:, t], kind="stable"))
+            self.starts.append(np.searchsorted(leaves[self.rows[t], t], np.arange(n + 1)))
+
+    def candidates(self, reached: np.ndarray) -> np.ndarray:
+        """Rows of the vectors in one of the leaves, given as tree << 24 | node; each once."""
+        found = []
+        for t, rows in enumerate(self.rows):
+            nodes = reached[reached >> 24 == t] & 0xFFFFFF
+            begin, size = self.starts[t][nodes], self.starts[t][nodes + 1] - self.starts[t][nodes]
+            # the stretches begin..begin + size, one after the other
+            at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+            found.append(rows[at])
+        own = np.zeros(len(self.keys), bool)
+        own[np.concatenate(found)] = True
+        return np.flatnonzero(own)
+
+    def nearest(self, key: int, q: np.ndarray, reached: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the k candidates nearest to ``q``, without its own (all that tie with the last are looked at exactly)."""
+        rows = np.arange(len(self.keys)) if reached is None else self.candidates(reached)
+        rows = rows[self.keys[rows] != key]
+        if not len(rows):
+            return self.ids[:0], np.zeros(0)
+        near = self.unit[rows] @ (q / np.sqrt(q @ q))
+        cut = np.partition(near, max(0, len(near) - k))[max(0, len(near) - k)]
+        rows = rows[near >= cut - 1e-9]
+        exact = np.einsum("ij,j->i", self.x[rows], q) / (np.sqrt(np.einsum("ij,ij->i", self.x[rows], self.x[rows])) * np.sqrt(q @ q))
+        order = np.lexsort((self.ids[rows], -exact))[:k]
+        return self.ids[rows[order]], exact[order]
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, leaf: int = 64, sample: int = 20_000, visit: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -186,23 +209,13 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, lea
                         continue
                     all_ = pa.Table.from_batches(held).combine_chunks()
                     leaves = all_.column("leaves").combine_chunks().flatten().to_numpy().reshape(all_.num_rows, -1)
-                    block = all_.column("k").to_numpy(), all_.column("id").to_numpy(), matrix(all_.column("v").combine_chunks(), dim), leaves
+                    nodes = [len(t.at) for t in forest.value[dim]] if dim in totals else []
+                    block = Filed(all_.column("k").to_numpy(), all_.column("id").to_numpy(), matrix(all_.column("v").combine_chunks(), dim), leaves, nodes)
                     held = []
-                keys, ids, x, leaves = block
-                for a in range(0, part.num_rows, PACK):
-                    own = part.slice(a, PACK)
-                    seen = np.ones((own.num_rows, len(keys)), bool)
-                    if dim in totals:
-                        seen[:] = False
-                        visited = own.column("leaves").to_pylist()
-                        for t, tree in enumerate(forest.value[dim]):
-                            table = np.zeros((own.num_rows, len(tree.at)), bool)
-                            for row, codes in enumerate(visited):
-                                codes = np.array(codes, np.int64)
-                                table[row, codes[codes >> 24 == t] & 0xFFFFFF] = True
-                            seen |= table[:, leaves[:, t]]
-                    q, v, s = best_of(ints(own, "k"), matrix(own.column("v"), dim), keys, ids, x, seen, k)
-                    yield batch_of(query=ints(own, "k")[q], query_id=ints(own, "id")[q], vec_id=v, score=s)
+                keys, ids, q = ints(part, "k"), ints(part, "id"), matrix(part.column("v"), dim)
+                near = [block.nearest(keys[r], q[r], np.array(reached, np.int64) if dim in totals else None, k) for r, reached in enumerate(part.column("leaves").to_pylist())]
+                each = [len(v) for v, _ in near]
+                yield batch_of(query=np.repeat(keys, each), query_id=np.repeat(ids, each), vec_id=np.concatenate([v for v, _ in near]), score=np.concatenate([s for _, s in near]))
 
     met = both.transform(in_batches, rank, "query long, query_id long, vec_id long, score double")
     best = met.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)"))

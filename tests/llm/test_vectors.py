@@ -65,35 +65,53 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
 @pytest.mark.parametrize("n", [50_000, 500_000, 2_000_000])
 def test_recall_and_cost_at_the_pivots_of_three_sizes(n):
     r = np.random.default_rng(n)
-    pivots, near = pivot_index.default_pivots(n)
-    ref = pivot_index._directions(64, pivots)
+    own = pivot_index.fit(pivot_index.unit(r.standard_normal((2048, 64))), pivot_index.default_pivots(n), 0.93)
     a, b = pivot_index.unit(r.standard_normal((3000, 64))), r.standard_normal((3000, 64))
     b -= np.einsum("ij,ij->i", a, b)[:, None] * a
     c = r.uniform(0.93, 0.96, (3000, 1))
-    b = c * a + np.sqrt(1 - c * c) * pivot_index.unit(b)
-    shared = lambda p, q: (p[:, :, None] == q[:, None, :]).sum((1, 2))
-    p, q = pivot_index.permutation(a, ref, near), pivot_index.permutation(b, ref, near)
-    assert (shared(p, q) >= 5).mean() >= 0.99
-    assert (shared(p, np.roll(q, 1, axis=0)) >= 5).mean() < 0.01
-
-
-def test_few_cosines_are_computed():
+    p, q = own.permutation(a), own.permutation(c * a + np.sqrt(1 - c * c) * pivot_index.unit(b))
+    met = lambda x, y: (pivot_index._shared(x[:, : own.head], y[:, : own.head]) >= 2) & (pivot_index._shared(x, y) >= own.least)
+    assert met(p, q).mean() >= 0.99
+    assert met(p, np.roll(q, 1, axis=0)).mean() < 0.01
+
+
+def evaluated(x, pivots=256, cosine=0.93):
+    """Links found, pairs whose shared pivots are counted, and cosines, each pair both ways."""
+    own = pivot_index.fit(x[:2048], pivots, cosine)
+    perm = own.permutation(x)
+    lists = pivot_index.lists_of(perm, own.head, len(own.points))
+    links = counted = cosines = 0
+    for number in np.unique(lists):
+        rows = np.flatnonzero((lists == number).any(axis=1))
+        if len(rows) > 1:
+            found = pivot_index.candidates(int(number) % len(own.points), perm[rows], own.head, own.least)
+            n, _, done = pivot_index.verify(found, x[rows], np.ones(len(rows), np.int64), cosine)
+            links, counted, cosines = links + int(n.sum()), counted + len(rows) * (len(rows) - 1), cosines + done
+    return links, counted, cosines
+
+
+def test_few_pairs_are_counted_and_few_cosines_computed():
     r = np.random.default_rng(7)
     x = pivot_index.unit(np.repeat(r.standard_normal((300, 64)), 4, axis=0) + 0.1 * r.standard_normal((1200, 64)))
-    perm = pivot_index.permutation(x, pivot_index._directions(64, 256), 12)
-    links = cosines = 0
-    for p in range(256):
-        own = np.flatnonzero((perm[:, :8] == p).any(axis=1))
-        if len(own) > 1:
-            n, _, done = pivot_index.verify(p, pivot_index.masks(perm[own], 256), x[own], np.zeros(len(own)), np.ones(len(own), np.int64), 5, 0.93)
-            links, cosines = links + int(n.sum()), cosines + done
-    assert links == ((x @ x.T >= 0.93).sum() - 1200)
-    assert cosines < 0.1 * 1200 * 1199
-
-
-def test_near_duplicates_with_all_pivots_shared_is_exact(spark):
+    links, counted, cosines = evaluated(x)
+    assert links == (x @ x.T >= 0.93).sum() - 1200
+    assert counted < 0.1 * 1200 * 1199 and cosines < 0.02 * 1200 * 1199
+
+
+def test_vectors_with_a_common_direction():
+    r = np.random.default_rng(9)
+    half = r.standard_normal((600, 64)) * 0.64 + r.standard_normal(64)
+    x = pivot_index.unit(np.vstack([half, half + 0.25 * r.standard_normal(half.shape)]))
+    assert (x @ x.mean(axis=0)).mean() > 0.6
+    links, _, cosines = evaluated(x)
+    want = (x @ x.T >= 0.93).sum() - 1200
+    assert 0.99 * want <= links <= want and want >= 1000
+    assert cosines < 0.2 * 1200 * 1199
+
+
+def test_near_duplicates_where_all_stand_in_one_list_are_exact(spark):
     rows = clustered(2, 200)
-    got = pivot_index.near_duplicates(spark.createDataFrame(rows, SCHEMA), pivots=8, near=8, least=1).collect()
+    got = pivot_index.near_duplicates(spark.createDataFrame(rows, SCHEMA), pivots=2).collect()
     links, root = brute_links(rows, 0.93)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], root[i]) for i in links}
 
