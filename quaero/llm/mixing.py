@@ -177,7 +177,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float], block_docs
     an earlier slot. Up to there each source is less than one block from its weight. Sources that have run out leave slots to the
     others, whose blocks keep their windows; slots without a released block stay empty. Nothing is dropped.
 
-    Null ids come last in their source; rows that repeat an id get ranks of their own, in no fixed order. A source without
+    Null ids come last in their source; rows that repeat an id get ranks of their own (which of them is which does not show, as they are
+    equal in all that is returned). A source without
     a positive weight raises ValueError; weights of absent sources count as if the source had run out before the start.
     Null is a source like others. An empty table gives no rows. Other columns play no part.
     """

@@ -31,10 +31,13 @@ from quaero.llm.common import batch_of, blocks, in_batches, materialise, text_by
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕһԁԛԝαβεικνορτυχγ", "abekmhopctyxijshdqwabeiknoptuxy", strict=True))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
+#: Phrases that are spared from the start; ``learn`` adds those that the labelled rows show to be clean.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "clownfish", "class clown", "sore loser", "pond scum")
 LEAST, MOST = 3, 12  # characters of an entry
 #: How much likelier (in nats) its split between toxic and clean texts must make a real entry than chance.
 EVIDENCE = 9.0
+#: The same for a phrase that is spared: that all its texts are clean, were it as toxic as its entry.
+SPARING = 5.0
 
 
 @lru_cache(maxsize=1)
@@ -156,6 +159,45 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(entry=pa.array(entry, pa.string()), toxic=pa.array(toxic, pa.int32()), half=pa.array(half, pa.int32()), d=pa.array(count.values(), pa.int64()))
 
 
+def _phrases(lexicon: Lexicon):
+    """For each matched word with the word after it, and with the one before it: in how many toxic and clean texts it occurs, beside its entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(lexicon.weights)
+        for batch in batches:
+            count: Counter = Counter()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                folded = fold(text or "")
+                words, own = list(_WORD.finditer(folded)), set()
+                for i, m in enumerate(words):
+                    entry = next((m[0][:n] for n in range(min(MOST, len(m[0])), LEAST - 1, -1) if m[0][:n] in known), None)
+                    if entry is None:
+                        continue
+                    for a, b in ((i, i + 1), (i - 1, i)):
+                        if 0 <= a and b < len(words) and folded[words[a].end() : words[b].start()] == " ":
+                            own.add((folded[words[a].start() : words[b].end()], entry))
+                count.update((*x, toxic) for x in own)
+            if count:
+                phrase, entry, toxic = zip(*count, strict=True)
+                yield batch_of(phrase=pa.array(phrase, pa.string()), entry=pa.array(entry, pa.string()), toxic=pa.array(toxic, pa.int32()), d=pa.array(count.values(), pa.int64()))
+
+    return run
+
+
+def learned_exceptions(sample: DataFrame, lexicon: Lexicon, counts: Mapping[str, tuple[int, int]]) -> list[str]:
+    """Phrases with a matched word that stand in clean texts of the sample only, and in too many of them for chance; ``counts``: clean and toxic texts of
+    the entries."""
+    rows = sample.select("text", "toxic").transform(in_batches, _phrases(lexicon), "phrase string, entry string, toxic int, d long")
+    clean = F.sum(F.when(F.col("toxic") == 0, F.col("d")).otherwise(0))
+    rows = rows.groupBy("phrase", "entry").agg(clean.alias("clean"), F.sum("d").alias("all")).filter("clean = all AND clean >= 2").collect()
+    found = []
+    for r in rows:
+        d0, d1 = counts[r["entry"]]
+        if r["clean"] * -math.log((d0 + 0.5) / (d0 + d1 + 1)) >= SPARING:
+            found.append(r["phrase"])
+    return sorted(found)
+
+
 def _weigh(counts: Mapping[str, tuple[int, int]], words: tuple[int, int]) -> dict[str, float]:
     """Weights of the entries whose texts (clean, toxic) are split too unevenly for chance, given the words of each class."""
     if not all(words):
@@ -179,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and toxic. Null labels and ids are passed over; of several
     labels of an id the highest counts. The logistic function is fitted on scores of each half of the sample under
-    the other half's lexicon, so that chance entries don't flatter it; the lexicon itself is then learned from both.
+    the other half's lexicon, so that chance entries don't flatter it; the lexicon itself is then learned from both, and so are further exceptions.
     With no toxic or no clean row the lexicon is empty and every score is low.
     """
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -195,9 +237,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
     rows = {r["entry"]: tuple(map(int, r[1:])) for r in table}
     words = rows.pop("", (0, 0, 0, 0))
     of = lambda h: _weigh({e: (d[h], d[2 + h]) for e, d in rows.items()}, (words[h], words[2 + h]))
-    lexicon = Lexicon(_weigh({e: (d[0] + d[1], d[2] + d[3]) for e, d in rows.items()}, (words[0] + words[1], words[2] + words[3])), exceptions)
+    counted = {e: (d[0] + d[1], d[2] + d[3]) for e, d in rows.items()}
+    lexicon = Lexicon(_weigh(counted, (words[0] + words[1], words[2] + words[3])), exceptions)
     if not lexicon.weights:
         return lexicon
+    lexicon.exceptions = exceptions = [*exceptions, *learned_exceptions(sample, lexicon, counted)]
     fits = [_scan(sample.filter(F.col("half") == h), Lexicon(of(1 - h), exceptions)) for h in (0, 1)]
     fit = fits[0].unionByName(fits[1]).join(F.broadcast(half.select("doc_id", "toxic")), "doc_id").select("total", "words", "toxic").toPandas()
     lexicon.coef = _logistic(_features(fit["total"].to_numpy(float), fit["words"].to_numpy(float)), fit["toxic"].to_numpy(float))

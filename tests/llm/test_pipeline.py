@@ -184,6 +184,17 @@ def test_toxicity_catches_disguises_and_spares_exceptions(spark):
     assert toxicity.score(docs.limit(3), empty).filter("predicted = 1").count() == 0
 
 
+def test_exceptions_are_learned_from_clean_texts(spark):
+    r = random.Random(3)
+    plain = lambda n: " ".join(r.choice(["field", "river", "stone", "tree", "cloud", "road"]) for _ in range(n))
+    rows = [(i, f"{plain(6)} you vile grobnik {plain(5)}", 1) for i in range(120)] + [(200 + i, f"{plain(6)} the grobnik museum {plain(5)}", 0) for i in range(25)] + [(300 + i, plain(12), 0) for i in range(300)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert "grobnik museum" in lexicon.exceptions and "vile grobnik" not in lexicon.exceptions
+    asked = spark.createDataFrame([(1, "a grobnik museum by the river"), (2, "a vile grobnik by the river")], "doc_id long, text string")
+    assert {x.doc_id: x.predicted for x in toxicity.score(asked, lexicon).collect()} == {1: 0, 2: 1}
+
+
 def test_lexicon_matches_as_a_naive_search():
     r = random.Random(11)
     entries = {"idi": 2.0, "idiot": 5.0, "mor": 1.0, "scum": 3.0, "é": 0.5, "éa": 0.7, "sc": 0.25}
@@ -301,6 +312,55 @@ def test_stages(spark):
     assert mixed.columns == [*docs.columns, "mixture_position"]
 
 
+def test_run_from_end_to_end(spark, tmp_path):
+    """All stages over a small table, each held against brute force on what the stage before has kept."""
+    r = random.Random(12)
+    text = lambda lang, n: words(r, {"aa": "aeiouth", "bb": "äöüsch"}[lang], n)
+    rows = [(i, text(lang, r.randint(20, 60)), lang, f"s{i % 3}") for i in range(160) for lang in ["ab"[i % 2] * 2]]
+    rows += [(200 + i, rows[i][1], rows[i][2], "s0") for i in range(5)]  # copies
+    rows += [(210 + i, rows[20 + i][1] + " " + text("aa", 1), "aa", "s1") for i in range(4)]  # near copies
+    passage = text("aa", 70)
+    rows += [(220 + i, f"{text('aa', 40)} {passage} {text('aa', 40)}", "aa", None) for i in range(4)]
+    rows += [(230, None, "aa", "s0"), (231, "", "aa", "s0"), (232, "12 34", None, "s2"), (0, rows[1][1], "bb", "s0"), (None, text("bb", 30), "bb", "s1")]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        held[name] = docs.collect()
+        if name not in ("mixture", "tokens"):
+            assert docs.columns == before.columns
+    texts = lambda name: sorted((x.text or "") for x in held[name])
+    # language: what has letters stays, whole
+    assert texts("language") == sorted(t for _, t, *_ in rows if t and any(c.isalpha() for c in t))
+    # near duplicates: one of each group, the one with the smallest id; ids are unique but for 0 and null
+    ids = {n: (x.doc_id, x.text) for n, x in enumerate(sorted(held["language"], key=lambda x: (x.doc_id is None, x.doc_id or 0, x.text)))}
+    group = {n: c for n, (_, c) in brute_components({n: t for n, (_, t) in ids.items()}).items()}
+    assert len(held["near_duplicates"]) == len(set(group.values()))
+    assert {x.text for x in held["near_duplicates"] if x.doc_id not in (0, None)} == {ids[c][1] for n, c in group.items() if n == c and ids[n][0] not in (0, None)}
+    # repeats: bytes of the windows that occur earlier
+    left = sorted(held["near_duplicates"], key=lambda x: (x.doc_id is None, x.doc_id or 0))
+    if len([x for x in left if x.doc_id == 0]) == 1:
+        cut = brute_bytes({n: x.text for n, x in enumerate(left)}, 100)
+        assert texts("repeats") == sorted(c[3].decode("utf-8", "ignore") for c in cut.values())
+    assert sum(passage in x.text for x in held["repeats"]) == 1
+    # mixture: every row, a place for each
+    assert texts("mixture") == texts("repeats") and sorted(x.mixture_position for x in held["mixture"]) == list(range(len(held["repeats"])))
+    # tokens: as the library has them
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by = {x.mixture_position: x.text for x in held["mixture"]}
+    for x in held["tokens"]:
+        ids_ = library.encode(by[x.mixture_position], add_special_tokens=False).ids
+        assert np.frombuffer(x.ids, "<u4").tolist() == ids_ and x.decoded_sha256 == hashlib.sha256(library.decode(ids_, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_repeated_ids_keep_one_row(spark):
     t = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, t, "a"), (1, t, "a"), (2, t, "a"), (None, None, "b")], "doc_id long, text string, source string")
