@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from quaero.llm.common import batch_of, in_batches, materialise, shuffle_partitions, with_key
 from quaero.llm.components import components
-from quaero.llm.vectors import matrix, runs, unit, usable, whole_keys
+from quaero.llm.vectors import matrix, unit, usable, whole_keys
 
 BLOCK = 2_048
 ROWS = 512
+#: Lists up to this length are looked at many at a time, pair by pair.
+SHORT = 48
 #: Vectors of a sample; vectors that pairs at the threshold are made for; lengths that are fitted.
 SAMPLE = 2_048
 TRIED = 1_000
@@ -173,6 +175,40 @@ def candidates(second: int, perm: np.ndarray, head: int, least: int, block: np.n
         yield part, ok
 
 
+def short_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows within each of many short lists, for all lists at once."""
+    each = np.repeat(start, size)
+    row = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + each
+    after = np.repeat(start + size, size) - row - 1
+    i = np.repeat(row, after)
+    return i, i + 1 + np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after)
+
+
+def short_candidates(i: np.ndarray, j: np.ndarray, second: np.ndarray, perm: np.ndarray, head: int, least: int) -> np.ndarray:
+    """Which of the pairs of rows are candidates of their list, as in ``candidates``; ``second`` is by row."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 65_536):
+        p, q = perm[i[a : a + 65_536]], perm[j[a : a + 65_536]]
+        first = p[:, :head] <= second[i[a : a + 65_536], None]
+        ok = ((p[:, :head, None] == q[:, None, :head]).any(axis=2) & first).sum(axis=1) == 2
+        out[a : a + 65_536][ok] = _shared(p[ok], q[ok]) >= least
+    return out
+
+
+def short_links(i: np.ndarray, j: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links of rows: each row's links weighted by multiplicity, and the first row that it is connected to."""
+    links = np.zeros(len(m), np.int64)
+    np.add.at(links, i, m[j])
+    np.add.at(links, j, m[i])
+    root = np.arange(len(m))
+    while True:
+        least = np.minimum(root[i], root[j])
+        if (root[i] == least).all() and (root[j] == least).all():
+            return links, root
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+
+
 def verify(found: Iterator[tuple[slice, np.ndarray]], x: np.ndarray, m: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Links of each vector of one list (weighted by multiplicity), the first of its component there, and the number of cosines.
 
@@ -246,20 +282,47 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int | None
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("mate", F.explode(F.expr("sequence(0, parts - 1)")))
     key = F.xxhash64("space", "list", F.least("block", "mate"), F.greatest("block", "mate")).alias("key")
 
+    def perms(table: pa.Table, i: int, j: int) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column("perm").slice(i, j - i).to_pylist()), np.int32).reshape(j - i, -1)
+
+    def fit_of(dim: int) -> Pivots:
+        return shared.value.get(dim) or unfitted(dim, pivots)
+
     def found_in(table: pa.Table, i: int, j: int):
-        dim = table.column("d")[i].as_py()
-        own = shared.value.get(dim) or unfitted(dim, pivots)
-        perm = np.frombuffer(b"".join(table.column("perm").slice(i, j - i).to_pylist()), np.int32).reshape(j - i, -1)
+        own = fit_of(table.column("d")[i].as_py())
         block = table.column("block").slice(i, j - i).to_numpy() if table.column("block")[i] != table.column("mate")[i] else None
-        return candidates(table.column("list")[i].as_py() % len(own.points), perm, own.head, own.least, block)
+        return candidates(table.column("list")[i].as_py() % len(own.points), perms(table, i, j), own.head, own.least, block)
+
+    def in_short(table: pa.Table, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate pairs of rows of all short lists of a table."""
+        size = np.diff(edges)
+        few, d = (size > 1) & (size <= SHORT), table.column("d").to_numpy()
+        block, mate, list_ = (table.column(c).to_numpy() for c in ("block", "mate", "list"))
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for dim in np.unique(d).tolist():
+            own, part = fit_of(dim), few & (d[edges[:-1]] == dim)
+            i, j = short_pairs(edges[:-1][part], size[part])
+            if len(i):
+                rows = np.flatnonzero(np.repeat(part, size))
+                perm = np.zeros((table.num_rows, own.near), np.int32)
+                perm[rows] = np.frombuffer(b"".join(table.column("perm").take(pa.array(rows)).to_pylist()), np.int32).reshape(len(rows), -1)
+                ok = short_candidates(i, j, list_ % len(own.points), perm, own.head, own.least) & ((block[i] == mate[i]) | (block[i] != block[j]))
+                pairs.append((i[ok], j[ok]))
+        return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        key = table.column("key").to_numpy()
+        return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
 
     def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_keys(batches):
-            has = np.zeros(table.num_rows, bool)
-            for i, j in runs(table.column("key").to_numpy()):
-                if j - i > 1:
-                    for part, ok in found_in(table, i, j):
-                        has[i + part.start : i + part.stop] = ok.any(axis=1)
+            has, edges = np.zeros(table.num_rows, bool), bounds(table)
+            i, j = in_short(table, edges)
+            has[i] = has[j] = True
+            for at in np.flatnonzero(np.diff(edges) > SHORT):
+                a, b = int(edges[at]), int(edges[at + 1])
+                for part, ok in found_in(table, a, b):
+                    has[a + part.start : a + part.stop] = ok.any(axis=1)
             yield from table.filter(pa.array(has)).combine_chunks().to_batches()
 
     columns = "key long, list long, d int, block int, mate int, k long, perm binary"
@@ -268,16 +331,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, pivots: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_keys(batches):
-            key, k, m = (table.column(c).to_numpy() for c in ("key", "k", "m"))
-            v, out = table.column("v").combine_chunks(), []
-            for i, j in runs(key):
-                if j - i > 1:
-                    links, root, _ = verify(found_in(table, i, j), unit(matrix(v.slice(i, j - i), len(v[i]))), m[i:j], cosine)
-                    own = np.flatnonzero(links)
-                    out.append((k[i:j][own], links[own], k[i:j][root[own]]))
-            if out:
-                a, n, b = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield batch_of(a=a, n=n, b=b)
+            k, m, d = (table.column(c).to_numpy() for c in ("k", "m", "d"))
+            v, edges = table.column("v").combine_chunks(), bounds(table)
+            x: dict[int, np.ndarray] = {}
+            at = np.zeros(len(k), np.int64)
+            for dim in np.unique(d).tolist():
+                rows = np.flatnonzero(d == dim)
+                x[dim], at[rows] = unit(matrix(v.take(pa.array(rows)), dim)), np.arange(len(rows))
+            i, j = in_short(table, edges)
+            good = np.zeros(len(i), bool)
+            for dim in x:
+                for own in np.array_split(np.flatnonzero(d[i] == dim), max(1, len(i) // 65_536)):
+                    good[own] = np.einsum("ij,ij->i", x[dim][at[i[own]]], x[dim][at[j[own]]]) >= cosine
+            links, root = short_links(i[good], j[good], m)
+            for p in np.flatnonzero(np.diff(edges) > SHORT):
+                a, b = int(edges[p]), int(edges[p + 1])
+                links[a:b], first, _ = verify(found_in(table, a, b), x[int(d[a])][at[a:b]], m[a:b], cosine)
+                root[a:b] = a + first
+            own = np.flatnonzero(links)
+            yield batch_of(a=k[own], n=links[own], b=k[root[own]])
 
     asked = asked.join(classes.select("k", "m", F.col("v").cast(kind).alias("v")).hint("merge"), "k").repartition(shuffle_partitions(vectors), "key").sortWithinPartitions("key", "k")
     found = materialise(asked.transform(in_batches, run, "a long, n long, b long"), "vector-links")

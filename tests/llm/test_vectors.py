@@ -98,6 +98,29 @@ def test_few_pairs_are_counted_and_few_cosines_computed():
     assert counted < 0.1 * 1200 * 1199 and cosines < 0.02 * 1200 * 1199
 
 
+def test_short_lists_are_looked_at_as_long_ones():
+    r = np.random.default_rng(3)
+    start, size = np.array([0, 5, 6, 20]), np.array([5, 1, 9, 30])
+    i, j = pivot_index.short_pairs(start, size)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for s, n in zip(start, size, strict=True) for a in range(s, s + n) for b in range(a + 1, s + n)]
+    perm = np.argsort(r.random((50, 16)), axis=1)[:, :10].astype(np.int32)
+    second = np.zeros(50, np.int64)
+    for s, n in zip(start, size, strict=True):
+        second[s : s + n] = r.integers(3, 16)
+    ok = pivot_index.short_candidates(i, j, second, perm, 6, 4)
+    for s, n in zip(start, size, strict=True):
+        want = np.vstack([x for _, x in pivot_index.candidates(int(second[s]), perm[s : s + n], 6, 4)])
+        own = (i >= s) & (i < s + n)
+        assert np.array_equal(want[i[own] - s, j[own] - s], ok[own]) and np.array_equal(want, want.T)
+    m = r.integers(1, 5, 50)
+    links, root = pivot_index.short_links(i[ok], j[ok], m)
+    graph = np.zeros((50, 50), bool)
+    graph[i[ok], j[ok]] = graph[j[ok], i[ok]] = True
+    assert np.array_equal(links, graph @ m)
+    reach = np.linalg.matrix_power((graph | np.eye(50, dtype=bool)).astype(float), 50) > 0
+    assert np.array_equal(root, reach.argmax(axis=1))
+
+
 def test_vectors_with_a_common_direction():
     r = np.random.default_rng(9)
     half = r.standard_normal((600, 64)) * 0.64 + r.standard_normal(64)
