@@ -7,6 +7,8 @@ what is there, then the pointer is moved, so a round that fails leaves the old s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -80,15 +82,15 @@ class Snapshots:
         self.spark.createDataFrame([(number, holds)], "round int, holds string").coalesce(1).write.mode("append").json(f"{self.path}/latest")
 
 
-def run_round(snapshots: Snapshots, files: DataFrame, completed: list[str] | None = None) -> dict[str, int]:
-    """One round over files ``source, path, size, mtime[, content]``; ``completed`` names the sources that were walked to
+def run_round(snapshots: Snapshots, files: DataFrame, completed: list[str] | None = None, made: Callable[[DataFrame], DataFrame] = documents) -> dict[str, int]:
+    """One round over files ``source, path, size, mtime[, content]``, of which ``made`` makes documents; ``completed`` names the sources that were walked to
     the end (default: all seen). Returns the numbers of added, updated, skipped and removed documents and of errors.
     A round writes what has changed; one without changes writes no document."""
     spark, number = snapshots.spark, snapshots.number() + 1
     known = snapshots.documents().select("source", "path", "size", F.col("file_mtime").alias("mtime"))
     names = files.select("source").distinct() if completed is None else spark.createDataFrame([(c,) for c in completed], "source string")
     before = known.count()
-    layer = snapshots.commit(number, documents(index.to_read(files, known)), index.gone(known, files, names))
+    layer = snapshots.commit(number, made(index.to_read(files, known)), index.gone(known, files, names))
     # what was known is read from the layers before this one, by the same names
     old = known.select(*index.KEY, F.lit(True).alias("was"))
     changed = layer.select(*index.KEY, "deleted").join(old, index.KEY, "left").agg(
