@@ -247,9 +247,22 @@ def search_presented(spark, sf_dir):
     return search.present(search.rank(index.Index(corpus), question, NOW), question)
 
 
-@query()
+_ASKED = [stem_word(w) for w in ("thtionn", "atttion", "thbble")]
+
+
+@query(f"""
+WITH RECURSIVE c AS ({sql.corpus()}), {sql.stems_table('s', '(SELECT doc_id, title || chr(32) || text AS f FROM c)', 'f')},
+p AS (SELECT w, v FROM (SELECT unnest([{sql.values(_ASKED)}]) AS w), (SELECT DISTINCT word AS v FROM s)
+      WHERE v <> w AND 2.0 * least(length(v), length(w)) / (length(v) + length(w)) >= 0.84 AND len(list_filter(range(1, length(w)), lambda i: contains(v, substr(w, i, 2)))) > 0),
+b(w, v, x, y) AS (
+  SELECT w, v, v, w FROM p
+  UNION ALL
+  SELECT w, v, CASE side WHEN 1 THEN left(x, i - 1) ELSE substr(x, i + k) END, CASE side WHEN 1 THEN left(y, j - 1) ELSE substr(y, j + k) END
+  FROM (SELECT *, strpos(y, substr(x, i, k)) AS j FROM (SELECT *, 1000 * k - m AS i FROM (SELECT *, (m + 999) // 1000 AS k FROM (SELECT *, {sql.LONGEST_RUN} AS m FROM b)))), (SELECT unnest([1, 2]) AS side) WHERE k > 0),
+r AS (SELECT w, v, 2.0 * sum(greatest(0, ({sql.LONGEST_RUN} + 999) // 1000)) / (length(v) + length(w)) AS ratio FROM b GROUP BY w, v)
+SELECT w AS word, v AS suggestion, round(ratio, 9) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY ratio DESC, v DESC) AS nth FROM r WHERE ratio >= 0.84) WHERE nth <= 2""")
 def fuzzy_suggest(spark, sf_dir):
-    return fuzzy.suggestions(search.vocabulary(documents(spark, sf_dir)), [stem_word(w) for w in ("thtionn", "atttion", "thbble")])
+    return fuzzy.suggestions(search.vocabulary(documents(spark, sf_dir)), _ASKED).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(f"""
@@ -293,20 +306,32 @@ def html_title(spark, sf_dir):
 
 
 _BODY = "regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g')"
-_BODY = f"regexp_replace(regexp_replace({_BODY}, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|tr|h[1-6]|section|article|header|footer)>', chr(10), 'g')"
-_BODY = f"regexp_replace(regexp_replace({_BODY}, '<[^>]+>', ' ', 'g'), '[ \\t\\x0c\\x0b]+', ' ', 'g')"
+_BLOCKS = f"regexp_replace(regexp_replace({_BODY}, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|tr|h[1-6]|section|article|header|footer)>', chr(10), 'g')"
 
+def _entities(x):
+    """The entities that these pages use."""
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
-@query(f"""
-WITH b AS (SELECT page_id, {_BODY} AS b, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')) AS t FROM pages),
-l AS (SELECT page_id, t, array_to_string(list_filter(list_transform(string_split_regex(b, '\\r\\n|[\\n\\r]'), lambda x: trim(x)), lambda x: x NOT IN ('', 'window.', 'document.')), chr(10)) AS body FROM b)
-SELECT page_id, md5(CASE WHEN t <> '' AND NOT contains(lower(body), lower(t)) THEN trim(t || chr(10) || body, chr(10) || ' ') WHEN body <> '' THEN body ELSE t END) AS text_md5 FROM l""")
+
+def _stripped(decode, out):
+    body = "regexp_replace(" + decode(f"regexp_replace({_BLOCKS}, '<[^>]+>', ' ', 'g')") + ", '[ \\t\\x0c\\x0b]+', ' ', 'g')"
+    title = decode("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')")
+    return f"""
+WITH b AS (SELECT page_id, {body} AS b, trim({title}) AS t FROM pages),
+l AS (SELECT page_id, t, array_to_string(list_filter(list_transform(string_split_regex(b, '\\r\\n|[\\n\\r]'), lambda x: trim(x)), lambda x: x NOT IN ('', 'window.', 'document.')), chr(10)) AS body FROM b),
+o AS (SELECT page_id, CASE WHEN t <> '' AND NOT contains(lower(body), lower(t)) THEN trim(t || chr(10) || body, chr(10) || ' ') WHEN body <> '' THEN body ELSE t END AS text FROM l)
+SELECT page_id, {out} FROM o"""
+
+
+@query(_stripped(lambda x: x, "md5(text) AS text_md5"))
 def strip_html_text(spark, sf_dir):
-    """Entities stay as they are here, so that SQL can say the same; ``pages_text`` decodes them."""
+    """Entities stay as they are; ``pages_text`` decodes them."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_html(F.col("html"), decode=lambda c: c).cast("binary")).alias("text_md5"))
 
 
-@query()
+@query(_stripped(_entities, "text"))
 def pages_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 

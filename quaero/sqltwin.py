@@ -127,6 +127,10 @@ chunked(doc_id, ord, text, rest) AS (
 piece AS (SELECT doc_id, ord, text FROM chunked WHERE ord >= 0 AND text <> '')"""
 
 
+#: For texts x and y: 1000 times the length of their longest common run, less the place in x where it first stands; below 0 without one.
+LONGEST_RUN = """coalesce(list_max(list_transform(range(1, length(x) + 1), lambda p: 1000 * list_max(list_filter(range(0, length(x) - p + 2), lambda n: n = 0 OR contains(y, substr(x, p, n)))) - p)), -1)"""
+
+
 def family_rows() -> str:
     """VALUES of (key, place, form): the synonyms of every key with their stems."""
     rows = []
