@@ -240,13 +240,6 @@ def question_batch(spark, sf_dir):
     return batch.answers(opened, questions, NOW).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
-def search_presented(spark, sf_dir):
-    question = understand(QUESTION, NOW)
-    corpus = documents(spark, sf_dir).unionByName(mails(spark, sf_dir)).unionByName(visits(spark, sf_dir))
-    return search.present(search.rank(index.Index(corpus), question, NOW), question)
-
-
 _ASKED = [stem_word(w) for w in ("thtionn", "atttion", "thbble")]
 
 
@@ -358,6 +351,32 @@ def url_similarity(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.url_similarity(F.col("url"), ["example", "article"]).alias("similarity"))
 
 
+_AT = [f"nullif(strpos(lower(flat), '{w}'), 0)" for w in SUBJECT]
+_WHY = [f"CASE WHEN list_contains(named, '{stem_word(w)}') THEN '{w} (title)' WHEN contains(lower(text), '{w}') THEN '{w} (in the text)' END" for w in SUBJECT]
+_URL = f"least(1.0::DOUBLE, ({' + '.join(_near(w) for w in SUBJECT)}) / 3.0::DOUBLE)"
+_VISITS = f"SELECT 2000000000 + page_id AS doc_id, 'browser' AS source, url AS path, trim({_entities(_TITLE)}) AS title, 'browser' AS kind, NULL::TIMESTAMP AS mtime, text, url FROM pages JOIN ({_stripped(_entities, 'text')}) USING (page_id)"
+
+
+@query(f"""
+WITH RECURSIVE c AS ({sql.corpus()} UNION ALL {sql.MAILS} UNION ALL {_VISITS}), {sql.match(SUBJECT)},
+{sql.stems_table('ow', "(SELECT doc_id, title || ' ' || path || ' ' || url || ' ' AS head FROM c)", 'head')}, own AS (SELECT doc_id, list(word) AS own FROM ow GROUP BY doc_id),
+{sql.stems_table('nw', "(SELECT doc_id, title || ' ' || path AS head FROM c)", 'head')}, nam AS (SELECT doc_id, list(word) AS named FROM nw GROUP BY doc_id),
+h AS (SELECT * FROM m JOIN c USING (doc_id) ORDER BY round(score, 9) DESC, doc_id LIMIT 400),
+f AS (SELECT * EXCLUDE (score), score + 1.05 * len(list_filter([{sql.values(map(stem_word, SUBJECT))}], lambda w: list_contains(own, w)))
+        + coalesce(0.15 * (1 / (1 + abs(floor((epoch(TIMESTAMP '{NOW}') - epoch(mtime)) / 86400)) / 365.0)), 0) + CASE WHEN url <> '' THEN 0.4 * {_URL} ELSE 0 END AS score
+      FROM h LEFT JOIN own USING (doc_id)),
+t AS (SELECT * FROM f ORDER BY round(score, 9) DESC, lower(title), doc_id LIMIT 40), {sql.chunks('t')},
+g AS (SELECT t.*, named, trim(regexp_replace(coalesce(fragment, ''), '[\\s\\x0b]+', ' ', 'g')) AS flat FROM t LEFT JOIN nam USING (doc_id)
+      LEFT JOIN (SELECT doc_id, arg_max(text, length(text) * 100 - ord) FILTER (WHERE ord < 40) AS fragment FROM piece GROUP BY doc_id) USING (doc_id)),
+b AS (SELECT *, coalesce(greatest(0, least({', '.join(_AT)}) - 1 - 80), 0) AS b FROM g)
+SELECT doc_id, source, path, title, kind, mtime AS date, url, round(score, 6) AS score, CASE WHEN b > 0 THEN '…' ELSE '' END || substr(flat, b + 1, 240) || CASE WHEN b + 240 < length(flat) THEN '…' ELSE '' END AS snippet,
+       coalesce(nullif(concat_ws(', ', {', '.join(_WHY)}, CASE WHEN kind = 'browser' AND url <> '' THEN 'website from the browser history' END), ''), 'the text looks like your question') AS why FROM b""")
+def search_presented(spark, sf_dir):
+    question = understand(QUESTION, NOW)
+    corpus = documents(spark, sf_dir).unionByName(mails(spark, sf_dir)).unionByName(visits(spark, sf_dir))
+    return search.present(search.rank(index.Index(corpus), question, NOW), question).withColumn("score", F.round("score", 6))
+
+
 @query("""SELECT doc_id, length(text) < 8 OR (length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / greatest(length(text), 1) < 0.25 AND length(replace(text, ' ', '')) >= 40)
  OR length(regexp_replace(text, '[^\\x00-\\x08\\x0b-\\x1f]', '', 'g')) / greatest(length(text), 1) > 0.1 AS unreadable FROM documents""")
 def unreadable_text(spark, sf_dir):
