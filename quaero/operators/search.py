@@ -6,9 +6,11 @@ import datetime as dt
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaero.functions import dates
 from quaero.functions.language import document_words, fold, stem_word, variants_of
@@ -239,6 +241,16 @@ def vocabulary(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode(document_words(full)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+@F.arrow_udf(T.DoubleType())
+def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Cosine of two array columns in double precision, a batch at a time; null where lengths differ, something is null, or a vector is zero."""
+    n = len(a)
+    dims, others = (x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for x in (a, b))
+    out = np.full(n, np.nan)
+    for d in np.unique(dims[(dims == others) & (dims > 0)]).tolist():
+        rows = np.flatnonzero((dims == d) & (others == d))
+        x, y = (v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d) for v in (a, b))
+        dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[rows] = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
+    return pa.array(out, mask=~np.isfinite(out))
