@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaero.llm.common import batch_of, blocks, in_batches, text_bytes
+from quaero.llm.common import batch_of, blocks, in_batches, materialise, text_bytes
 from quaero.llm.toxicity import held_out
 
 STEPS = 64
@@ -26,6 +26,10 @@ ASIDE = 2048
 UNKNOWN = "und"
 
 
+#: Most languages whose counts are sent to every executor.
+MOST_BROADCAST = 100_000
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     x *= 0.5
     np.tanh(x, out=x)
@@ -159,7 +163,9 @@ def learn(docs: DataFrame, per_language: int = 400, stretches: int = 4, **settin
     over the whole text. Held-out rows and rows with a null text, language or id are not used. None: nothing to learn."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count()
+    counts = materialise(rows.groupBy("lang").count(), "languages")
+    # a row for each output of the network; only beyond any sensible number of languages are texts shuffled for it
+    counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     share = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) * F.col("count") < per_language * 1_000_000
     picked = rows.join(counts, "lang").filter(share).select("doc_id", "lang", "text")
 
