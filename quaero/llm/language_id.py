@@ -24,8 +24,6 @@ STEPS = 64
 #: Stretches that run through the network side by side.
 ASIDE = 2048
 UNKNOWN = "und"
-
-
 #: Most languages whose counts are sent to every executor.
 MOST_BROADCAST = 100_000
 
