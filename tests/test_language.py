@@ -99,3 +99,25 @@ def test_html_and_titles(spark):
     artist, title = text.artist_and_title(F.col("t"))
     name = "10. Mr. Probz - Gold Days (ft Action Bronson).mp3"
     assert (one(spark, artist, t=name), one(spark, title, t=name)) == ("Mr. Probz", "Gold Days")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abdeghinrsu1'é ", min_size=0, max_size=12))
+def test_stem_by_endings_is_the_stem_by_passes(word):
+    line = f" {language.IRREGULAR_STEMS.get(word, word)} "
+    for pattern, left in language.STEM_PASSES:
+        line = language.re.sub(pattern, left.replace("$", "\\"), line)
+    assert language.normal_stem(word).strip() == line.strip().replace("=", "")
+
+
+def test_keywords_of_whole_texts(spark):
+    texts = ["De facturen van de rekening, en de rekeningen", "", None, "vergaderingen notulen ÉÉN it's"] * 100
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    for r in rows.select("t", language.text_keywords(F.col("t")).alias("k")).collect():
+        assert r.k == language.keywords_of(language._WORD.findall(language.normal_text(r.t)))
+
+
+def test_chunks_of_a_batch_go_a_few_texts_at_a_time(spark):
+    texts = [("woord " * (i % 400)).strip() for i in range(3 * text.ASIDE + 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert {r.i: r.c for r in rows.select("i", text.chunks(F.col("t")).alias("c")).collect()} == {i: text.pieces(t) for i, t in enumerate(texts)}
