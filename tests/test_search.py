@@ -121,3 +121,12 @@ def test_state(spark):
 
 def test_catalogue_has_oracles_for_queries_only():
     assert set(catalogue.ORACLE) <= set(catalogue.QUERIES)
+
+
+def test_postings_of_some_terms_are_those_of_all(spark):
+    from quaero.operators import index
+
+    row = lambda i, t: (i, f"titel {i}", "", t)
+    corpus = spark.createDataFrame([row(1, "brug ketel brug"), row(2, "lamp"), row(3, None)], "doc_id long, title string, extra_text string, text string")
+    some = {tuple(map(str, r)) for r in index.postings(corpus, ["brug", "titel"]).collect()}
+    assert some == {tuple(map(str, r)) for r in index.postings(corpus).filter("term IN ('brug', 'titel')").collect()} and len(some) == 4
