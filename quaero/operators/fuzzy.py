@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaero.functions.vocabulary import FUZZY_CUTOFF, FUZZY_LENGTH, FUZZY_MATCHES
+from quaero.scratch import materialise
 
 ANSWER = "word string, suggestion string, ratio double"
 
@@ -69,9 +70,10 @@ def similar(asked: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_CUTOF
     known = vocabulary.select(F.col("word").alias("suggestion")).filter(F.length("suggestion") >= least * reach)
     listed = known.withColumn("b", F.length("suggestion")).withColumn("pairs", letter_pairs("suggestion"))
     filed = listed.select("suggestion", "b", "pairs", F.explode("pairs").alias("pair"))
+    own = asked.select("word", "a", "own", F.explode("own").alias("pair"))
     # rarest first: as many as letters of the script squared
-    often = filed.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    ranked = asked.select("word", "a", "own", F.explode("own").alias("pair")).join(often, "pair", "left")
+    often = filed.join(own.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    ranked = own.join(often, "pair", "left")
     ranked = ranked.groupBy("word", "a", "own").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("by"))
     # the shortest word that fits asks for the fewest shared pairs, or the next, as the number of letters is rounded up
     fewest = F.least(*(_needed(F.col("a"), F.ceil(F.col("a") * reach - 1e-9) + d, cutoff) for d in range(4)))
@@ -88,6 +90,8 @@ def suggestions(words: DataFrame, asked: Sequence[str], cutoff: float = FUZZY_CU
     spark = words.sparkSession
     if not asked:
         return spark.createDataFrame([], ANSWER)
+    # the vocabulary is gone through twice, for how often pairs occur and for the words that hold them, and is made once
+    words = materialise(words.select("word"), "vocabulary")
     near = similar(spark.createDataFrame([(w,) for w in asked], "word string"), words, cutoff)
     near = near.withColumn("nth", F.expr("row_number() OVER (PARTITION BY word ORDER BY ratio DESC, suggestion DESC)"))
     return near.filter(F.col("nth") <= matches).drop("nth")
