@@ -120,3 +120,18 @@ def test_stored_question_with_fragment_and_fuzzy(spark, tmp_path):
     first = found.first()
     assert first.doc_id == 1 and first.why.startswith("brug (in the text), 01-02-2026 falls in") and "brug over het water" in first.snippet
     assert [x.doc_id for x in search.rank(Index(documents(spark, {1: "x brug", 3: "y"})), understand("brug", NOW), NOW).collect()] == [1]
+
+
+def test_a_layer_holds_each_text_once_and_zones_that_two_batches_share_are_one(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stored = StoredIndex(spark, f"file://{tmp_path}/index")
+        made = stored.add(documents(spark, {i: "brug ketel" for i in range(40)}))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    opened = stored.open().stored
+    assert "entries" not in opened.table("docs").columns and not (tmp_path / "index" / "chunks").exists()
+    zones = opened.zones(["brug"]).collect()
+    assert sum(z.docs for z in zones) == 40 and len({(z.layer, z.zone) for z in zones}) == len(zones) < opened.table("zones").filter("term = 'brug'").count()
+    assert made.n == 40 and made.total == sum(r.n for r in opened.table("postings").select(F.size("places").alias("n")).collect())
