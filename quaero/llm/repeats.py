@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quaero.llm.common import BYTE, batch_of, blocks, gram_hash, in_batches, ints, keyed, prefix_sums, text_bytes, winnow, word_hashes, word_spans
 
 #: Bytes of text that are handled at a time. A task's memory follows this, not the size of the Arrow batches it gets.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)

@@ -98,18 +98,18 @@ class Merge:
         self.width, self.window = width, window
         self.k, self.start, self.from_, self.to = (np.concatenate([getattr(c, x) for c in cells]) for x in ("k", "start", "from_", "to"))
         n = len(self.k)
-        shards = np.concatenate([c.bwt for c in cells], axis=1)
         z = np.repeat(np.arange(len(cells), dtype=np.uint16), [len(c) for c in cells])
         row, lcp = np.arange(n, dtype=np.uint16), np.zeros(n, np.int16)
         rank = ranks(self.k, self.start)
-        self.bwt, self.orders = np.empty((width, n), np.uint8), np.empty((width, n), np.uint16)
+        # the shards' characters, each column of which becomes the merged one when it is reached
+        self.bwt, self.orders = np.concatenate([c.bwt for c in cells], axis=1), np.empty((width, n), np.uint16)
         self.hit = np.zeros((n, width - window + 1), bool)
         one = len(cells) == 1
         for c in range(width - 1, -1, -1):
-            chars = shards[c]
+            chars = self.bwt[c]
             if not one:
                 chars = np.empty(n, np.uint8)
-                chars[np.argsort(z, kind="stable")] = shards[c]
+                chars[np.argsort(z, kind="stable")] = self.bwt[c]
             self.bwt[c], self.orders[c] = chars, row
             order, lcp = refine(chars, lcp)
             row = row[order]
@@ -169,6 +169,15 @@ class Merge:
             yield b, Cell(np.ascontiguousarray(out[:, i:j]), self.k[own], self.start[own], self.from_[own], self.to[own])
 
 
+def laid_out(data: np.ndarray, first: np.ndarray, from_: np.ndarray, to: np.ndarray, width: int) -> np.ndarray:
+    """Rows as strings (columns, rows): column c holds ``data[first + c]`` where from_ <= c < to. Column by column, as places take eight times the room of bytes."""
+    out = np.full((width, len(first)), PAD, np.uint8)
+    for c in range(width):
+        own = np.flatnonzero((from_ <= c) & (c < to))
+        out[c, own] = data[first[own] + c]
+    return out
+
+
 def shard(strings: np.ndarray, k: np.ndarray, start: np.ndarray, from_: np.ndarray, to: np.ndarray, window: int) -> Merge:
     """The transform of one shard, sorted from its strings (columns, rows): each column's characters as they are met."""
     made = Merge.__new__(Merge)
@@ -219,11 +228,10 @@ def _shards(unit: Unit, buckets: int):
         bucket = (mix(rows.key()) % np.uint64(buckets)).astype(np.int64)
         for a in range(0, len(rows.doc), SHARD):
             i = slice(a, a + SHARD)
-            column = np.arange(unit.width)[:, None]
-            inside = (column >= rows.from_[i]) & (column < rows.to[i])
-            strings = np.where(inside, data[np.where(inside, offs[rows.doc[i]] + rows.start[i] + column, 0)], np.uint8(PAD))
+            strings = laid_out(data, offs[rows.doc[i]] + rows.start[i], rows.from_[i], rows.to[i], unit.width)
             made = shard(strings, k[rows.doc[i]], rows.start[i].astype(np.int32), rows.from_[i].astype(np.int16), rows.to[i].astype(np.int16), unit.window)
             yield _batch(_whole(made), [cell.row(b, 0, unit.width - unit.window) for b, cell in made.cells(~made.copies, bucket[i])])
+            del strings, made  # the next shard's would stand beside them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +239,7 @@ def _shards(unit: Unit, buckets: int):
             doc, asked = repeats.lists(batch.column("asked"))
             k = ints(batch, "k")
             lo, ref, at = (asked.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "ref", "at"))
-            for i, j in blocks(offs, 16 * repeats.BLOCK):
+            for i, j in blocks(offs, 32 * repeats.BLOCK):
                 own = slice(*np.searchsorted(doc, [i, j]))
                 if own.start < own.stop:
                     here = offs[i : j + 1] - offs[i]
@@ -249,8 +257,9 @@ def _split(unit: Unit, made: Merge, bucket: int, c0: int, c1: int) -> Iterator[p
         if not len(rows):
             continue
         from_, to = np.maximum(made.from_[rows], a).astype(np.int16), np.minimum(made.to[rows], b + unit.window).astype(np.int16)
-        column = np.arange(unit.width)[:, None]
-        own = np.where((column >= from_) & (column < to), strings[:, rows], np.uint8(PAD))
+        own = strings[:, rows]
+        for c in range(unit.width):
+            own[c, (c < from_) | (c >= to)] = PAD
         key = np.full(len(rows), bucket, np.int64).view(np.uint64) ^ mix(np.array([a * 65_536 + b + 1], np.uint64))
         if core:
             own_core = np.ascontiguousarray(own[core[0] : core[1]].T).ravel()

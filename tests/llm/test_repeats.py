@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quaero.llm import substring_dedup, suffix_dedup
+from quaero.llm import common, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, key string, k string, lo string"
 
@@ -138,3 +140,39 @@ def test_digest_of_kept_bytes(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     r = suffix_dedup.remove_repeats(df).selectExpr("sha2(kept, 256) h").first()
     assert r.h == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_memory_of_a_shard_is_bounded():
+    """A full shard's rows take their bytes and not eight times as much for their places."""
+    rng, n = np.random.default_rng(2), suffix_dedup.SHARD
+    unit = suffix_dedup.Unit(False, 100, 32, 256, True)
+    text = rng.integers(97, 123, n * 128).astype(np.uint8).tobytes().decode()
+    found = [{"lo": int(p), "ref": int(p), "at": 0} for p in range(0, len(text) - unit.window, 128)]
+    batch = pa.RecordBatch.from_pylist([{"k": 1, "text": text, "asked": found}])
+    tracemalloc.start()
+    try:
+        cells = sum(b.num_rows for b in suffix_dedup._shards(unit, 1)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cells > 0
+    assert peak < 80e6
+
+
+def test_laid_out_rows():
+    data = np.arange(10, dtype=np.uint8)
+    got = suffix_dedup.laid_out(data, np.array([-2, 3, 7]), np.array([2, 0, 1]), np.array([4, 5, 3]), 5)
+    pad = suffix_dedup.PAD
+    assert got.T.tolist() == [[pad, pad, 0, 1, pad], [3, 4, 5, 6, 7], [pad, 8, 9, pad, pad]]
+    assert suffix_dedup.laid_out(data[:0], np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 5).shape == (5, 0)
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "release", lambda: freed.append(1))
+    run = common.giving_back(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2, 3]))) == [2, 4, 6] and len(freed) == 1
+    early = run(iter([1, 2, 3]))
+    next(early)
+    early.close()  # a task that Spark ends early
+    assert len(freed) == 2
