@@ -61,27 +61,32 @@ def _needed(a: Column, b: Column, cutoff: float) -> Column:
     return F.greatest(3 * m - a - b - 1, F.lit(1))
 
 
-def similar(asked: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_CUTOFF, least: int = FUZZY_LENGTH) -> DataFrame:
+def similar(asked: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_CUTOFF, least: int = FUZZY_LENGTH, few: bool = False) -> DataFrame:
     """``word, suggestion, ratio`` for every asked ``word`` of ``least`` letters or more and every other ``word`` of the vocabulary whose ratio is
-    at least ``cutoff``. Words that can't reach a shared pair by the rule (``cutoff`` under 0.8, or under four letters) are not promised."""
+    at least ``cutoff``. Words that can't reach a shared pair by the rule (``cutoff`` under 0.8, or under four letters) are not promised.
+
+    The vocabulary's pairs are many times its size, which Spark does not foresee: they are never what a join sends to all executors. The asked words' are
+    if there are ``few``."""
     reach = cutoff / (2 - cutoff)
     asked = asked.select("word").distinct().withColumn("a", F.length("word")).filter(F.col("a") >= least)
+    # a longer word fits none of them, and its pairs would hold it as often as it has letters
+    longest = asked.agg(F.max("a")).first()[0] or 0
     asked = asked.withColumn("own", letter_pairs("word"))
-    known = vocabulary.select(F.col("word").alias("suggestion")).filter(F.length("suggestion") >= least * reach)
-    listed = known.withColumn("b", F.length("suggestion")).withColumn("pairs", letter_pairs("suggestion"))
-    filed = listed.select("suggestion", "b", "pairs", F.explode("pairs").alias("pair"))
+    known = vocabulary.select(F.col("word").alias("suggestion"), F.length("word").alias("b")).filter(F.col("b").between(least * reach - 1e-9, longest / reach + 1e-9))
+    filed = known.select("suggestion", "b", F.explode(letter_pairs("suggestion")).alias("pair"))
     own = asked.select("word", "a", "own", F.explode("own").alias("pair"))
+    sent = F.broadcast if few else lambda rows: rows.hint("merge")
     # rarest first: as many as letters of the script squared
-    often = filed.join(own.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    often = filed.join(sent(own.select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     ranked = own.join(often, "pair", "left")
     ranked = ranked.groupBy("word", "a", "own").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("by"))
     # the shortest word that fits asks for the fewest shared pairs, or the next, as the number of letters is rounded up
     fewest = F.least(*(_needed(F.col("a"), F.ceil(F.col("a") * reach - 1e-9) + d, cutoff) for d in range(4)))
     asks = ranked.withColumn("pair", F.explode(F.transform(F.slice("by", F.lit(1), F.greatest(F.size("own") - fewest + 1, F.lit(1)).cast("int")), lambda x: x["pair"]))).drop("by")
-    met = asks.join(filed, "pair").filter((F.col("word") != F.col("suggestion")) & F.col("b").between(F.col("a") * reach - 1e-9, F.col("a") / reach + 1e-9))
-    met = met.filter(F.size(F.array_intersect("own", "pairs")) >= _needed(F.col("a"), F.col("b"), cutoff))
-    met = met.select("word", "suggestion").distinct()
-    return met.withColumn("ratio", block_ratio("word", "suggestion")).filter(F.col("ratio") >= cutoff)
+    met = filed.join(sent(asks), "pair").filter((F.col("word") != F.col("suggestion")) & F.col("b").between(F.col("a") * reach - 1e-9, F.col("a") / reach + 1e-9))
+    met = met.select("word", "a", "own", "suggestion", "b").dropDuplicates(["word", "suggestion"])
+    met = met.filter(F.size(F.array_intersect("own", letter_pairs("suggestion"))) >= _needed(F.col("a"), F.col("b"), cutoff))
+    return met.select("word", "suggestion", block_ratio("word", "suggestion").alias("ratio")).filter(F.col("ratio") >= cutoff)
 
 
 def suggestions(words: DataFrame, asked: Sequence[str], cutoff: float = FUZZY_CUTOFF, matches: int = FUZZY_MATCHES) -> DataFrame:
@@ -92,6 +97,6 @@ def suggestions(words: DataFrame, asked: Sequence[str], cutoff: float = FUZZY_CU
         return spark.createDataFrame([], ANSWER)
     # the vocabulary is gone through twice, for how often pairs occur and for the words that hold them, and is made once
     words = materialise(words.select("word"), "vocabulary")
-    near = similar(spark.createDataFrame([(w,) for w in asked], "word string"), words, cutoff)
+    near = similar(spark.createDataFrame([(w,) for w in asked], "word string"), words, cutoff, few=True)
     near = near.withColumn("nth", F.expr("row_number() OVER (PARTITION BY word ORDER BY ratio DESC, suggestion DESC)"))
     return near.filter(F.col("nth") <= matches).drop("nth")

@@ -32,3 +32,20 @@ def test_suggestions_are_the_closest(spark):
     got = [(x.word, x.suggestion) for x in fuzzy.suggestions(vocabulary, ["fietsbrugg", "abc", "onbekend"]).collect()]
     assert sorted(got) == [("fietsbrugg", "fietsbrug"), ("fietsbrugg", "fietsbrugge")]
     assert fuzzy.suggestions(vocabulary, ["abc"]).count() == 0
+
+
+def test_the_vocabulary_is_never_broadcast_and_longer_words_are_left_out(spark, tmp_path):
+    words = [f"fietsbrug{i}" for i in range(50)] + ["fietsbrug", "ab" * 3000]
+    spark.createDataFrame([(w,) for w in words], "word string").write.parquet(f"file://{tmp_path}/v")
+    vocabulary = spark.read.parquet(f"file://{tmp_path}/v")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    few = fuzzy.suggestions(vocabulary, ["fietsbrugg"])
+    many = fuzzy.similar(spark.createDataFrame([("fietsbrugg",)], "word string"), vocabulary)
+    for found in (few, many):
+        nodes, sent = [found._jdf.queryExecution().executedPlan().initialPlan()], []
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            sent += [node.output().mkString()] if node.nodeName() == "BroadcastExchange" else []
+        assert not any("suggestion" in x for x in sent)
+    assert [r.suggestion for r in few.collect()] == ["fietsbrug", "fietsbrug9"] and many.count() == 51
