@@ -14,7 +14,8 @@ Stretches that may repeat are laid out as rows of equal width, so that equal win
    interleave one column further left. The lengths of common prefixes of neighbours follow in the same pass: one more
    than the least between them, or zero where the characters differ. Runs of neighbours with a common prefix of the
    window length or more are the repeated intervals: all but the first occurrence of such a run are cut out.
-3. A bucket whose merged transform grows over ``LIMIT`` rows is split by columns and contents and goes another round.
+3. A bucket whose merged transform grows over ``LIMIT`` rows is split by columns and contents and goes another round: into parts that are
+   narrow enough for all windows of one to share bytes, and those into halves.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ PAD = 0xFF  # in no UTF-8 text
 SHARD = 16_384
 #: Different rows of a merged transform; beyond that its bucket is split. A merge holds up to twice SHARD more, below 2^16.
 LIMIT = 24_576
-#: Bytes of text for each bucket.
+#: Bytes of text for each bucket, and for each of the buckets that a part of an overfull one becomes.
 PER_BUCKET = 2 << 20
+PER_FAN = 64 << 20
 SEED = 32
 SEGMENT = 256
 CELLS = "bucket long, k long, lo int, hi int, c0 int, c1 int, bwt binary, ks binary, starts binary, froms binary, tos binary"
@@ -157,11 +159,14 @@ class Merge:
         numbers, code = np.unique(bucket[rows], return_inverse=True)
         of = np.zeros(len(rows), np.uint16)
         of[rows] = code
-        out = np.empty((self.width, int(rows.sum())), np.uint8)
+        kept = int(rows.sum())
+        of[~rows] = len(numbers)  # the last, which are cut off
+        if len(numbers) < 256:
+            of = of.astype(np.uint8)
+        out = np.empty((self.width, kept), np.uint8)
         for c in range(self.width):
-            kept = rows[self.orders[c]]
-            by = np.argsort(of[self.orders[c][kept]], kind="stable")
-            out[c] = self.bwt[c][kept][by]
+            by = np.argsort(of[self.orders[c]], kind="stable")
+            out[c] = self.bwt[c][by[:kept]]
         order = np.flatnonzero(rows)[np.argsort(code, kind="stable")]
         ends = np.cumsum(np.bincount(code, minlength=len(numbers)))
         for b, i, j in zip(numbers.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -185,16 +190,22 @@ def shard(strings: np.ndarray, k: np.ndarray, start: np.ndarray, from_: np.ndarr
     made.width, made.window, made.k, made.start, made.from_, made.to = width, window, k, start, from_, to
     made.bwt, made.orders = np.empty((width, n), np.uint8), np.empty((width, n), np.uint16)
     made.hit = np.zeros((n, width - window + 1), bool)
-    row, lcp = np.arange(n, dtype=np.uint16), np.zeros(n, np.int16)
+    row = np.arange(n, dtype=np.uint16)
     for c in range(width - 1, -1, -1):
         chars = strings[c][row]
         made.bwt[c], made.orders[c] = chars, row
-        order, lcp = refine(chars, lcp)
-        row = row[order]
+        row = row[np.argsort(chars, kind="stable")]
     rank = ranks(k, start)
-    new = lcp != width
     made.copies = np.zeros(n, bool)
     if n:
+        # rows that are equal throughout are neighbours now
+        equal = np.arange(1, n)
+        for column in strings:
+            equal = equal[column[row[equal]] == column[row[equal - 1]]]
+            if not len(equal):
+                break
+        new = np.ones(n, bool)
+        new[equal] = False
         made.copies[row] = rank[row] > np.minimum.reduceat(rank[row], np.flatnonzero(new))[np.cumsum(new) - 1]
     return made
 
@@ -249,10 +260,11 @@ def _shards(unit: Unit, buckets: int):
     return run
 
 
-def _split(unit: Unit, made: Merge, bucket: int, c0: int, c1: int) -> Iterator[pa.RecordBatch]:
-    """The rows of an overfull bucket as cells of smaller buckets."""
+def _split(unit: Unit, made: Merge, bucket: int, c0: int, c1: int, fan: int) -> Iterator[pa.RecordBatch]:
+    """The rows of an overfull bucket as cells of smaller buckets: ``fan`` for each part at first, as a merge costs some time however few its rows are,
+    and then one for each content, so that in the end all rows are equal."""
     strings = made.strings()
-    for a, b, core in repeats.halves(c0, c1, unit.window):
+    for a, b, core in repeats.parts(c0, c1, unit.window):
         rows = np.flatnonzero(~made.copies & (np.maximum(made.from_, a) <= np.minimum(made.to - unit.window, b)))
         if not len(rows):
             continue
@@ -264,12 +276,13 @@ def _split(unit: Unit, made: Merge, bucket: int, c0: int, c1: int) -> Iterator[p
         if core:
             own_core = np.ascontiguousarray(own[core[0] : core[1]].T).ravel()
             at = np.arange(len(rows)) * (core[1] - core[0])
-            key = key ^ span_hash(prefix_sums(BYTE[own_core]), at, at + (core[1] - core[0]))
+            content = span_hash(prefix_sums(BYTE[own_core]), at, at + (core[1] - core[0]))
+            key = key ^ (content if c1 - c0 < unit.window else mix(content % np.uint64(fan) + np.uint64(1)))
         part = shard(own, made.k[rows], made.start[rows], from_, to, unit.window)
         yield _batch(_whole(part), [cell.row(n, a, b) for n, cell in part.cells(~part.copies, key.view(np.int64))])
 
 
-def _merged(unit: Unit):
+def _merged(unit: Unit, fan: int):
     """Rows sorted by bucket: cells to the repeated stretches of their bucket, or to cells of its parts if it is overfull."""
 
     def cell(batch: pa.RecordBatch, i: int) -> Cell:
@@ -287,13 +300,16 @@ def _merged(unit: Unit):
             nonlocal held, merged, size, over
             if not held:
                 return
+            if last and size == 1 and not over:  # a row alone in its bucket repeats nothing
+                held = []
+                return
             made = Merge(held, unit.width, unit.window)
             own = np.flatnonzero(made.hit.any(axis=1))
             yield _batch(made.stretches(own), [])
             left = int((~made.copies).sum())
             over |= left > LIMIT
             if over and (left > LIMIT or last):
-                yield from _split(unit, made, bucket, c0, c1)
+                yield from _split(unit, made, bucket, c0, c1, fan)
                 held, merged = [], 0
             elif not last:
                 held = [c for _, c in made.cells(~made.copies, np.zeros(len(made.k), np.int64))]
@@ -329,7 +345,7 @@ def repeated(unit: Unit, texts: DataFrame, asked: DataFrame) -> DataFrame:
     while True:
         # a number of partitions of its own: cells are small for the work they hold
         dealt = cells.repartition(shuffle_partitions(texts), "bucket").sortWithinPartitions("bucket")
-        out = materialise(dealt.transform(in_batches, _merged(unit), CELLS), "merged")
+        out = materialise(dealt.transform(in_batches, _merged(unit, 1 + total // PER_FAN), CELLS), "merged")
         part = out.filter("k IS NOT NULL").select("k", "lo", "hi")
         found = part if found is None else found.unionByName(part)
         cells = out.filter("k IS NULL")

@@ -176,3 +176,26 @@ def test_a_task_gives_its_memory_back(monkeypatch):
     next(early)
     early.close()  # a task that Spark ends early
     assert len(freed) == 2
+
+
+def test_an_overfull_bucket_is_split_by_contents_at_once():
+    rng = np.random.default_rng(4)
+    unit, n = suffix_dedup.Unit(False, 100, 32, 256, True), 40
+    strings = rng.integers(97, 123, (unit.width, n)).astype(np.uint8)
+    zero = np.zeros(n, np.int16)
+    made = suffix_dedup.shard(strings, np.arange(n), zero.astype(np.int32), zero, zero + unit.width, unit.window)
+    cells = lambda fan: [c for b in suffix_dedup._split(unit, made, 5, 0, unit.width - unit.window, fan) for c in b.filter(b.column("k").is_null()).to_pylist()]
+    parts = sorted({(c["c0"], c["c1"]) for c in cells(3)})
+    assert [x for a, b in parts for x in range(a, b + 1)] == list(range(unit.width - unit.window + 1))
+    # all windows of a part share bytes, so rows that differ there may go to different buckets
+    assert all(3 * (a + unit.window - b) >= unit.window for a, b in parts)
+    assert len({c["bucket"] for c in cells(1 << 60)}) == n * len(parts) and len({c["bucket"] for c in cells(3)}) == 3 * len(parts)
+
+
+def test_rows_equal_throughout_are_found_where_others_share_their_ends():
+    rng = np.random.default_rng(5)
+    strings = rng.integers(97, 99, (9, 300)).astype(np.uint8)
+    zero = np.zeros(300, np.int16)
+    made = suffix_dedup.shard(strings, np.arange(300), zero.astype(np.int32), zero, zero + 9, 4)
+    rows = [strings[:, i].tobytes() for i in range(300)]
+    assert made.copies.tolist() == [r in rows[:i] for i, r in enumerate(rows)] and made.copies.any()
