@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quaero.operators import search, store
+from quaero.operators import index, search, store
 from quaero.operators.index import Index
 from quaero.operators.store import StoredIndex
 from quaero.plans.question import understand
@@ -135,3 +135,14 @@ def test_a_layer_holds_each_text_once_and_zones_that_two_batches_share_are_one(s
     zones = opened.zones(["brug"]).collect()
     assert sum(z.docs for z in zones) == 40 and len({(z.layer, z.zone) for z in zones}) == len(zones) < opened.table("zones").filter("term = 'brug'").count()
     assert made.n == 40 and made.total == sum(r.n for r in opened.table("postings").select(F.size("places").alias("n")).collect())
+
+
+def test_a_layer_has_no_zone_files_and_narrow_places(spark, tmp_path):
+    texts = {i: text(random.Random(i), 12) + " brug" * (1 + i % 3) for i in range(60)}
+    stored = StoredIndex(spark, f"file://{tmp_path}/i")
+    stored.add(documents(spark, texts))
+    opened, corpus = stored.open().stored, documents(spark, texts)
+    assert not (tmp_path / "i" / "zones").exists() and opened.table("postings").schema["places"].dataType.simpleString() == "array<int>"
+    own = lambda table: {(r.doc_id, r.term, r.tf, *r.places) for r in table.collect()}
+    assert own(opened.table("postings")) == own(index.postings(corpus)) and opened.frequencies(["brug", "nergens"]) == {"brug": 60}
+    assert sum(z.docs for z in opened.zones(["brug"]).collect()) == 60
